@@ -38,4 +38,4 @@ def apply_mask(seq: Column | str, mask: Column | str) -> Column:
     """Replace bases by ``N`` where the ``0/1`` mask string has a ``1``; a shorter mask leaves the tail."""
     bases = F.split(F.col(seq) if isinstance(seq, str) else seq, "")
     flags = F.split(F.col(mask) if isinstance(mask, str) else mask, "")
-    return F.array_join(F.zip_with(bases, flags, lambda b, m: F.when(m == "1", F.lit("N")).otherwise(b)), "")
+    return F.array_join(F.zip_with(bases, flags, lambda b, m: F.when((m == "1") & b.isNotNull(), F.lit("N")).otherwise(b)), "")
