@@ -73,7 +73,7 @@ def two_field(allele: Column | str, mode: str, bare: str = "keep") -> Column:
         base = clean_allele(a, bare)
         fields = F.replace(field_part(base), F.lit("G"), F.lit(""))
     elif mode == "em":
-        base, fields = a, F.element_at(F.split(a, r"\*"), 2)
+        base, fields = a, F.get(F.split(a, r"\*"), F.lit(1))
     elif mode == "gate":
         base = F.replace(F.trim(a), F.lit("HLA-"), F.lit(""))
         fields = F.regexp_replace(field_part(base), "[GP]+$", "")

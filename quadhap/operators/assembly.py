@@ -101,7 +101,7 @@ def assemble(scores: DataFrame, penalties: DataFrame | None = None, top_n: int =
         F.map_from_entries(F.collect_list(F.struct(F.concat_ws("\u0001", F.col("hap").cast("string"), "allele"), "score"))).alias("m")
     )
     at = lambda h, x: F.coalesce(F.element_at("m", F.concat_ws("\u0001", F.lit(str(h)), x)), F.lit(0.0))
-    rows = cells.join(listed, GROUP).withColumn("s", F.array(*[F.transform("alleles", lambda x, h=h: at(h, x)) for h in range(1, 5)]))
+    rows = cells.join(listed, GROUP).withColumn("s", F.array(*[F.transform("alleles", lambda x: at(h, x)) for h in range(1, 5)]))
     none = F.array(*[F.lit(0.0)] * 6)
     rows = rows.withColumn("penalty", none) if penalties is None else rows.join(penalties, [*GROUP, "block"], "left").withColumn("penalty", F.coalesce("penalty", none))
     schema = "sample string, gene string, quartet array<string>, score double, blocks array<int>, splits array<int>"

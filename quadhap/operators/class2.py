@@ -69,7 +69,7 @@ def dpb1_rare_collapse(calls: DataFrame, families: DataFrame, cutoff: int = 100,
     for slot in range(4):  # one column per slot keeps the expression small
         src = "quartet" if slot == 0 else f"_q{slot - 1}"
         now = F.get(src, F.lit(slot))
-        pick = F.get(F.filter("common", lambda x, src=src: F.size(F.filter(src, lambda a: a == x)) < 2), F.lit(0))
+        pick = F.get(F.filter("common", lambda x: F.size(F.filter(src, lambda a: a == x)) < 2), F.lit(0))
         new = F.when(names.allele_number(now) >= cutoff, F.coalesce(pick, now)).otherwise(now)
         j = j.withColumn(f"_q{slot}", F.array(*[new if x == slot else F.get(src, F.lit(x)) for x in range(4)]))
     return j.withColumn("proposed", F.when(F.col("mask") >= min_mask, F.col("_q3")).otherwise(F.col("quartet"))).drop("common", *[f"_q{i}" for i in range(4)])

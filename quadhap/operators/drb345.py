@@ -90,7 +90,7 @@ def fit_linked(families: DataFrame, slots: DataFrame, chi: DataFrame, per_locus:
     s = slots.join(chi.select("sample", "chi_r"), "sample").join(per, "sample")
     options = []
     for i in range(4):
-        mine = F.transform(F.filter("c", lambda x, i=i: x.locus == F.get("loci", F.lit(i))), lambda x: x.family)
+        mine = F.transform(F.filter("c", lambda x: x.locus == F.get("loci", F.lit(i))), lambda x: x.family)
         options.append(F.when(F.size(mine) > 0, mine).otherwise(F.array(F.lit("NA"))).alias(f"o{i}"))
     s = s.select("sample", "loci", "chi_r", "c", *options)
     patterns = F.array(*[F.struct(*[F.lit(v).alias(f"p{n}") for n, v in enumerate(p)]) for p in product(range(4), repeat=4)])
@@ -165,7 +165,7 @@ def drb345_consistency(drb1: DataFrame, drb345: DataFrame, families: DataFrame)
     ).join(opts, "sample").withColumn("q", F.col("old"))
     for slot in range(4):
         want, now = F.get("want", F.lit(slot)), F.get("q", F.lit(slot))
-        usable = F.filter("o", lambda x, slot=slot: (x.locus == F.get("want", F.lit(slot))) & ~F.array_contains("q", x.family))
+        usable = F.filter("o", lambda x: (x.locus == F.get("want", F.lit(slot))) & ~F.array_contains("q", x.family))
         j = j.withColumn("_r", F.get(usable, F.lit(0)).family)
         hit = want.isin(*names.LINKED_LOCI) & (names.linked_locus(now) != want) & F.col("_r").isNotNull()
         j = j.withColumn("q", F.when(hit, F.array(*[F.col("_r") if x == slot else F.get("q", F.lit(x)) for x in range(4)])).otherwise(F.col("q")))

@@ -50,38 +50,40 @@ def contig_numbers(alignments: DataFrame, contigs: DataFrame | None = None) -> D
     return seen.withColumn("idx", F.row_number().over(Window.partitionBy(*GROUP).orderBy("contig")) - 1)
 
 
-def _salted(classes: DataFrame, salts: int) -> DataFrame:
-    return classes.withColumn("salt", F.pmod(F.xxhash64("idx", "w"), F.lit(salts)).cast("int"))
-
-
-def _shares(theta: Column) -> Column:
-    """Expected reads per contig of one class under the current abundances."""
-    raw = F.zip_with("idx", "w", lambda i, w: F.struct(i.alias("i"), (F.get(theta, i) * w).alias("u")))
-    total = F.aggregate(raw, F.lit(0.0), lambda acc, x: acc + x.u)
-    return F.transform(raw, lambda x: F.struct(x.i.alias("i"), (F.col("n") * x.u / F.greatest(total, F.lit(1e-30))).alias("x")))
+def _salted(classes: DataFrame, numbered: DataFrame, salts: int) -> DataFrame:
+    """Classes with a salt, plus one class of weight zero per group that names every contig,
+    so that each iteration returns the whole abundance vector."""
+    n = numbered.groupBy(*GROUP).agg(F.count("*").cast("int").alias("k"))
+    every = n.select(*GROUP, F.sequence(F.lit(0), F.col("k") - 1).alias("idx"), F.array_repeat(F.lit(1.0), F.col("k")).alias("w"),
+                     F.lit(0).cast("bigint").alias("n"), F.lit(0).alias("salt"))
+    return classes.withColumn("salt", F.pmod(F.xxhash64("idx", "w"), F.lit(salts)).cast("int")).unionByName(every)
 
 
 def _expected(classes: DataFrame, state: DataFrame, salts: int) -> DataFrame:
-    """``(sample, gene, i, x)``. The abundance vector is copied to every salt, so the
-    classes of one deep group are worked on by many tasks."""
+    """``(sample, gene, i, x, theta, done, iters)``: expected reads per contig under the current abundances.
+
+    The abundance vector is copied to every salt, so the classes of one deep group are
+    worked on by many tasks. The state is read once, which keeps the plan of many
+    iterations linear. Groups that are done only pass their vector on.
+    """
     spread = state.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    hits = classes.join(spread, [*GROUP, "salt"]).select(*GROUP, F.explode(_shares(F.col("theta"))).alias("s"))
-    return hits.groupBy(*GROUP, "s.i").agg(F.sum("s.x").alias("x"))
+    j = classes.join(spread, [*GROUP, "salt"]).where("not done or n = 0")
+    raw = F.zip_with("idx", "w", lambda i, w: F.struct(i.alias("i"), (F.get("theta", i) * w).alias("u"), F.get("theta", i).alias("theta")))
+    j = j.withColumn("_raw", raw).withColumn("_den", F.greatest(F.aggregate("_raw", F.lit(0.0), lambda acc, x: acc + x.u), F.lit(1e-30)))
+    hits = j.select(*GROUP, "done", "iters", "n", "_den", F.explode("_raw").alias("r"))
+    return hits.groupBy(*GROUP, F.col("r.i").alias("i")).agg(
+        F.sum(F.col("n") * F.col("r.u") / F.col("_den")).alias("x"), F.max("r.theta").alias("theta"), F.max("done").alias("done"), F.max("iters").alias("iters")
+    )
 
 
 def _step(classes: DataFrame, state: DataFrame, tol: float, salts: int) -> DataFrame:
     """One iteration; groups that converged keep their abundances."""
-    active = state.where("not done").select(*GROUP, "theta")
-    zeros = active.select(*GROUP, F.posexplode("theta").alias("i", "x")).withColumn("x", F.lit(0.0))
-    got = _expected(classes, active, salts).unionByName(zeros).groupBy(*GROUP, "i").agg(F.sum("x").alias("x"))
-    entries = got.groupBy(*GROUP).agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("x"))
-    new = state.join(entries, GROUP, "left")
-    raw = F.transform("x", lambda s: s.x + F.lit(FLOOR))
-    new = new.withColumn("raw", raw).withColumn("tot", F.aggregate("raw", F.lit(0.0), lambda acc, v: acc + v))
-    nxt = F.transform("raw", lambda v: v / F.col("tot"))
-    moving = ~F.col("done") & F.col("x").isNotNull()
-    new = new.withColumn("next", F.when(moving, nxt).otherwise(F.col("theta")))
-    delta = F.aggregate(F.zip_with("next", "theta", lambda a, b: F.abs(a - b)), F.lit(0.0), lambda acc, v: acc + v)
+    got = _expected(classes, state, salts).groupBy(*GROUP).agg(
+        F.array_sort(F.collect_list(F.struct("i", "x", "theta"))).alias("v"), F.max("done").alias("done"), F.max("iters").alias("iters")
+    )
+    new = got.withColumn("tot", F.aggregate("v", F.lit(0.0), lambda acc, e: acc + e.x + FLOOR))
+    new = new.withColumn("next", F.transform("v", lambda e: F.when(F.col("done"), e.theta).otherwise((e.x + FLOOR) / F.col("tot"))))
+    delta = F.aggregate(F.zip_with("next", "v", lambda a, e: F.abs(a - e.theta)), F.lit(0.0), lambda acc, d: acc + d)
     return new.select(
         *GROUP, F.col("next").alias("theta"), (F.col("done") | (delta < tol)).alias("done"),
         (F.col("iters") + F.when(F.col("done"), 0).otherwise(1)).alias("iters"),
@@ -93,20 +95,19 @@ def initial_state(numbered: DataFrame) -> DataFrame:
     return n.select(*GROUP, F.array_repeat(F.lit(1.0) / F.col("n"), F.col("n")).alias("theta"), F.lit(False).alias("done"), F.lit(0).alias("iters"))
 
 
-def em_steps(classes: DataFrame, state: DataFrame, steps: int, tol: float = 1e-6, salts: int = 8) -> DataFrame:
-    """A fixed number of iterations as one plan, without an action."""
-    salted = _salted(classes, salts)
+def em_steps(classes: DataFrame, numbered: DataFrame, steps: int, tol: float = 1e-6, salts: int = 8) -> DataFrame:
+    """A fixed number of iterations and the final expected counts as one plan, without an action."""
+    salted, state = _salted(classes, numbered, salts), initial_state(numbered)
     for _ in range(steps):
         state = _step(salted, state, tol, salts)
-    return state
+    return abundances(salted, state, numbered, salts)
 
 
-def abundances(classes: DataFrame, state: DataFrame, numbered: DataFrame, salts: int = 8) -> DataFrame:
+def abundances(salted: DataFrame, state: DataFrame, numbered: DataFrame, salts: int = 8) -> DataFrame:
     """``(sample, gene, contig, theta, weight, iters)``; ``weight`` is the expected read count."""
-    weights = _expected(_salted(classes, salts), state.select(*GROUP, "theta"), salts).withColumnRenamed("i", "idx")
-    theta = state.select(*GROUP, "iters", F.posexplode("theta").alias("idx", "theta"))
-    return numbered.join(theta, [*GROUP, "idx"]).join(weights, [*GROUP, "idx"], "left").select(
-        *GROUP, "contig", "theta", F.coalesce("x", F.lit(0.0)).alias("weight"), "iters"
+    last = _expected(salted, state.withColumn("done", F.lit(False)), salts)
+    return numbered.join(last.withColumnRenamed("i", "idx"), [*GROUP, "idx"]).select(
+        *GROUP, "contig", "theta", F.col("x").alias("weight"), "iters"
     )
 
 
@@ -160,8 +161,8 @@ def em_abundance(alignments: DataFrame, temperature: float = 2.0, max_iter: int
     large = cut_lineage(sizes.where(F.col("n_classes") > small_group).select(*GROUP))
     if large.isEmpty():
         return out
-    big = cut_lineage(_salted(classes.join(large, GROUP, "left_semi"), salts))
     names_of_big = numbered.join(large, GROUP, "left_semi")
+    big = cut_lineage(_salted(classes.join(large, GROUP, "left_semi"), names_of_big, salts))
     state = initial_state(names_of_big)
     done = 0
     while done < max_iter:
@@ -172,7 +173,7 @@ def em_abundance(alignments: DataFrame, temperature: float = 2.0, max_iter: int
         done += block
         if state.where("not done").isEmpty():
             break
-    return out.unionByName(abundances(big.drop("salt"), state, names_of_big, salts))
+    return out.unionByName(abundances(big, state, names_of_big, salts))
 
 
 def rollup_families(abundance: DataFrame, contig_family: DataFrame) -> DataFrame:

@@ -19,8 +19,9 @@ def explode_kmers(df: DataFrame, seq: str, k: int, keep: list[str], spread: bool
     """
     cut = df.select(*keep, F.explode(sq.pieces(F.upper(seq), k, PIECE)).alias("_piece"))
     if spread:
-        cut = cut.repartition("_piece")
-    return cut.select(*keep, F.explode(sq.kmers("_piece", k)).alias("kmer"))
+        # A stated number keeps AQE from merging pieces by their size before they are expanded.
+        cut = cut.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "_piece")
+    return cut.select(*keep, F.explode(sq.kmers("_piece", k)).alias("kmer")).where("kmer is not null")
 
 
 def unique_kmer_index(seqs: DataFrame, k: int, owner: str = "owner", seq: str = "seq", scope: tuple[str, ...] = (),
@@ -32,18 +33,22 @@ def unique_kmer_index(seqs: DataFrame, k: int, owner: str = "owner", seq: str =
     complements of the kept k-mers are added afterwards). ``within`` restricts to
     the k-mers of another index.
 
-    A k-mer's smallest and largest owner agree exactly when there is one owner;
-    both combine map-side, so a k-mer shared by every sequence costs one row per task.
+    A k-mer's smallest and largest owner number agree exactly when there is one owner.
+    Both combine map-side, so a k-mer shared by every sequence costs one row per task;
+    numbers instead of names keep this a hash aggregation (names would force a sort).
     """
     src = seqs.select(*scope, F.col(owner).alias("owner"), F.col(seq).alias("_seq"))
+    # One row per owner of the nomenclature, numbered in one place.
+    owners = src.select(*scope, "owner").distinct().withColumn("_id", F.row_number().over(Window.partitionBy(*scope).orderBy("owner")))
+    src = src.join(owners, [*scope, "owner"])
     if strands == "both":
         src = src.withColumn("_seq", F.explode(F.array(F.upper("_seq"), sq.revcomp("_seq"))))
-    ks = explode_kmers(src, "_seq", k, [*scope, "owner"], spread)
+    ks = explode_kmers(src, "_seq", k, [*scope, "_id"], spread)
     if within is not None:
         shared = [c for c in (*scope, "kmer") if c in within.columns]
         ks = ks.join(within.select(*shared).distinct(), shared, "left_semi")
-    lo_hi = ks.groupBy(*scope, "kmer").agg(F.min("owner").alias("owner"), F.max("owner").alias("_hi"))
-    index = lo_hi.where(F.col("owner") == F.col("_hi")).drop("_hi")
+    lo_hi = ks.groupBy(*scope, "kmer").agg(F.min("_id").alias("_id"), F.max("_id").alias("_hi"))
+    index = lo_hi.where(F.col("_id") == F.col("_hi")).join(owners, [*scope, "_id"]).select(*scope, "kmer", "owner")
     if strands == "forward_then_both":
         index = index.withColumn("kmer", F.explode(F.array("kmer", sq.revcomp("kmer")))).distinct()
     return index
@@ -53,16 +58,22 @@ def index_sizes(index: DataFrame, scope: tuple[str, ...] = ()) -> DataFrame:
     return index.groupBy(*scope, "owner").agg(F.count("*").alias("unique_kmers"))
 
 
+def join_strategy(index_rows: int, k: int, limit_bytes: int = 64 << 20) -> str:
+    """``broadcast`` for an index counted to fit the limit, else ``merge``."""
+    return "broadcast" if index_rows * (k + 64) <= limit_bytes else "merge"
+
+
 def kmer_hits(reads: DataFrame, index: DataFrame, k: int, keys: list[str], seq: str = "seq",
-              scope: tuple[str, ...] = (), spread: bool = False) -> DataFrame:
+              scope: tuple[str, ...] = (), spread: bool = False, strategy: str = "merge") -> DataFrame:
     """``(*keys, owner, n)``: occurrences of owner-specific k-mers per read record.
 
     ``keys`` identify a read record and include the ``scope`` columns. k-mers with
-    several owners are already gone from the index, so a promiscuous k-mer never
-    fans out; Spark broadcasts the index when its measured size allows it.
+    several owners are already gone from the index, so a promiscuous k-mer never fans
+    out. Spark sizes exploded k-mers by the unexploded input, so it must not choose a
+    broadcast by itself; pass ``join_strategy`` of a stored, counted index instead.
     """
     ks = explode_kmers(reads, seq, k, keys, spread)
-    return ks.join(index, [*scope, "kmer"]).groupBy(*keys, "owner").agg(F.count("*").alias("n"))
+    return ks.join(index.hint(strategy), [*scope, "kmer"]).groupBy(*keys, "owner").agg(F.count("*").alias("n"))
 
 
 def kmer_support_rank(reads: DataFrame, index: DataFrame, k: int, group: tuple[str, ...] = ("sample", "gene"),

@@ -256,7 +256,7 @@ def collapse_low_private(fit: DataFrame, families: DataFrame, max_frac: float =
         tiny = ~F.array_contains(F.slice("_q", 3, 2), allele) & (frac < max_frac) & (frac < c / 2 * dose_ratio) & (c > 0) & (c < 0.5)
         current = F.round(dose.quartet_residual(F.col("_q"), share, 1.0, c), DIGITS)
 
-        def trial(rep: Column, pos: Column, slot: int = slot) -> Column:
+        def trial(rep: Column, pos: Column) -> Column:
             t = F.array(*[rep if x == slot else F.get("_q", F.lit(x)) for x in range(4)])
             return F.struct(F.round(dose.quartet_residual(t, share, 1.0, c), DIGITS).alias("residual"), pos.alias("pos"), rep.alias("rep"))
 

@@ -105,7 +105,7 @@ def search_space(kind: str, current: DataFrame, pool: DataFrame, families: DataF
     lists = pool.groupBy(*GROUP).agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "family"))), lambda s: s.family).alias("c"))
     j = cur.join(lists, GROUP)
     swaps = lambda perms: F.array(*[F.array(*[_slot(i) for i in p]) for p in perms])
-    ones = F.flatten(F.array(*[F.transform(F.filter("c", lambda x, s=s: x != _slot(s)), lambda x, s=s: _replace(s, x)) for s in range(4)]))
+    ones = F.flatten(F.array(*[F.transform(F.filter("c", lambda x: x != _slot(s)), lambda x: _replace(s, x)) for s in range(4)]))
     if kind == "swap":
         alts = F.filter(swaps(SIDE_SWAPS), lambda q: F.forall(q, lambda a: F.array_contains("c", a)))
     elif kind == "one":
@@ -113,7 +113,7 @@ def search_space(kind: str, current: DataFrame, pool: DataFrame, families: DataF
     elif kind == "neighbours":
         pairs = [[{x: y, y: x}.get(i, i) for i in range(4)] for x, y in SLOT_SWAPS]
         sorted_c = F.array_sort("c")
-        all_ones = F.flatten(F.array(*[F.transform(sorted_c, lambda x, s=s: _replace(s, x)) for s in range(4)]))
+        all_ones = F.flatten(F.array(*[F.transform(sorted_c, lambda x: _replace(s, x)) for s in range(4)]))
         alts = F.array_distinct(F.concat(F.array(F.col("quartet")), swaps(pairs), all_ones))
         return j.select(*GROUP, F.col("quartet").alias("_cur"), F.posexplode(alts).alias("ord", "quartet")).select(
             *GROUP, "quartet", "ord", (F.col("quartet") == F.col("_cur")).alias("is_current")
@@ -129,7 +129,7 @@ def search_space(kind: str, current: DataFrame, pool: DataFrame, families: DataF
         for s in range(4):
             expected = F.col("chi_r") / 2 if s < 2 else (1.0 - F.col("chi_r")) / 2
             weak = share(_slot(s)) <= F.greatest(F.lit(0.03), expected * 0.25)
-            reps = F.transform(F.filter(top, lambda x, s=s: x != _slot(s)), lambda x, s=s: _replace(s, x))
+            reps = F.transform(F.filter(top, lambda x: x != _slot(s)), lambda x: _replace(s, x))
             parts.append(F.when(weak, reps).otherwise(F.array().cast("array<array<string>>")))
         alts = F.flatten(F.array(*parts))
     elif kind == "full":

@@ -199,7 +199,7 @@ def _split_weights(split: tuple[int, int], chi: Column) -> list[Column]:
     return [(chi if h in split else 1.0 - chi) / 2 for h in range(4)]
 
 
-def vaf_penalties(blocks: DataFrame, chi: Column) -> Column:
+def vaf_penalties(chi: Column) -> Column:
     """Array of six: Σ|AF − expected AF| when a pair of local haplotypes is the recipient's.
 
     The 24 assignments of local to global haplotypes differ only in that choice.
@@ -209,7 +209,7 @@ def vaf_penalties(blocks: DataFrame, chi: Column) -> Column:
         w = _split_weights(split, chi)
         out.append(F.aggregate(
             "obs", F.lit(0.0),
-            lambda acc, o, w=w: acc + F.abs(o.af - sum((w[h] * F.get(o.gt, F.lit(h)) for h in range(1, 4)), w[0] * F.get(o.gt, F.lit(0)))),
+            lambda acc, o: acc + F.abs(o.af - sum((w[h] * F.get(o.gt, F.lit(h)) for h in range(1, 4)), w[0] * F.get(o.gt, F.lit(0)))),
         ))
     return F.array(*out)
 
