@@ -30,9 +30,8 @@ def gene_part(allele: Column | str) -> Column:
 
 
 def field_part(allele: Column | str) -> Column:
-    """Everything behind the first ``*``."""
-    a = _c(allele)
-    return F.substr(a, F.instr(a, "*") + 1)
+    """Everything behind the ``*``."""
+    return F.substring_index(_c(allele), "*", -1)
 
 
 def has_star(allele: Column | str) -> Column:
@@ -69,26 +68,28 @@ def two_field(allele: Column | str, mode: str, bare: str = "keep") -> Column:
       field only when that field is entirely alphabetic.
     """
     a = _c(allele)
+    bare_name = F.replace(F.trim(a), F.lit("HLA-"), F.lit(""))
     if mode == "report":
-        base = clean_allele(a, bare)
-        fields = F.replace(field_part(base), F.lit("G"), F.lit(""))
+        # Same as cleaning first, written so that the cleaned name is not repeated in the expression.
+        plain = F.replace(a, F.lit("HLA-"), F.lit(""))
+        fields = F.replace(field_part(F.regexp_replace(plain, "[A-FH-Za-z]$", "")), F.lit("G"), F.lit(""))
+        other = F.when(a.isNull() | a.isin("", "NA"), F.lit("NA")).otherwise(a if bare == "keep" else plain)
+        gene = gene_part(plain)
     elif mode == "em":
-        base, fields = a, F.get(F.split(a, r"\*"), F.lit(1))
+        fields, other, gene = F.get(F.split(a, r"\*"), F.lit(1)), a, gene_part(a)
     elif mode == "gate":
-        base = F.replace(F.trim(a), F.lit("HLA-"), F.lit(""))
-        fields = F.regexp_replace(field_part(base), "[GP]+$", "")
+        fields, other, gene = F.regexp_replace(field_part(bare_name), "[GP]+$", ""), bare_name, gene_part(bare_name)
     elif mode == "rescue":
-        base = F.replace(F.replace(F.trim(a), F.lit("HLA-"), F.lit("")), F.lit("G"), F.lit(""))
-        base = F.regexp_replace(base, "P+$", "")
-        fields = F.regexp_replace(field_part(base), "(^|:)([A-Za-z]*)[A-Za-z]$", "$1$2")
+        other = F.regexp_replace(F.replace(bare_name, F.lit("G"), F.lit("")), "P+$", "")
+        fields, gene = F.regexp_replace(field_part(other), "(^|:)([A-Za-z]*)[A-Za-z]$", "$1$2"), gene_part(other)
     else:
         raise ValueError(f"unknown two_field mode: {mode}")
-    return F.when(has_star(base), F.concat(gene_part(base), F.lit("*"), first_fields(fields))).otherwise(base)
+    return F.when(has_star(a), F.concat(gene, F.lit("*"), first_fields(fields))).otherwise(other)
 
 
-def ggroup_candidates(allele: Column | str, bare: str = "keep") -> Column:
-    """Names to look up, in order, for the G group of an allele (already cleaned)."""
-    a = clean_allele(allele, bare)
+def ggroup_candidates(cleaned: Column | str) -> Column:
+    """Names to look up, in order, for the G group of a cleaned allele."""
+    a = _c(cleaned)
     n = F.size(F.split(field_part(a), ":"))
     return (
         F.when(~has_star(a) | a.endswith("G"), F.array(F.lit(None).cast("string")))
@@ -99,8 +100,8 @@ def ggroup_candidates(allele: Column | str, bare: str = "keep") -> Column:
 
 
 def field_count(allele: Column | str) -> Column:
-    a = clean_allele(allele, "strip")
-    return F.when(has_star(a), F.size(F.split(F.replace(field_part(a), F.lit("G"), F.lit("")), ":"))).otherwise(0)
+    fields = F.replace(field_part(F.regexp_replace(_c(allele), "[A-FH-Za-z]$", "")), F.lit("G"), F.lit(""))
+    return F.when(has_star(allele), F.size(F.split(fields, ":"))).otherwise(0)
 
 
 def allele_number(allele: Column | str, default: int = 999999, needs_colon: bool = True) -> Column:

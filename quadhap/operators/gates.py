@@ -147,6 +147,6 @@ def lift_alleles(quartets: DataFrame, options: DataFrame) -> DataFrame:
         "nth", F.size(F.filter(F.slice("quartet", F.lit(1), F.col("p") + 1), lambda a: a == F.col("family")))
     )
     known = options.join(uses.select(*GROUP, "family").distinct(), [*GROUP, "family"], "left_semi")
-    lists = known.groupBy(*GROUP, "family").agg(F.slice(F.array_sort(F.collect_list(F.struct("ord", "allele"))), 1, 4).alias("first"), F.max_by("allele", "ord").alias("last"))
+    lists = known.groupBy(*GROUP, "family").agg(F.slice(F.array_sort(F.collect_list(F.struct("ord", "allele"))), 1, 4).alias("first"), F.max_by("allele", F.struct("ord", "allele")).alias("last"))
     named = uses.join(lists, [*GROUP, "family"], "left").withColumn("full", F.coalesce(F.get("first", F.col("nth") - 1)["allele"], "last", "family"))
     return named.groupBy(*GROUP, "quartet").agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "full"))), lambda s: s.full).alias("lifted"))
