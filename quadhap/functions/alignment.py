@@ -28,22 +28,33 @@ def cigar_ops(cigar: Column | str) -> Column:
     return F.zip_with(lens, ops, lambda n, o: F.struct(n.cast("int").alias("len"), o.alias("op")))
 
 
-def _total(ops: Column, keep) -> Column:
-    return F.aggregate(F.filter(ops, keep), F.lit(0), lambda acc, x: acc + x.len)
+def cigar_totals(cigar: Column | str) -> Column:
+    """``struct(m, s, all)``: bases in ``M``, in ``S``, and in all operations, from one pass."""
+    zero = F.struct(F.lit(0).alias("m"), F.lit(0).alias("s"), F.lit(0).alias("all"))
+
+    def add(acc, x):
+        return F.struct(
+            (acc.m + F.when(x.op == "M", x.len).otherwise(0)).alias("m"),
+            (acc.s + F.when(x.op == "S", x.len).otherwise(0)).alias("s"),
+            (acc["all"] + x.len).alias("all"),
+        )
+
+    return F.aggregate(cigar_ops(cigar), zero, add)
 
 
 def match_bases(cigar: Column | str, nm: Column | str) -> Column:
     """Bases in ``M`` minus the edit distance."""
     nm = F.col(nm) if isinstance(nm, str) else nm
-    return _total(cigar_ops(cigar), lambda x: x.op == "M") - F.coalesce(nm, F.lit(0))
+    return cigar_totals(cigar).m - F.coalesce(nm, F.lit(0))
 
 
 def soft_bases(cigar: Column | str) -> Column:
-    return _total(cigar_ops(cigar), lambda x: x.op == "S")
+    return cigar_totals(cigar).s
 
 
 def focus_length(cigar: Column | str) -> Column:
-    return _total(cigar_ops(cigar), lambda x: x.op != "S")
+    t = cigar_totals(cigar)
+    return t["all"] - t.s
 
 
 def aligned_blocks(cigar: Column | str) -> Column:

@@ -26,14 +26,15 @@ def assign_reads_to_genes(alignments: DataFrame, max_nm: int = 2, min_diff: floa
     ``status``: ``assigned``, ``no_proper_alignment``, ``low_identity`` or ``ambiguous``
     (``gene`` is NULL unless assigned). A single candidate gene skips the margin test.
     """
-    ok = (
-        ~aln.has_flag("flag", aln.UNMAPPED) & (F.col("contig") == F.col("mate_contig"))
-        & (aln.soft_bases("cigar") == 0) & (F.coalesce("nm", F.lit(0)) <= max_nm)
+    candidate = (
+        ~aln.has_flag("flag", aln.UNMAPPED) & (F.col("contig") == F.col("mate_contig")) & (F.coalesce("nm", F.lit(0)) <= max_nm)
     )
-    ends = alignments.select("sample", "qname", "contig", F.coalesce(ok, F.lit(False)).alias("ok"), "cigar", "nm").select(
+    # The CIGAR is parsed once, and only where the cheap tests passed.
+    ends = alignments.select("sample", "qname", "contig", "nm", F.when(candidate, aln.cigar_totals("cigar")).alias("c"))
+    ends = ends.withColumn("ok", F.coalesce(F.col("c.s") == 0, F.lit(False))).select(
         "sample", "qname", "contig", F.col("ok").cast("int").alias("ok"),
-        F.when(F.col("ok"), aln.match_bases("cigar", "nm")).otherwise(0).alias("match"),
-        F.when(F.col("ok"), aln.focus_length("cigar")).otherwise(0).alias("focus"),
+        F.when(F.col("ok"), F.col("c.m") - F.coalesce("nm", F.lit(0))).otherwise(0).alias("match"),
+        F.when(F.col("ok"), F.col("c.all")).otherwise(0).alias("focus"),
     )
     contigs = ends.groupBy("sample", "qname", "contig").agg(F.sum("ok").alias("ends"), F.sum("match").alias("match"), F.sum("focus").alias("focus"))
     identity = F.when((F.col("ends") >= 2) & (F.col("focus") > 0), F.col("match") / F.col("focus")).otherwise(0.0)

@@ -105,7 +105,8 @@ def em_converged(t: Tables) -> DataFrame:
 
 PART_WEIGHT = """SELECT l_returnflag AS sample, concat('G', cast(s_nationkey % 5 as string)) AS gene, concat('p', cast(l_partkey as string)) AS contig, cast(sum(cast(l_quantity as int)) as double) AS weight
 FROM {lineitem} JOIN {supplier} ON l_suppkey = s_suppkey GROUP BY 1, 2, 3"""
-CONTIG_FAMILY = "SELECT concat('G', cast(k as string)) AS gene, concat('p', cast(p_partkey as string)) AS contig, p_brand AS family FROM {part} CROSS JOIN (SELECT DISTINCT n_nationkey % 5 AS k FROM {nation}) g"
+CONTIG_FAMILY = """SELECT DISTINCT concat('G', cast(s_nationkey % 5 as string)) AS gene, concat('p', cast(l_partkey as string)) AS contig, p_brand AS family
+FROM {lineitem} JOIN {supplier} ON l_suppkey = s_suppkey JOIN {part} ON l_partkey = p_partkey"""
 
 
 @query("family_rollup", with_(

@@ -91,9 +91,9 @@ def quartet_likelihood(t: Tables) -> DataFrame:
     return fit.select(*GROUP, *cols, micro("nll", 1e3).alias("nll_milli"), micro("gap", 1e3).alias("gap_milli"), "n_reads")
 
 
-def ranked_fit(t: Tables, ranks: tuple[int, int, int, int]) -> DataFrame:
+def ranked_fit(t: Tables, ranks: tuple[int, int, int, int], families: DataFrame | None = None) -> DataFrame:
     """A call whose slots are the families at the given ranks."""
-    f = quartet.family_fractions(t.view(FAMILIES))
+    f = quartet.family_fractions(t.view(FAMILIES) if families is None else families)
     q = f.groupBy(*GROUP).agg(F.array(*[F.max(F.when(F.col("ord") == r, F.col("family"))) for r in ranks]).alias("quartet"))
     return q.join(t.view(CHI).select("sample", F.col("chi_r").alias("chi_fit")), "sample")
 
@@ -181,7 +181,7 @@ def linked_fit(t: Tables) -> DataFrame:
     op="SELECT * FROM fr WHERE p <= 9",
     q="SELECT chi0.sample, chi_r, " + ", ".join(f"x{i}.f AS f{i}, x{i}.o AS o{i}, x{i}.p AS p{i}" for i in range(1, 5)) + " FROM chi0 " + " ".join(f"JOIN op x{i} ON x{i}.sample = chi0.sample" for i in range(1, 5)) + " WHERE x1.p <= x2.p AND x3.p <= x4.p"))
 def evidence_fit(t: Tables) -> DataFrame:
-    loci = t.view("SELECT concat('n', lpad(cast(n_nationkey as string), 2, '0')) AS sample, locus FROM {nation} CROSS JOIN (SELECT 'DRB3' AS locus UNION ALL SELECT 'DRB5' AS locus) l")
+    loci = t.view("SELECT concat('n', lpad(cast(n_nationkey as string), 2, '0')) AS sample, 'DRB3' AS locus FROM {nation} UNION ALL SELECT concat('n', lpad(cast(n_nationkey as string), 2, '0')), 'DRB5' FROM {nation}")
     fit = drb345.fit_evidence(t.view(LINKED_FAM), loci, t.view(CHI))
     return fit.select("sample", *[F.get("quartet", F.lit(i)).alias(n) for i, n in enumerate(("r1", "r2", "d1", "d2"))], micro("score").alias("score_micro"))
 

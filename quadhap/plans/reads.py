@@ -269,7 +269,7 @@ ENDS = """SELECT l_returnflag AS sample, concat('r', cast(l_orderkey as string))
   CASE WHEN e = 0 THEN 64 ELSE 128 END + CASE WHEN l_linestatus = 'O' AND l_linenumber = 5 THEN 4 ELSE 0 END AS flag,
   CASE WHEN l_linenumber = 4 AND e = 1 THEN concat('3S', cast(cast(l_quantity as int) as string), 'M') WHEN l_linenumber = 3 THEN concat(cast(cast(l_quantity as int) as string), 'M2I5D7M')
     ELSE concat(cast(cast(l_quantity as int) as string), 'M') END AS cigar, cast(l_partkey % 4 as int) AS nm, l_orderkey, l_linenumber, e, cast(l_quantity as int) AS qty
-FROM {lineitem} JOIN {supplier} ON l_suppkey = s_suppkey CROSS JOIN (SELECT 0 AS e UNION ALL SELECT 1 AS e) ends"""
+FROM (SELECT *, 0 AS e FROM {lineitem} UNION ALL SELECT *, 1 AS e FROM {lineitem}) x JOIN {supplier} ON l_suppkey = s_suppkey"""
 
 CIGAR = """SELECT *, list_sum(list_transform(list_filter(ops, lambda o: o[-1] = 'M'), lambda o: cast(o[:-2] as int))) AS m_, coalesce(list_sum(list_transform(list_filter(ops, lambda o: o[-1] = 'S'), lambda o: cast(o[:-2] as int))), 0) AS s_,
   list_sum(list_transform(list_filter(ops, lambda o: o[-1] <> 'S'), lambda o: cast(o[:-2] as int))) AS f_ FROM (SELECT *, regexp_extract_all(cigar, '[0-9]+[MIDNS]') AS ops FROM ends)"""
@@ -326,7 +326,8 @@ def family_support(t: Tables) -> DataFrame:
     return assign.family_support(t.view(FAMS))
 
 
-PAIR_LIST = "SELECT DISTINCT a.p_brand AS a, b.p_brand AS b FROM {part} a JOIN {part} b ON a.p_size = b.p_size AND a.p_brand < b.p_brand WHERE a.p_retailprice < 901 AND b.p_retailprice < 901"
+NUMBERED = "(SELECT DISTINCT p_brand, cast(substr(p_brand, 7) as int) AS n FROM {part})"
+PAIR_LIST = f"SELECT a.p_brand AS a, b.p_brand AS b FROM {NUMBERED} a JOIN {NUMBERED} b ON a.n + 1 = b.n"
 
 
 @query("family_overlaps", with_(

@@ -12,6 +12,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quadhap.session import cut_lineage
+
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations").split()
 
 
@@ -29,12 +31,19 @@ class Tables:
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
+        self._stages: dict[str, DataFrame] = {}
 
     def __getattr__(self, name: str) -> DataFrame:
         if name not in TABLES:
             raise AttributeError(name)
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def stage(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        """An intermediate table several parts of one query read: materialised once, like a stored stage output."""
+        if name not in self._stages:
+            self._stages[name] = cut_lineage(build())
+        return self._stages[name]
+
     def view(self, select: str) -> DataFrame:
         used = {t: getattr(self, t) for t in TABLES if "{%s}" % t in select}
         return self.spark.sql(select, **used)

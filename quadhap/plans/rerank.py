@@ -17,12 +17,16 @@ TOP = 6
 NAMES = ("f1", "f2", "f3", "f4")
 
 
+def families(t: Tables) -> DataFrame:
+    return t.stage("families", lambda: t.view(FAMILIES))
+
+
 def current(t: Tables) -> DataFrame:
-    return ranked_fit(t, RANKS).select(*GROUP, "quartet")
+    return t.stage("current", lambda: ranked_fit(t, RANKS, families(t)).select(*GROUP, "quartet"))
 
 
 def pool(t: Tables) -> DataFrame:
-    return rerank.candidates(current(t), None, t.view(FAMILIES), TOP)
+    return t.stage("pool", lambda: rerank.candidates(current(t), None, families(t), TOP))
 
 
 def spelled(df: DataFrame, *extra) -> DataFrame:
@@ -60,7 +64,7 @@ PAIRS = "SELECT a.sample, a.gene, a.o AS i, b.o AS j, a.family AS fa, b.family A
 def search_spaces(t: Tables) -> DataFrame:
     out = None
     for kind in ("one", "swap", "full", "private_one"):
-        s = spelled(rerank.search_space(kind, current(t), pool(t), t.view(FAMILIES), t.view(CHI)), F.lit(kind).alias("kind"))
+        s = spelled(rerank.search_space(kind, current(t), pool(t), families(t), t.view(CHI)), F.lit(kind).alias("kind"))
         out = s if out is None else out.unionByName(s)
     return out
 
@@ -78,7 +82,7 @@ SITE_BASE = BASE | dict(
 
 
 def matrix(t: Tables) -> DataFrame:
-    return rerank.site_matrix(t.view(SITES), t.view(GENO), pool(t))
+    return t.stage("matrix", lambda: rerank.site_matrix(t.view(SITES), t.view(GENO), pool(t)))
 
 
 def sited_sql(src: str, extra: str = "") -> str:
@@ -99,7 +103,7 @@ CLIP = "greatest(0.005::double, least(0.995::double, r * chi + d * (1 - chi)))"
     " UNION ALL ".join(f"SELECT '{n}' AS scorer, sample, gene, f1, f2, f3, f4, {micro_sql('v', '10000.0')} AS value_e4, {micro_sql('chi')} AS chi_micro, n FROM (SELECT *, row_number() OVER (PARTITION BY sample, gene, f1, f2, f3, f4 ORDER BY v, chi) AS o FROM (SELECT sample, gene, f1, f2, f3, f4, chi, round({e}, 12) AS v, count(*) AS n FROM p GROUP BY ALL HAVING count(*) >= 10)) WHERE o = 1" for n, e in SCORE_SQL.items()),
     **SITE_BASE, q=space_sql("swap"), x=sited_sql("q"), p=f"SELECT *, {CLIP} AS p FROM (SELECT x.*, chi_r + k * 0.05::double AS chi FROM x, (VALUES (0), (1), (2)) v(k))"))
 def site_scorers(t: Tables) -> DataFrame:
-    q = rerank.search_space("swap", current(t), pool(t))
+    q = t.stage("swap", lambda: rerank.search_space("swap", current(t), pool(t)))
     grid = current(t).join(t.view(CHI), "sample").select(*GROUP, F.array(*[F.col("chi_r") + k * F.lit(0.05) for k in range(3)]).alias("grid"))
     out = None
     for s in rerank.SCORERS:
@@ -136,11 +140,11 @@ PHASE_GENO = GENO.replace("l_returnflag AS gene, p_size AS site", "'g' AS gene,
     b="SELECT sp.*, pc.n00, pc.n01, pc.n10, pc.n11, " + ", ".join(f"2 * x{h}.g + y{h}.g AS b{h}" for h in range(1, 5)) + " FROM sp JOIN pc ON pc.sample = sp.sample " + " ".join(
         f"JOIN gk x{h} ON x{h}.site = pc.i AND x{h}.family = sp.f{h} JOIN gk y{h} ON y{h}.site = pc.j AND y{h}.family = sp.f{h}" for h in range(1, 5))))
 def phase_likelihood(t: Tables) -> DataFrame:
-    fam = t.view(PHASE_FAM)
+    fam = t.stage("phase_families", lambda: t.view(PHASE_FAM))
     f = quartet.family_fractions(fam)
     cur = f.groupBy(*GROUP).agg(F.array(*[F.max(F.when(F.col("ord") == r, F.col("family"))) for r in RANKS]).alias("quartet"))
-    cands = rerank.candidates(cur, None, fam, TOP)
-    pairs = rerank.phase_pair_counts(t.view(FRAGMENTS), max_sites=40)
+    cands = t.stage("phase_pool", lambda: rerank.candidates(cur, None, fam, TOP))
+    pairs = t.stage("phase_pairs", lambda: rerank.phase_pair_counts(t.view(FRAGMENTS), max_sites=40))
     ends = pairs.select(*GROUP, F.explode(F.array("i", "j")).alias("site")).distinct().withColumns({"af": F.lit(0.0), "dp": F.lit(1)})
     sites = rerank.site_matrix(ends, t.view(PHASE_GENO), cands)
     q = rerank.search_space("one", cur, cands, keep_current=True)
@@ -160,8 +164,8 @@ CHANNELS = SITE_BASE | dict(
 
 
 def channels(t: Tables) -> DataFrame:
-    q = rerank.search_space("one", current(t), pool(t), keep_current=True)
-    return rerank.channel_table(q, t.view(FAMILIES), t.view(CHI), matrix(t), min_sites=12)
+    q = t.stage("one", lambda: rerank.search_space("one", current(t), pool(t), keep_current=True))
+    return rerank.channel_table(q, families(t), t.view(CHI), matrix(t), min_sites=12)
 
 
 @query("af_channels", with_(f"SELECT sample, gene, f1, f2, f3, f4, is_current, {micro_sql('em')} AS em_micro, {micro_sql('af')} AS af_micro, {micro_sql('disc')} AS disc_micro FROM ch", **CHANNELS))
@@ -175,7 +179,7 @@ def af_channels(t: Tables) -> DataFrame:
     FROM (SELECT ch.*, c.em AS cem, c.af AS caf, NOT ch.is_current AND coalesce(round(c.em - ch.em, 12) >= 0.01::double AND round(c.af - ch.af, 12) >= 0.0002::double, false) AS ok, round(c.em - ch.em + (c.af - ch.af), 12) AS gain
       FROM ch JOIN (SELECT sample, gene, em, af FROM ch WHERE is_current) c USING (sample, gene)) GROUP BY ALL""", **CHANNELS))
 def channel_gate(t: Tables) -> DataFrame:
-    rows = channels(t).withColumn("space", F.lit("c0_one"))
+    rows = t.stage("channels", lambda: channels(t)).withColumn("space", F.lit("c0_one"))
     g = rerank.multi_channel_gate(rows, (("C0_one_EM_AF", "c0", "one", ("em", "af")),), {"em": 0.01, "af": 0.0002})
     return g.select(*GROUP, "status", micro("gain").alias("gain_micro"), F.array_join("proposed", ",").alias("proposed"))
 
@@ -191,7 +195,7 @@ DIST = "(4 - greatest((f1 = c1)::int + (f2 = c2)::int, (f1 = c2)::int + (f2 = c1
           JOIN (SELECT sample, gene, min(em) AS lo_em, quantile_cont(em, 0.75) AS hi_em, min(af) AS lo_af, quantile_cont(af, 0.75) AS hi_af FROM ch GROUP BY ALL) USING (sample, gene)
           JOIN (SELECT sample, gene, f1 AS c1, f2 AS c2, f3 AS c3, f4 AS c4 FROM cur) USING (sample, gene)))) GROUP BY sample, gene)""", **CHANNELS))
 def joint_score(t: Tables) -> DataFrame:
-    rows = channels(t).join(current(t).select(*GROUP, F.col("quartet").alias("current")), GROUP)
+    rows = t.stage("channels", lambda: channels(t)).join(current(t).select(*GROUP, F.col("quartet").alias("current")), GROUP)
     j = rerank.joint_score(rows, rerank.JointStrategy("one_position_repair", ("em", "af"), 0.04, 0.04))
     return j.select(*GROUP, "status", micro("best_score").alias("best_micro"), micro("gap").alias("gap_micro"), F.array_join("best", ",").alias("best"))
 
@@ -209,7 +213,7 @@ NEIGHBOURS = " UNION ALL ".join(
     s=f"""SELECT *, round(res + CASE WHEN f1 = f2 AND f1 IN (f3, f4) THEN 0.02::double ELSE 0 END, 12) AS pen FROM (SELECT *, f1 || ',' || f2 || ',' || f3 || ',' || f4 AS q, round({EM_SQL}, 12) AS res FROM (SELECT nb.*, chi_r, """
     + ", ".join(f"(SELECT fraction FROM fr WHERE fr.sample = nb.sample AND fr.gene = nb.gene AND fr.family = nb.f{i}) AS o{i}" for i in range(1, 5)) + " FROM nb JOIN chi0 USING (sample)))"))
 def dose_rerank(t: Tables) -> DataFrame:
-    d = rerank.dose_rerank(current(t), t.view(FAMILIES), t.view(CHI), pool(t), min_gain=0.01)
+    d = rerank.dose_rerank(current(t), families(t), t.view(CHI), pool(t), min_gain=0.01)
     return d.select(*GROUP, micro("best_residual").alias("best_micro"), micro("current_residual").alias("current_micro"), "changed", F.array_join("best", ",").alias("best"))
 
 
