@@ -22,34 +22,37 @@ def family_representatives(alleles: DataFrame, per_family: int = 5, mode: str =
     return top_k(a, ["gene", "family"], [F.desc("len"), F.asc("ord")], per_family)
 
 
-def read_classes(alignments: DataFrame, temperature: float = 2.0, contigs: DataFrame | None = None) -> DataFrame:
-    """``(sample, gene, idx array<int>, w array<double>, n)``: reads with equal evidence, folded.
+def fold_reads(alignments: DataFrame) -> DataFrame:
+    """``(sample, gene, sig, n)``: reads that hit the same contigs with the same score differences, counted.
 
-    ``alignments``: competitive alignments ``(sample, gene, read, contig, score)``. The
-    weight of an alignment is ``exp((score − best) / temperature)``. Reads that hit the
-    same contigs with the same score differences are one class with a count.
+    ``alignments``: competitive alignments ``(sample, gene, read, contig, score)``. This is
+    the only pass over the alignments; everything later works on the folded rows.
     """
     w = Window.partitionBy(*GROUP, "read")
     gaps = alignments.withColumn("gap", F.col("score") - F.max("score").over(w))
     per_read = gaps.groupBy(*GROUP, "read").agg(F.array_sort(F.collect_list(F.struct("contig", "gap"))).alias("sig"))
-    folded = per_read.groupBy(*GROUP, "sig").agg(F.count("*").alias("n"))
-    # Numbering contigs after folding touches classes, not alignments.
-    numbered = contig_numbers(alignments, contigs)
-    flat = folded.select(*GROUP, "sig", "n", F.explode("sig").alias("s")).select(*GROUP, "sig", "n", "s.contig", "s.gap")
-    flat = flat.join(numbered, [*GROUP, "contig"]).groupBy(*GROUP, "sig", "n").agg(F.array_sort(F.collect_list(F.struct("idx", "gap"))).alias("e"))
-    return flat.select(
-        *GROUP, F.transform("e", lambda s: s.idx).alias("idx"), F.transform("e", lambda s: F.exp(s.gap / temperature)).alias("w"), "n"
-    )
+    return per_read.groupBy(*GROUP, "sig").agg(F.count("*").alias("n"))
 
 
-def contig_numbers(alignments: DataFrame, contigs: DataFrame | None = None) -> DataFrame:
+def contig_numbers(folded: DataFrame, contigs: DataFrame | None = None) -> DataFrame:
     """``(sample, gene, contig, idx)``; with ``contigs (gene, contig)`` also those without reads."""
-    seen = alignments.select(*GROUP, "contig").distinct()
     if contigs is not None:
-        seen = alignments.select(*GROUP).distinct().join(contigs.select("gene", "contig").distinct(), "gene").select(*GROUP, "contig")
+        seen = folded.select(*GROUP).distinct().join(contigs.select("gene", "contig").distinct(), "gene").select(*GROUP, "contig")
+    else:
+        seen = folded.select(*GROUP, F.explode("sig").alias("s")).select(*GROUP, "s.contig").distinct()
     return seen.withColumn("idx", F.row_number().over(Window.partitionBy(*GROUP).orderBy("contig")) - 1)
 
 
+def read_classes(folded: DataFrame, numbered: DataFrame, temperature: float = 2.0) -> DataFrame:
+    """``(sample, gene, idx array<int>, w array<double>, n)`` with the weight
+    ``exp((score − best) / temperature)`` of every alignment of the class."""
+    flat = folded.select(*GROUP, "sig", "n", F.explode("sig").alias("s")).select(*GROUP, "sig", "n", "s.contig", "s.gap")
+    flat = flat.join(numbered, [*GROUP, "contig"]).groupBy(*GROUP, "sig", "n").agg(F.array_sort(F.collect_list(F.struct("idx", "gap"))).alias("e"))
+    return flat.select(
+        *GROUP, F.transform("e", lambda s: s.idx).alias("idx"), F.transform("e", lambda s: F.exp(s.gap / temperature)).alias("w"), "n"
+    )
+
+
 def _salted(classes: DataFrame, numbered: DataFrame, salts: int) -> DataFrame:
     """Classes with a salt, plus one class of weight zero per group that names every contig,
     so that each iteration returns the whole abundance vector."""
@@ -148,8 +151,9 @@ def em_abundance(alignments: DataFrame, temperature: float = 2.0, max_iter: int
     each. Larger ones share a distributed loop whose classes are spread over salts,
     with the lineage cut every ``steps_per_cut`` iterations; each group stops by itself.
     """
-    numbered = contig_numbers(alignments, contigs)
-    classes = cut_lineage(read_classes(alignments, temperature, contigs))
+    folded = cut_lineage(fold_reads(alignments))
+    numbered = cut_lineage(contig_numbers(folded, contigs))
+    classes = cut_lineage(read_classes(folded, numbered, temperature))
     sizes = classes.groupBy(*GROUP).agg(F.count("*").alias("n_classes"))
     n_contigs = numbered.groupBy(*GROUP).agg(F.count("*").alias("size"))
     small = sizes.where(F.col("n_classes") <= small_group).join(n_contigs, GROUP)

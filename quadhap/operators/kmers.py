@@ -17,7 +17,9 @@ def explode_kmers(df: DataFrame, seq: str, k: int, keep: list[str], spread: bool
     pieces (one byte per base) before they grow k-fold, for inputs with few or
     very uneven files; short reads do not need it.
     """
-    cut = df.select(*keep, F.explode(sq.pieces(F.upper(seq), k, PIECE)).alias("_piece"))
+    # Upper-casing happens before cutting; inside the cut it would run once per piece.
+    whole = df.select(*keep, F.upper(seq).alias("_whole"))
+    cut = whole.select(*keep, F.explode(sq.pieces("_whole", k, PIECE)).alias("_piece"))
     if spread:
         # A stated number keeps AQE from merging pieces by their size before they are expanded.
         cut = cut.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "_piece")
@@ -42,7 +44,7 @@ def unique_kmer_index(seqs: DataFrame, k: int, owner: str = "owner", seq: str =
     owners = src.select(*scope, "owner").distinct().withColumn("_id", F.row_number().over(Window.partitionBy(*scope).orderBy("owner")))
     src = src.join(owners, [*scope, "owner"])
     if strands == "both":
-        src = src.withColumn("_seq", F.explode(F.array(F.upper("_seq"), sq.revcomp("_seq"))))
+        src = src.withColumn("_seq", F.explode(F.array("_seq", sq.revcomp("_seq"))))
     ks = explode_kmers(src, "_seq", k, [*scope, "_id"], spread)
     if within is not None:
         shared = [c for c in (*scope, "kmer") if c in within.columns]

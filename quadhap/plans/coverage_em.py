@@ -91,8 +91,9 @@ def _em_sql(steps: int) -> dict[str, str]:
 @query("em_iterations", with_(
     f"SELECT t.sample, t.gene, t.contig, {micro_sql('t.theta')} AS theta_micro, {micro_sql('u.x', '1000.0')} AS weight_milli, {STEPS} AS iters FROM t{STEPS} t JOIN u{STEPS + 1} u USING (sample, gene, contig)", **_em_sql(STEPS)))
 def em_iterations(t: Tables) -> DataFrame:
-    a = competitive(t)
-    classes, numbered = em.read_classes(a), em.contig_numbers(a)
+    folded = t.stage("folded", lambda: em.fold_reads(competitive(t)))
+    numbered = t.stage("numbered", lambda: em.contig_numbers(folded))
+    classes = t.stage("classes", lambda: em.read_classes(folded, numbered))
     out = em.em_steps(classes, numbered, STEPS)
     return out.select("sample", "gene", "contig", micro("theta").alias("theta_micro"), micro("weight", 1e3).alias("weight_milli"), "iters")
 
