@@ -19,16 +19,17 @@ def score_haplotypes(haps: DataFrame, alleles: DataFrame, k: int = 31, match: fl
     ``haps``: ``(sample, gene, block, hap, seq)``; ``alleles``: ``(gene, allele, seq)``.
     This ranks alleles; it does not reproduce base-level alignment scores. k-mers
     carried by all alleles of a gene add the same to each and are counted, not joined.
+    The joins are stated as merge joins because exploded k-mers are larger than Spark assumes.
     """
     keys = ["sample", "gene", "block", "hap"]
     hk = km.explode_kmers(haps, "seq", k, keys, spread).distinct()
     ak = km.explode_kmers(alleles, "seq", k, ["gene", "allele"], spread).distinct()
     n_alleles = alleles.groupBy("gene").agg(F.count_distinct("allele").alias("n_alleles"))
     owners = ak.groupBy("gene", "kmer").agg(F.count("*").alias("owners")).join(n_alleles, "gene")
-    tagged = hk.join(owners, ["gene", "kmer"], "left").withColumn("everywhere", F.col("owners") == F.col("n_alleles"))
+    tagged = hk.join(owners.hint("merge"), ["gene", "kmer"], "left").withColumn("everywhere", F.col("owners") == F.col("n_alleles"))
     base = tagged.groupBy(*keys).agg(F.count("*").alias("total"), F.count_if("everywhere").alias("shared"))
     rare = tagged.where("owners is not null and not everywhere").select(*keys, "kmer")
-    found = rare.join(ak, ["gene", "kmer"]).groupBy(*keys, "allele").agg(F.count("*").alias("found"))
+    found = rare.join(ak.hint("merge"), ["gene", "kmer"]).groupBy(*keys, "allele").agg(F.count("*").alias("found"))
     every = base.join(alleles.select("gene", "allele").distinct(), "gene").join(found, [*keys, "allele"], "left")
     hits = F.col("shared") + F.coalesce("found", F.lit(0))
     return every.select(*keys, "allele", (hits * match - (F.col("total") - hits) * miss).alias("score"))

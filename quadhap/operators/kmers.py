@@ -48,7 +48,7 @@ def unique_kmer_index(seqs: DataFrame, k: int, owner: str = "owner", seq: str =
     ks = explode_kmers(src, "_seq", k, [*scope, "_id"], spread)
     if within is not None:
         shared = [c for c in (*scope, "kmer") if c in within.columns]
-        ks = ks.join(within.select(*shared).distinct(), shared, "left_semi")
+        ks = ks.join(within.select(*shared).distinct().hint("merge"), shared, "left_semi")
     lo_hi = ks.groupBy(*scope, "kmer").agg(F.min("_id").alias("_id"), F.max("_id").alias("_hi"))
     index = lo_hi.where(F.col("_id") == F.col("_hi")).join(owners, [*scope, "_id"]).select(*scope, "kmer", "owner")
     if strands == "forward_then_both":

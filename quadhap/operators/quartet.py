@@ -246,7 +246,7 @@ def collapse_low_private(fit: DataFrame, families: DataFrame, max_frac: float =
     share = dose.fraction_lookup(F.col("_f"))
     c = F.col(chi)
     d = d.withColumns({
-        "_q": F.col("quartet"), "_old": F.col("quartet"),
+        "_q": F.col("quartet"),
         "_cands": F.array_distinct(F.concat(F.slice("quartet", 3, 2), F.coalesce("_top", F.array().cast("array<string>")))),
         "collapsed": F.array().cast("array<string>"),
     })
@@ -273,7 +273,7 @@ def collapse_low_private(fit: DataFrame, families: DataFrame, max_frac: float =
     d = d.withColumn("quartet", F.col("_q"))
     if "score" in fit.columns:
         d = d.withColumn("score", F.when(changed, F.round(dose.quartet_residual(F.col("_q"), share, 1.0, c), DIGITS)).otherwise(F.col("score")))
-    return d.drop("_f", "_top", "_q", "_old", "_cands", "_cur", "_best", "_tiny")
+    return d.drop("_f", "_top", "_q", "_cands", "_cur", "_best", "_tiny")
 
 
 def quartet_residuals(quartets: DataFrame, families: DataFrame, chi: str = "chi_r", out: str = "residual", digits: int = DIGITS) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from quadhap.functions import dose, names
 from quadhap.operators.calls import attach_ggroup
-from quadhap.operators.quartet import DIGITS, chi_values, family_fractions, quartet_residuals
+from quadhap.operators.quartet import DIGITS, family_fractions, quartet_residuals
 from quadhap.operators.ranking import top_k
 
 GROUP = ["sample", "gene"]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quadhap.operators import assign, coverage, em
 from quadhap.plans.reads import SCORED
-from quadhap.plans.registry import Tables, as_sequence, as_sequence_sql, micro, micro_sql, plain, query, with_
+from quadhap.plans.registry import Tables, as_sequence, as_sequence_sql, micro, micro_sql, query, with_
 
 SLOT = "cast(((extract(day FROM ts) - 1) * 24 + extract(hour FROM ts)) * 6 + floor(extract(minute FROM ts) / 10) as int)"
 ALN = f"""SELECT event_type AS sample, concat('chr', cast(user_id % 5 as string)) AS contig, {SLOT} + 1 AS pos, CASE WHEN event_id % 11 = 0 THEN 256 ELSE 0 END AS flag, event_id,

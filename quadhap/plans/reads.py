@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quadhap.functions import alignment as aln
 from quadhap.functions import sequence as sq
-from quadhap.operators import assign, rescue
+from quadhap.operators import assembly, assign, rescue
 from quadhap.operators import kmers as km
 from quadhap.operators.drb345 import locus_pair_support
 from quadhap.plans.registry import Tables, as_sequence, as_sequence_sql, kmer_rows_sql, micro, micro_sql, query, revcomp_sql, with_
@@ -337,3 +337,34 @@ PAIR_LIST = f"SELECT a.p_brand AS a, b.p_brand AS b FROM {NUMBERED} a JOIN {NUMB
 def family_overlaps(t: Tables) -> DataFrame:
     out = assign.family_overlaps(t.view(FAMS), t.view(PAIR_LIST))
     return out.select("sample", "a", "b", "reads_a", "reads_b", "overlap", "top_overlap", "near_top_overlap")
+
+
+HAPS = "SELECT *, CASE sample WHEN 'user' THEN 'en' ELSE 'fr' END AS gene FROM turns"
+HAP_K = 9
+
+
+@query("haplotype_scores", with_(
+    """SELECT b.sample, b.gene, b.conv_id, b.turn, a.source, (2 * coalesce(f.n, 0) - 3 * (b.total - coalesce(f.n, 0)))::bigint AS score FROM (SELECT sample, gene, conv_id, turn, count(*) AS total FROM hk GROUP BY ALL) b
+    JOIN (SELECT DISTINCT owner AS gene, source FROM docs) a USING (gene)
+    LEFT JOIN (SELECT sample, gene, conv_id, turn, source, count(*) AS n FROM hk JOIN ak USING (gene, kmer) GROUP BY ALL) f ON f.sample = b.sample AND f.conv_id = b.conv_id AND f.turn = b.turn AND f.source = a.source""",
+    docs=DOCS, turns=TURNS, haps=HAPS, hk0=kmer_rows_sql("haps", "sample, gene, conv_id, turn", HAP_K), hk="SELECT DISTINCT * FROM hk0",
+    ak0=kmer_rows_sql("docs", "owner, source", HAP_K), ak="SELECT DISTINCT owner AS gene, source, kmer FROM ak0"))
+def haplotype_scores(t: Tables) -> DataFrame:
+    haps = turns(t).select(
+        "sample", F.when(F.col("sample") == "user", "en").otherwise("fr").alias("gene"), F.col("conv_id").alias("block"), F.col("turn").alias("hap"), "seq")
+    alleles = docs(t).select(F.col("owner").alias("gene"), F.col("source").alias("allele"), "seq")
+    s = assembly.score_haplotypes(haps, alleles, HAP_K, spread=True)
+    return s.select("sample", "gene", F.col("block").alias("conv_id"), F.col("hap").alias("turn"), F.col("allele").alias("source"), F.col("score").cast("bigint").alias("score"))
+
+
+@query("built_haplotypes", with_(
+    """SELECT doc_id, hap, md5(string_agg(CASE WHEN (i - 1) % (36 + hap) = 0 THEN 'TT' ELSE c END, '' ORDER BY i)) AS digest FROM (SELECT doc_id, hap, i, substr(p, i - off, 1) AS c
+      FROM (SELECT doc_id, p, off, unnest(range(off + 1, off + length(p) + 1)) AS i FROM piece), (VALUES (1), (2), (3), (4)) v(hap)) GROUP BY doc_id, hap""",
+    docs=DOCS, piece="SELECT doc_id, o AS off, substr(seq, o + 1, 256) AS p FROM (SELECT doc_id, seq, unnest(range(0, length(seq), 256)) AS o FROM docs)"))
+def built_haplotypes(t: Tables) -> DataFrame:
+    d = docs(t).where(F.length("seq") > 0).select(F.col("doc_id").cast("string").alias("sample"), F.lit("g").alias("gene"), F.lit(0).alias("start"), "seq")
+    every = lambda h: F.transform(F.sequence(F.lit(0), F.length("seq") - 1, F.lit(36 + h)), lambda p: F.struct(F.lit(h).alias("hap"), p.alias("pos0")))
+    edits = d.select("sample", "gene", F.explode(F.flatten(F.array(*[every(h) for h in range(1, 5)]))).alias("e"))
+    edits = edits.select("sample", "gene", "e.hap", "e.pos0", F.lit("x").alias("ref"), F.lit("TT").alias("alt"))
+    b = assembly.build_haplotypes(d, edits)
+    return b.select(F.col("sample").cast("bigint").alias("doc_id"), "hap", F.md5("seq").alias("digest"))

@@ -4,9 +4,7 @@ import itertools
 import math
 import random
 
-import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from quadhap.operators import quartet
 
