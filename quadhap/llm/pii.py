@@ -139,10 +139,18 @@ def summarise(found: DataFrame) -> DataFrame:
     return found.select("doc_id", *(count(k) for k in BASE), F.sha2(written(base), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"), F.aggregate("spans", F.lit(0.0), lambda a, s: F.greatest(a, s["score"])).alias("top_score"))
 
 
+def _wanted(kind: Kind):
+    return lambda s: F.lit(kind.name in BASE) | (s["score"] >= LEAST)
+
+
+def _cover(kind: Kind):
+    return lambda acc, s: F.replace(acc, s["value"], F.lit(f"[{kind.name}]"))
+
+
 def redact(docs: DataFrame) -> DataFrame:
     """``doc_id, text`` with every span replaced by its kind in brackets, kinds in their order of registration."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     for k in KINDS:
-        found = F.when(text.rlike(k.pattern), F.filter(kind_spans(text, k), lambda s, k=k: F.lit(k.name in BASE) | (s["score"] >= LEAST)))
-        text = F.coalesce(F.aggregate(found, text, lambda acc, s, k=k: F.replace(acc, s["value"], F.lit(f"[{k.name}]"))), text)
+        wanted = F.when(text.rlike(k.pattern), F.filter(kind_spans(text, k), _wanted(k)))
+        text = F.coalesce(F.aggregate(wanted, text, _cover(k)), text)
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("text"))

@@ -173,7 +173,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents without those that have a near-duplicate of smaller id; of repeated rows of one id and fingerprint one stays. Rows without an id stay."""
+    """The documents without those that have a near-duplicate of smaller id. Rows of one id are one document and stay or go together; rows without an id stay."""
     found = classes(fingerprints(docs))
     gone = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("gone_id")).distinct()
     kept = docs.join(gone, docs["doc_id"].cast("bigint") == gone["gone_id"], "left_anti")
