@@ -149,8 +149,8 @@ def _cover(kind: Kind):
 
 def redact(docs: DataFrame) -> DataFrame:
     """``doc_id, text`` with every span replaced by its kind in brackets, kinds in their order of registration."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     for k in KINDS:
-        wanted = F.when(text.rlike(k.pattern), F.filter(kind_spans(text, k), _wanted(k)))
-        text = F.coalesce(F.aggregate(wanted, text, _cover(k)), text)
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("text"))
+        wanted = F.filter(kind_spans(F.col("text"), k), _wanted(k))
+        rows = rows.withColumn("text", F.aggregate(wanted, F.col("text"), _cover(k)))
+    return rows
