@@ -12,9 +12,11 @@ from quadhap.functions import names
 def read_fasta(spark: SparkSession, path: str, prefix: str | None = None) -> DataFrame:
     """``(name, allele, seq, len)``; the allele is the first token holding ``*``, else the first token.
 
-    ``>`` is the record separator, so large files split across tasks.
+    A line that starts with ``>`` opens a record: the separator is the line break with it, so
+    large files split across tasks and headers may hold the sign. Only a file's first record
+    still carries its own.
     """
-    raw = spark.read.option("lineSep", ">").text(path)
+    raw = spark.read.option("lineSep", "\n>").text(path).select(F.regexp_replace("value", "^>", "").alias("value"))
     header = F.substring_index("value", "\n", 1)
     body = F.substr(F.col("value"), F.instr("value", "\n") + 1)
     tokens = F.split(F.trim(F.regexp_replace(header, r"\s+", " ")), " ")

@@ -101,14 +101,31 @@ def read_cohort_tsv(spark: SparkSession, path: str, sample_pattern: str, gene_pa
 
     ``NA`` and empty cells are NULL. Files may differ in their columns.
     """
-    df = (
-        spark.read.option("header", True).option("sep", "\t").option("nullValue", "NA").option("mergeSchema", True)
-        .option("enforceSchema", False).csv(path)
-    )
-    df = df.withColumn("sample", path_part(sample_pattern, path="_metadata.file_path"))
+    rows = parse_tsv(spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), *_position()))
+    names_ = [r["name"] for r in rows.select(F.explode(F.map_keys("cells")).alias("name")).distinct().orderBy("name").collect()]
+    parts = [path_part(sample_pattern, path="file").alias("sample")]
     if gene_pattern is not None:
-        df = df.withColumn("gene", path_part(gene_pattern, path="_metadata.file_path"))
-    return df
+        parts.append(path_part(gene_pattern, path="file").alias("gene"))
+    taken = {"sample"} | ({"gene"} if gene_pattern is not None else set())
+    return rows.select(*[F.col("cells")[n].alias(n) for n in names_ if n not in taken], *parts)
+
+
+def _position() -> tuple[Column, Column]:
+    """Where a line of a text scan stands in its file: the start of its split, then the order inside it."""
+    return F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("nth")
+
+
+def parse_tsv(lines: DataFrame) -> DataFrame:
+    """``(file, cells map<string,string>)`` of lines ``(file, block, nth, value)``: each file's first line names its cells.
+
+    ``NA`` and empty cells are left out, as are cells without a name and empty lines.
+    """
+    at = F.struct("block", "nth")
+    cells = lines.where(F.trim("value") != "").withColumn("f", F.split("value", "\t")).withColumn("at", at)
+    head = cells.groupBy("file").agg(F.min("at").alias("first"), F.min_by("f", "at").alias("head"))
+    body = cells.join(head, "file").where("at > first")
+    pairs = F.filter(F.arrays_zip(F.col("head").alias("name"), F.col("f").alias("cell")), lambda e: e["name"].isNotNull() & (e["name"] != "") & e["cell"].isNotNull() & ~e["cell"].isin("", "NA"))
+    return body.select("file", F.map_from_entries(pairs).alias("cells"))
 
 
 def read_truth(spark: SparkSession, path: str, set_pattern: str = r"([^/]+)$") -> DataFrame:
@@ -119,7 +136,7 @@ def read_truth(spark: SparkSession, path: str, set_pattern: str = r"([^/]+)$") -
     rows = spark.read.text(path).where(F.trim("value") != "").select(
         path_part(set_pattern, path="_metadata.file_path").alias("set"),
         F.split("value", "\t").alias("f"),
-        F.monotonically_increasing_id().alias("mid"),
+        F.struct("_metadata.file_path", *_position()).alias("mid"),
     )
     first = rows.groupBy("set").agg(F.min("mid").alias("head"))
     rows = rows.join(first, "set")
@@ -144,7 +161,7 @@ def read_chi(spark: SparkSession, pooled: str, fallback: str, sample_pattern: st
             path_part(sample_pattern, path="_metadata.file_path").alias("sample"),
             F.col("value").startswith("GLOBAL").alias("is_global"),
             F.regexp_extract("value", r"chi_R=(\S+)", 1).try_cast("double").alias("v"),
-            F.monotonically_increasing_id().alias("ord"),
+            F.struct("_metadata.file_path", *_position()).alias("ord"),
         )
 
     p = values(pooled)
@@ -160,7 +177,7 @@ def read_rescue_manifest(spark: SparkSession, path: str, sample_pattern: str) ->
     """Candidate families of rescue manifests: the ``# candidate_families`` line and rows with ``candidate=1``."""
     rows = spark.read.text(path).select(
         path_part(sample_pattern, path="_metadata.file_path").alias("sample"), "value",
-        F.monotonically_increasing_id().alias("mid"),
+        F.struct("_metadata.file_path", *_position()).alias("mid"),
     ).where("value <> ''")
     listed = rows.where(F.col("value").rlike(r"^#\s*candidate_families\t")).select(
         "sample", F.explode(F.split(F.substring_index("value", "\t", -1), ",")).alias("family")
@@ -192,15 +209,16 @@ def prefer_sources(tagged: DataFrame, keys: list[str], rank: str = "source_rank"
     return tagged.join(best, keys).where(F.col(rank) == F.col("_best")).drop("_best")
 
 
-def gene_overrides(spec: str) -> dict[str, float]:
-    """``GENE=value`` pairs separated by commas or semicolons."""
-    out = {}
-    for item in filter(None, (part.strip() for part in spec.replace(";", ",").split(","))):
-        gene, sep, value = item.partition("=")
-        if not sep:
-            raise ValueError(f"invalid per-gene parameter: {item!r}")
-        out[gene.strip()] = float(value)
-    return out
+def parse_gene_parameters(settings: DataFrame, text: str = "value") -> DataFrame:
+    """The other columns of ``settings`` with ``(gene, setting)`` for each ``GENE=number`` that the text column lists between commas or semicolons.
+
+    Empty items are skipped; anything else that is not of this form stops the query.
+    """
+    item = F.trim("item")
+    items = settings.withColumn("item", F.explode(F.split(text, "[,;]"))).where(item != "")
+    bad = F.raise_error(F.concat(F.lit("not GENE=number: "), "item"))
+    number = F.when(F.contains("item", F.lit("=")), F.trim(F.substring_index("item", "=", -1)).try_cast("double"))
+    return items.select(*[c for c in settings.columns if c != text], F.trim(F.substring_index("item", "=", 1)).alias("gene"), F.coalesce(number, bad.cast("double")).alias("setting"))
 
 
 def gene_parameter(gene: Column | str, default: float, overrides: dict[str, float]) -> Column:

@@ -75,7 +75,11 @@ def test_small_tables(spark, tmp_path):
     assert truth[("PATIENT", 2)] == ("HLA-A", "A*02:01") and truth[("PATIENT", 3)] == ("HLA-DRB345", "DRB3*01") and len(truth) == 6
     (tmp_path / "m.tsv").write_text("# pairs_scanned\t3\n# candidate_families\tDPB1*04:01, DPB1*02:01\nfamily\tcandidate\nDPB1*05:01\t1\nDPB1*06:01\t0\n")
     assert {r.family for r in tables.read_rescue_manifest(spark, str(tmp_path / "m.tsv"), r"(m)\.tsv").collect()} == {"DPB1*04:01", "DPB1*02:01", "DPB1*05:01"}
-    assert tables.gene_overrides("HLA-A=0.1; HLA-B=0.2") == {"HLA-A": 0.1, "HLA-B": 0.2}
+    settings = spark.createDataFrame([("p1", "HLA-A=0.1; HLA-B=0.2,"), ("p2", "")], "profile string, value string")
+    assert sorted(map(tuple, tables.parse_gene_parameters(settings).collect())) == [("p1", "HLA-A", 0.1), ("p1", "HLA-B", 0.2)]
+    for wrong in ("HLA-A", "HLA-A=x"):
+        with pytest.raises(Exception, match="not GENE=number"):
+            tables.parse_gene_parameters(spark.createDataFrame([(wrong,)], "value string")).collect()
 
 
 def test_chi_logs(spark, tmp_path):
@@ -96,3 +100,17 @@ def test_sinks(spark, tmp_path):
     assert sequences.read_fastq(spark, str(tmp_path / "fq/gene=A")).select("name", "seq").first() == ("r", "ACGT")
     sinks.append_version(reads, reads, str(tmp_path / "v2"), ["gene"])
     assert spark.read.parquet(str(tmp_path / "v2")).groupBy("rescued").count().count() == 2
+
+
+def test_cohort_tables_with_different_columns(spark, tmp_path, small_splits):
+    (tmp_path / "s1_A.tsv").write_text("allele\tweight\textra\nA*01\t1.5\tx\n\nA*02\tNA\t\n")
+    (tmp_path / "s2_B.tsv").write_text("weight\tallele\n" + "".join(f"{i}\tB*{i:03d}\n" for i in range(200)))
+    df = tables.read_cohort_tsv(spark, str(tmp_path / "*.tsv"), r"(s\d)_", r"_([A-Z])\.tsv")
+    got = {(r.sample, r.gene, r.allele): (r.weight, r.extra) for r in df.collect()}
+    assert got[("s1", "A", "A*01")] == ("1.5", "x") and got[("s1", "A", "A*02")] == (None, None)
+    assert all(got[("s2", "B", f"B*{i:03d}")] == (str(i), None) for i in range(200)) and len(got) == 202
+
+
+def test_fasta_headers_with_the_sign(spark, tmp_path):
+    (tmp_path / "b.fa").write_text(">HLA:1 A*01:01 len>5 bp\nACGT\nAC>GT\n>HLA:2 B*02:01\nTT\n")
+    assert {(r.allele, r.seq) for r in sequences.read_fasta(spark, str(tmp_path / "b.fa")).collect()} == {("A*01:01", "ACGTAC>GT"), ("B*02:01", "TT")}
