@@ -16,6 +16,7 @@ from quadhap.operators.ranking import top_k
 GROUP = ["sample", "gene"]
 PAIRS = list(combinations_with_replacement(range(4), 2))
 DIGITS = 12  # scores equal to this many digits count as ties and fall to the ordinal
+TIE = 5e-13  # half of the last of them
 
 
 def family_fractions(families: DataFrame) -> DataFrame:
@@ -26,15 +27,15 @@ def family_fractions(families: DataFrame) -> DataFrame:
     return f.withColumn("ord", F.row_number().over(g.orderBy(F.desc("weight"), "family")))
 
 
-def candidate_pool(families: DataFrame, top_n: int, min_frac: float, forced: DataFrame | None = None,
+def candidate_pool(families: DataFrame, top_n: int | None, min_frac: float, forced: DataFrame | None = None,
                    restrict: DataFrame | None = None) -> DataFrame:
-    """Candidates per (sample, gene): the ``top_n`` heaviest with a share strictly above ``min_frac``,
+    """Candidates per (sample, gene): those with a share strictly above ``min_frac`` (of the ``top_n`` heaviest, if set),
     plus forced families (share 0 when unseen). Groups listed in ``restrict`` use only those families
     and the forced ones. ``ord`` ranks the pool by weight, then name."""
     f = family_fractions(families)
     wanted = F.col("heavy")
     cols = [*GROUP, "family", "weight", "fraction"]
-    f = f.withColumn("heavy", (F.col("ord") <= top_n) & (F.col("fraction") > min_frac))
+    f = f.withColumn("heavy", (F.lit(True) if top_n is None else F.col("ord") <= top_n) & (F.col("fraction") > min_frac))
     for extra, flag in ((forced, "is_forced"), (restrict, "is_listed")):
         if extra is None:
             continue
@@ -71,7 +72,25 @@ def chi_values(chi: Column, grid: tuple[float, float, float] | None) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(n)), lambda i: F.lit(float(lo)) + i * F.lit(float(step)))
 
 
-def fit_quartet_l1(families: DataFrame, chi: DataFrame, top_n: int = 25, min_frac: float = 0.002, forced: DataFrame | None = None,
+def _slots_cost(slots: list[Column], chi: Column) -> Column:
+    """Σ |o − e| − o over the distinct members of four slots ``(ord, family, fraction)``."""
+    total = F.lit(0.0)
+    for x, slot in enumerate(slots):
+        is_first = F.lit(True)
+        for other in slots[:x]:
+            is_first = is_first & (other["ord"] != slot["ord"])
+        n_r, n_d = (sum(((slots[y]["ord"] == slot["ord"]).cast("int") for y in side), F.lit(0)) for side in ((0, 1), (2, 3)))
+        total = total + F.when(is_first, F.abs(slot["fraction"] - dose.expected_dose(n_r, n_d, chi)) - slot["fraction"]).otherwise(0.0)
+    return total
+
+
+def _named_pairs(members: Column) -> Column:
+    """All pairs (a, b) of a list of members with a's name not behind b's."""
+    pairs = F.flatten(F.transform(members, lambda a: F.transform(members, lambda b: F.struct(a.alias("a"), b.alias("b")))))
+    return F.filter(pairs, lambda p: p["a"]["family"] <= p["b"]["family"])
+
+
+def fit_quartet_l1(families: DataFrame, chi: DataFrame, top_n: int | None = None, min_frac: float = 0.002, forced: DataFrame | None = None,
                    restrict: DataFrame | None = None, chi_grid: tuple[float, float, float] | None = None,
                    chi_prior: float = 0.0, scope: str = "candidates", min_pool: int = 2, slot_order: str = "name") -> DataFrame:
     """Quartet with the least Σ|observed − expected|: ``(sample, gene, quartet, score, chi_fit, chi_r)``.
@@ -82,31 +101,60 @@ def fit_quartet_l1(families: DataFrame, chi: DataFrame, top_n: int = 25, min_fra
     Expected share e costs a candidate with share o the amount ``max(−e, e − 2o)``, which
     never grows with o. Swapping an unused heavier candidate in for a lighter one thus
     never worsens a quartet, and at most three others are in the way: the four heaviest
-    candidates always hold an optimum, for every χ. So the search is 100 quartets per
-    group however large the pool, and nothing is lost. Ties go to heavier candidates.
+    candidates always hold an optimum, for every χ. So the least score takes 100 quartets
+    per group however large the pool.
+
+    Many quartets reach it, because a candidate at or above its expected share costs the
+    same as any heavier one. The first in order wins: both sides are listed by name, and
+    quartets are ordered by the weight ranks of their four slots. Members that can stand in
+    such a quartet are the four heaviest, their equals, and those at or above the smallest
+    expected share; shares add up to one, so they are few. The recipient pair is found
+    first (the best donor pair for it is among the heaviest and itself), then the donor pair.
 
     ``scope`` sets which families the score sums over: the pool, or ``all``. Slots of a
     side are listed by ``name`` or by ``rank`` (heavier first).
     """
     pool = candidate_pool(families, top_n, min_frac, forced, restrict)
-    top = F.slice(F.array_sort(F.collect_list(F.struct("ord", "family", "fraction"))), 1, 4)
+    members = F.array_sort(F.collect_list(F.struct("ord", "family", "fraction")))
     base = F.sum("fraction") if scope == "candidates" else F.lit(1.0)
-    groups = pool.groupBy(*GROUP).agg(top.alias("c"), F.count("*").alias("n_pool"), base.alias("base"))
-    groups = groups.where(F.col("n_pool") >= min_pool).join(chi.select("sample", "chi_r"), "sample")
+    groups = pool.groupBy(*GROUP).agg(members.alias("all"), F.count("*").alias("n_pool"), base.alias("base"))
+    groups = groups.where(F.col("n_pool") >= min_pool).join(chi.select("sample", "chi_r"), "sample").withColumn("c", F.slice("all", 1, 4))
+    prior = lambda x: chi_prior * F.abs(x - F.col("chi_r")) if chi_prior > 0 else F.lit(0.0)
     patterns = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip("ijkm", r + d)]) for r, d in product(PAIRS, PAIRS)])
     trial = groups.withColumn("p", F.explode(patterns)).where("greatest(p.j, p.m) < size(c)")
     trial = trial.select("*", F.posexplode(chi_values(F.col("chi_r"), chi_grid)).alias("chi_ord", "chi"))
     obs = [F.get("c", F.lit(x))["fraction"] for x in range(4)]
-    score = F.col("base") + _dose_terms(obs, *[F.col(f"p.{n}") for n in "ijkm"], F.col("chi"))
-    if chi_prior > 0:
-        score = score + chi_prior * F.abs(F.col("chi") - F.col("chi_r"))
-    best = trial.withColumn("score", F.round(score, DIGITS)).groupBy(*GROUP).agg(
-        F.min_by(F.struct("c", "p", "score", "chi", "chi_r"), F.struct("score", "p", "chi_ord")).alias("b")
+    score = F.col("base") + _dose_terms(obs, *[F.col(f"p.{n}") for n in "ijkm"], F.col("chi")) + prior(F.col("chi"))
+    scored = trial.withColumn("score", F.round(score, DIGITS)).groupBy(*GROUP, "chi_ord").agg(
+        F.min("score").alias("score"), *[F.first(n).alias(n) for n in ("chi", "chi_r", "base", "all")]
     )
-    fam = {n: F.get("b.c", F.col(f"b.p.{n}"))["family"] for n in "ijkm"}
-    by_name = F.array(F.least(fam["i"], fam["j"]), F.greatest(fam["i"], fam["j"]), F.least(fam["k"], fam["m"]), F.greatest(fam["k"], fam["m"]))
-    quartet = by_name if slot_order == "name" else F.array(*[fam[n] for n in "ijkm"])
-    return best.select(*GROUP, quartet.alias("quartet"), F.col("b.score").alias("score"), F.col("b.chi").alias("chi_fit"), "b.chi_r")
+    at_best = scored.groupBy(*GROUP).agg(
+        F.min("score").alias("score"), F.collect_list(F.struct("chi_ord", "chi", "score")).alias("x"), *[F.first(n).alias(n) for n in ("chi_r", "base", "all")]
+    ).withColumn("x", F.array_sort(F.filter("x", lambda x: x["score"] <= F.col("score") + TIE)))
+    smallest = F.array_min(F.transform("x", lambda x: F.least(x["chi"], 1.0 - x["chi"]) / 2))
+    fourth = F.coalesce(F.get("all", F.lit(3))["fraction"], F.lit(0.0))
+    best = at_best.withColumn("few", F.filter("all", lambda m: (m["ord"] < 4) | (m["fraction"] >= fourth) | (m["fraction"] >= smallest - 1e-9)))
+
+    def first_pair(rows: DataFrame, slots: list[Column], pair: Column) -> DataFrame:
+        """Of rows with a trial quartet, the first ``pair`` per group that reaches the least score."""
+        rows = rows.withColumn("x1", F.explode("x"))
+        reached = F.col("base") + _slots_cost(slots, F.col("x1.chi")) + prior(F.col("x1.chi"))
+        hit = rows.where(F.round(reached, DIGITS) <= F.col("score") + TIE)
+        order = F.struct(pair["a"]["ord"], pair["b"]["ord"], "x1.chi_ord")
+        return hit.groupBy(*GROUP).agg(F.min_by(F.struct(pair.alias("p"), F.col("x1.chi").alias("chi")), order).alias("won"))
+
+    near = lambda p: F.array_distinct(F.concat(F.slice("all", 1, 4), F.array(p["a"], p["b"])))
+    slots = [F.col("r")["a"], F.col("r")["b"], F.col("d")["a"], F.col("d")["b"]]
+    tries = best.withColumn("r", F.explode(_named_pairs(F.col("few")))).withColumn("d", F.explode(_named_pairs(near(F.col("r")))))
+    with_r = best.join(first_pair(tries, slots, F.col("r")).select(*GROUP, F.col("won.p").alias("r")), GROUP)
+    done = with_r.join(first_pair(with_r.withColumn("d", F.explode(_named_pairs(F.col("few")))), slots, F.col("d")), GROUP)
+    sides = [F.col("r"), F.col("won.p")]
+    if slot_order == "name":
+        quartet = F.array(*[p[n]["family"] for p in sides for n in "ab"])
+    else:
+        by_rank = [F.array_sort(F.array(p["a"], p["b"])) for p in sides]
+        quartet = F.array(*[F.get(p, F.lit(i))["family"] for p in by_rank for i in (0, 1)])
+    return done.select(*GROUP, quartet.alias("quartet"), "score", F.col("won.chi").alias("chi_fit"), "chi_r")
 
 
 def family_logweights(alignments: DataFrame, temperature: float = 2.0, family_agg: str = "max") -> DataFrame:
@@ -143,8 +191,8 @@ def quartet_nll(classes: DataFrame, chi: DataFrame, chi_grid: tuple[float, float
     """``(sample, gene, i, j, k, m, chi_ord, chi, nll)`` for every quartet of the pool.
 
     Each class row lists the pool's pairs itself, so classes are never joined to
-    quartets, and the sums combine map-side to one row per quartet and task. The pool
-    is capped by the search's own ``top_n``; the number of reads only adds classes.
+    quartets, and the sums combine map-side to one row per quartet and task. Quartets grow
+    with the fourth power of the pool, which ``min_frac`` bounds; reads only add classes.
     """
     n = F.size("e")
     pairs = F.flatten(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.transform(F.sequence(i, n - 1), lambda j: F.struct(i.alias("a"), j.alias("b")))))
@@ -160,7 +208,7 @@ def quartet_nll(classes: DataFrame, chi: DataFrame, chi_grid: tuple[float, float
     )
 
 
-def fit_quartet_likelihood(read_families: DataFrame, families: DataFrame, chi: DataFrame, top_n: int = 12, min_frac: float = 0.002,
+def fit_quartet_likelihood(read_families: DataFrame, families: DataFrame, chi: DataFrame, top_n: int | None = None, min_frac: float = 0.002,
                            forced: DataFrame | None = None, restrict: DataFrame | None = None,
                            chi_grid: tuple[float, float, float] | None = None, log_floor: float = -25.0,
                            chi_prior: float = 0.0, dose_prior: float = 0.0) -> DataFrame:

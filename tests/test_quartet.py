@@ -107,3 +107,38 @@ def test_forced_quartet_in_other_order_has_no_gap(spark):
     fit = spark.createDataFrame([("s", "g", ["a", "b", "c", "c"], 7.0), ("s", "h", ["a", "b", "c", "c"], 7.0)], "sample string, gene string, quartet array<string>, gap double")
     forced = spark.createDataFrame([("s", "g", ["b", "a", "c", "c"]), ("s", "h", ["a", "b", "c", "c"])], "sample string, gene string, forced array<string>")
     assert {r.gene: r.gap for r in quartet.forced_gap_zero(fit, forced).collect()} == {"g": 0.0, "h": 7.0}
+
+
+def in_order(counts, chis, chi_r, prior, min_frac=0.002):
+    """The first quartet of least score: slots run over the pool by weight, sides listed against name order are passed over."""
+    total = sum(counts.values())
+    pool = [n for n, w in sorted(counts.items(), key=lambda kv: (-kv[1], kv[0])) if w / total > min_frac]
+    obs = {n: counts[n] / total for n in pool}
+    best = None
+    for q in itertools.product(pool, repeat=4):
+        if q[0] > q[1] or q[2] > q[3]:
+            continue
+        s = min(round(sum(abs(obs[n] - q[:2].count(n) * c / 2 - q[2:].count(n) * (1 - c) / 2) for n in pool) + prior * abs(c - chi_r), 12) for c in chis)
+        if best is None or s < best[0]:
+            best = (s, list(q))
+    return best
+
+
+def test_equal_scores_fall_to_the_first_quartet(spark):
+    rng = random.Random(11)
+    rows, chis, counts = [], {}, {"s0": {"X1": 500.0, "X2": 315.0, "M": 70.0, "N": 60.0, "Z": 55.0}}
+    chis["s0"] = 0.1
+    for i in range(1, 220):
+        n = rng.randint(2, 7)
+        letters = rng.sample("ABCDEFGHIJ", n)
+        counts[f"s{i}"] = {x: float(rng.choice([30, 30, 60, 90, 120, 400])) for x in letters}
+        chis[f"s{i}"] = rng.choice([0.02, 0.05, 0.1, 0.2, 0.4, 0.5])
+    rows = [(s, "g", f, w) for s, c in counts.items() for f, w in c.items()]
+    chi = spark.createDataFrame(list(chis.items()), "sample string, chi_r double")
+    for grid, prior in ((None, 0.0), ((0.05, 0.5, 0.15), 0.1)):
+        fit = quartet.fit_quartet_l1(spark.createDataFrame(rows, SCHEMA), chi, chi_grid=grid, chi_prior=prior).collect()
+        assert len(fit) == len(counts)
+        for r in fit:
+            tried = [chis[r.sample]] if grid is None else [grid[0] + k * grid[2] for k in range(4)]
+            score, want = in_order(counts[r.sample], tried, chis[r.sample], prior)
+            assert r.score == pytest.approx(score, abs=1e-11) and r.quartet == want, (r.sample, counts[r.sample], chis[r.sample])
