@@ -48,16 +48,21 @@ def adjust_baseline(scores: DataFrame, baseline: DataFrame, mode: str = "off", w
     return j.withColumn("score", fixed).drop("base")
 
 
-def allele_pool(scores: DataFrame, top_n: int = 10, cap: int = 30) -> DataFrame:
-    """``(sample, gene, allele)``: alleles in the top of some haplotype, cut to the best ``cap`` by global score."""
-    near = top_k(scores, [*GROUP, "block", "hap"], [F.desc("score"), F.asc("allele")], top_n).select(*GROUP, "allele").distinct()
+def allele_pool(scores: DataFrame, top_n: int | None = None, cap: int | None = None) -> DataFrame:
+    """``(sample, gene, allele)``: all scored alleles, or those in the top ``top_n`` of some haplotype, or of these the best ``cap`` by global score."""
+    pool = scores
+    if top_n is not None:
+        pool = top_k(scores, [*GROUP, "block", "hap"], [F.desc("score"), F.asc("allele")], top_n)
+    pool = pool.select(*GROUP, "allele").distinct()
+    if cap is None:
+        return pool
     per_block = scores.groupBy(*GROUP, "block", "allele").agg(F.max("score").alias("best"))
     total = per_block.groupBy(*GROUP, "allele").agg(F.sum("best").alias("total"))
-    return top_k(near.join(total, [*GROUP, "allele"]), GROUP, [F.desc("total"), F.asc("allele")], cap).select(*GROUP, "allele")
+    return top_k(pool.join(total, [*GROUP, "allele"]), GROUP, [F.desc("total"), F.asc("allele")], cap).select(*GROUP, "allele")
 
 
 def _assemble(pdf, paired: bool):
-    """Exhaustive search of one gene: blocks × pool is bounded by the gene and the pool cap."""
+    """Exhaustive search of one gene."""
     import numpy as np
     import pandas as pd
 
@@ -87,7 +92,7 @@ def _assemble(pdf, paired: bool):
     })
 
 
-def assemble(scores: DataFrame, penalties: DataFrame | None = None, top_n: int = 10, cap: int = 30, paired: bool = True) -> DataFrame:
+def assemble(scores: DataFrame, penalties: DataFrame | None = None, top_n: int | None = None, cap: int | None = None, paired: bool = True) -> DataFrame:
     """Best allele quartet of every gene: ``(sample, gene, quartet, score, blocks, splits)``.
 
     ``scores``: ``(sample, gene, block, hap 1..4, allele, score)``; ``penalties``:

@@ -39,16 +39,17 @@ def unique_kmer_index(seqs: DataFrame, k: int, owner: str = "owner", seq: str =
     Both combine map-side, so a k-mer shared by every sequence costs one row per task;
     numbers instead of names keep this a hash aggregation (names would force a sort).
     """
-    src = seqs.select(*scope, F.col(owner).alias("owner"), F.col(seq).alias("_seq"))
-    # One row per owner of the nomenclature, numbered in one place.
-    owners = src.select(*scope, "owner").distinct().withColumn("_id", F.row_number().over(Window.partitionBy(*scope).orderBy("owner")))
-    src = src.join(owners, [*scope, "owner"])
+    src = seqs.select(*scope, F.col(owner).alias("owner"), F.xxhash64(F.col(owner)).alias("_id"), F.col(seq).alias("_seq"))
+    # One row per owner of the nomenclature; two owners with one number would be an error, not a wrong index.
+    owners = src.groupBy(*scope, "_id").agg(F.min("owner").alias("owner"), F.max("owner").alias("_other"))
+    clash = F.raise_error(F.concat_ws(" ", F.lit("owners with equal numbers:"), "owner", "_other")).cast("string")
+    owners = owners.select(*scope, "_id", F.when(F.col("owner") == F.col("_other"), F.col("owner")).otherwise(clash).alias("owner"))
     if strands == "both":
         src = src.withColumn("_seq", F.explode(F.array("_seq", sq.revcomp("_seq"))))
     ks = explode_kmers(src, "_seq", k, [*scope, "_id"], spread)
     if within is not None:
         shared = [c for c in (*scope, "kmer") if c in within.columns]
-        ks = ks.join(within.select(*shared).distinct().hint("merge"), shared, "left_semi")
+        ks = ks.join(within.select(*shared).distinct().hint("shuffle_hash"), shared, "left_semi")
     lo_hi = ks.groupBy(*scope, "kmer").agg(F.min("_id").alias("_id"), F.max("_id").alias("_hi"))
     index = lo_hi.where(F.col("_id") == F.col("_hi")).join(owners, [*scope, "_id"]).select(*scope, "kmer", "owner")
     if strands == "forward_then_both":
@@ -60,19 +61,14 @@ def index_sizes(index: DataFrame, scope: tuple[str, ...] = ()) -> DataFrame:
     return index.groupBy(*scope, "owner").agg(F.count("*").alias("unique_kmers"))
 
 
-def join_strategy(index_rows: int, k: int, limit_bytes: int = 64 << 20) -> str:
-    """``broadcast`` for an index counted to fit the limit, else ``merge``."""
-    return "broadcast" if index_rows * (k + 64) <= limit_bytes else "merge"
-
-
 def kmer_hits(reads: DataFrame, index: DataFrame, k: int, keys: list[str], seq: str = "seq",
-              scope: tuple[str, ...] = (), spread: bool = False, strategy: str = "merge") -> DataFrame:
+              scope: tuple[str, ...] = (), spread: bool = False, strategy: str = "shuffle_hash") -> DataFrame:
     """``(*keys, owner, n)``: occurrences of owner-specific k-mers per read record.
 
     ``keys`` identify a read record and include the ``scope`` columns. k-mers with
     several owners are already gone from the index, so a promiscuous k-mer never fans
     out. Spark sizes exploded k-mers by the unexploded input, so it must not choose a
-    broadcast by itself; pass ``join_strategy`` of a stored, counted index instead.
+    broadcast by itself: the index side is hashed part by part behind the shuffle.
     """
     ks = explode_kmers(reads, seq, k, keys, spread)
     return ks.join(index.hint(strategy), [*scope, "kmer"]).groupBy(*keys, "owner").agg(F.count("*").alias("n"))

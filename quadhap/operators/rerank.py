@@ -284,13 +284,13 @@ def fit_quartet_af(matrix: DataFrame, chi: DataFrame, top_n: int = 40, top_k_row
 
 # ------------------------------------------------------------------- phasing
 
-def phase_pair_counts(observations: DataFrame, max_sites: int | None = 60, max_pairs: int | None = 400) -> DataFrame:
+def phase_pair_counts(observations: DataFrame, max_sites: int | None = None, max_pairs: int | None = None) -> DataFrame:
     """Co-occurrence of site alleles on one fragment: ``(sample, gene, i, j, n00, n01, n10, n11)``.
 
     ``observations``: ``(sample, gene, fragment, site, allele 0/1)`` with ``site`` numbered
     from 0 in position order. A site seen with both alleles on a fragment is left out of
-    it. A fragment lists its own site pairs (at most ``max_sites`` sites), so fragments are
-    not self-joined. The ``max_pairs`` best-covered pairs are kept.
+    it. A fragment lists its own site pairs, so fragments are not self-joined. A caller may
+    limit the sites and the best-covered pairs; by default all are kept.
     """
     o = observations if max_sites is None else observations.where(F.col("site") < max_sites)
     one = o.groupBy(*GROUP, "fragment", "site").agg(F.min("allele").alias("a"), F.max("allele").alias("hi")).where("a = hi")
@@ -493,14 +493,14 @@ def rank_with_gap(scored: DataFrame) -> DataFrame:
 
 
 def dose_rerank(current: DataFrame, families: DataFrame, chi: DataFrame, pool: DataFrame, homozygous_penalty: float = 0.02,
-                min_gain: float = 0.0, max_candidates: int = 10) -> DataFrame:
+                min_gain: float = 0.0) -> DataFrame:
     """Best neighbour of the current quartet by residual: ``(sample, gene, current, best, current_residual, best_residual, changed)``.
 
     A recipient pair homozygous for a donor allele pays ``homozygous_penalty``, so the
-    minor source is not erased lightly. Loci whose pool is smaller than two or larger than
-    ``max_candidates`` are left alone, as are gains below ``min_gain``.
+    minor source is not erased lightly. Loci with fewer than two candidates are left alone,
+    as are gains below ``min_gain``.
     """
-    size = pool.groupBy(*GROUP).agg(F.count("*").alias("n")).where(F.col("n").between(2, max_candidates)).select(*GROUP)
+    size = pool.groupBy(*GROUP).agg(F.count("*").alias("n")).where(F.col("n") >= 2).select(*GROUP)
     near = search_space("neighbours", current, pool.join(size, GROUP, "left_semi"))
     scored = quartet_residuals(near.join(chi.select("sample", "chi_r"), "sample"), families, "chi_r")
     erased = (_slot(0) == _slot(1)) & F.array_contains(F.slice("quartet", 3, 2), _slot(0))
@@ -528,7 +528,7 @@ def kmer_dose_rerank(current: DataFrame, support: DataFrame, chi: DataFrame, min
     """Dose rerank on family-specific k-mer support ``(sample, gene, family, reads, unique_kmers)``."""
     f = support.where((F.col("reads") >= min_hits) & (F.col("unique_kmers") >= min_unique) & (names.allele_number("family") <= max_number))
     f = f.select(*GROUP, "family", F.col("reads").cast("double").alias("weight"))
-    return dose_rerank(current, f, chi, dose_pool(current, f, top=top, min_fraction=0.0), homozygous_penalty=0.0, min_gain=min_gain, max_candidates=1 << 20)
+    return dose_rerank(current, f, chi, dose_pool(current, f, top=top, min_fraction=0.0), homozygous_penalty=0.0, min_gain=min_gain)
 
 
 @dataclass(frozen=True)

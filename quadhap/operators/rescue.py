@@ -14,15 +14,15 @@ from quadhap.operators.ranking import top_k
 
 @dataclass(frozen=True)
 class BinRescue:
-    """Thresholds of the gene-bin rescue."""
+    """Thresholds of the gene-bin rescue. The two ``max_rescue`` limits apply only if set; the manifest then says which bins they stopped."""
 
     k: int = 31
     min_hits: int = 1
     min_margin: int = 1
     require_both_mates: bool = False
     min_mate_hits: int = 1
-    max_rescue_fraction: float = 0.25
-    max_rescue_pairs: int = 100000
+    max_rescue_fraction: float | None = None
+    max_rescue_pairs: int | None = None
     retention_gate: bool = False
     min_full_pairs: int = 50
     max_retained_fraction: float = 0.10
@@ -40,7 +40,7 @@ def choose_gene(pairs: DataFrame, index: DataFrame, p: BinRescue, spread: bool =
     ends = pairs.select("sample", "rec", F.explode(F.array(
         F.struct(F.lit(1).alias("m"), F.col("seq1").alias("s")), F.struct(F.lit(2).alias("m"), F.col("seq2").alias("s"))
     )).alias("e")).select("sample", "rec", "e.m", "e.s")
-    found = km.explode_kmers(ends, "s", p.k, ["sample", "rec", "m"], spread).join(index.hint("merge"), "kmer")
+    found = km.explode_kmers(ends, "s", p.k, ["sample", "rec", "m"], spread).join(index.hint("shuffle_hash"), "kmer")
     per_gene = found.groupBy("sample", "rec", "owner", "kmer").agg(
         F.max((F.col("m") == 1).cast("int")).alias("m1"), F.max((F.col("m") == 2).cast("int")).alias("m2")
     ).groupBy("sample", "rec", "owner").agg(F.count("*").alias("hits"), F.sum("m1").alias("h1"), F.sum("m2").alias("h2"))
@@ -91,11 +91,12 @@ def rescue_binned_reads(pairs: DataFrame, binned: DataFrame, index: DataFrame, t
     genes = pairs.select("sample").distinct().withColumn("gene", F.explode(F.array(*[F.lit(g) for g in target_genes])))
     m = genes.join(counts, ["sample", "gene"], "left").join(sizes, ["sample", "gene"], "left").join(unique, "gene", "left").na.fill(0)
     share = lambda c: F.when(F.col("full_gene_pairs") > 0, F.col(c) / F.col("full_gene_pairs")).otherwise(0.0)
-    by_fraction = F.floor(F.col("original_pairs") * F.lit(p.max_rescue_fraction))
+    ceiling = F.lit(p.max_rescue_pairs).cast("long")
+    by_fraction = F.floor(F.col("original_pairs") * F.lit(p.max_rescue_fraction).cast("double"))
     m = m.withColumns({
         "retained_fraction": share("retained_gene_pairs"),
         "missing_fraction": share("rescued_pairs"),
-        "allowed_pairs": F.when(by_fraction > 0, F.least(F.lit(p.max_rescue_pairs), by_fraction)).otherwise(F.lit(p.max_rescue_pairs)).cast("long"),
+        "allowed_pairs": F.when(by_fraction > 0, F.least(ceiling, by_fraction)).otherwise(ceiling),
     })
     gate = F.when(F.col("rescued_pairs") == 0, "no_rescues").when(F.col("rescued_pairs") > F.col("allowed_pairs"), "skipped_too_many_rescues")
     if p.retention_gate:
@@ -118,13 +119,13 @@ def accepted_rescues(status: DataFrame, manifest: DataFrame) -> DataFrame:
 
 
 def rescue_family_reads(pairs: DataFrame, binned: DataFrame, index: DataFrame, k: int = 31, min_full: int = 2, min_missed: int = 1,
-                        max_retained: float = 0.5, min_unique: int = 100, max_number: int = 100, max_add: int | None = 5000,
+                        max_retained: float = 0.5, min_unique: int = 100, max_number: int = 100, max_add: int | None = None,
                         spread: bool = False) -> tuple[DataFrame, DataFrame]:
     """Pairs of under-binned families.
 
     ``pairs`` and ``binned``: ``(sample, rec, name, seq1, seq2)``; ``index``: family
-    k-mers. Returns ``(added pairs, family table)``. ``max_add`` is the run limit of
-    the rescue itself (first pairs by position); ``None`` adds all.
+    k-mers. Returns ``(added pairs, family table)``. With ``max_add`` only the first pairs by
+    position are added, and ``add_rank`` counts them.
     """
 
     def read_sets(df: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ FROM {lineitem} JOIN {supplier} ON l_suppkey = s_suppkey JOIN {part} ON l_partke
 CHI = "SELECT concat('n', lpad(cast(n_nationkey as string), 2, '0')) AS sample, (n_nationkey % 9 + 1) * cast(0.05 as double) AS chi_r FROM {nation}"
 
 FRACTIONS = "SELECT sample, gene, family, weight, fraction, row_number() OVER (PARTITION BY sample, gene ORDER BY weight DESC, family) AS ord FROM (SELECT *, weight / sum(weight) OVER (PARTITION BY sample, gene) AS fraction FROM fam)"
-POOL = "SELECT sample, gene, family, fraction, ord FROM fr WHERE ord <= 25 AND fraction > 0.002::double"
+POOL = "SELECT sample, gene, family, fraction, ord FROM fr WHERE fraction > 0.002::double"
 
 
 def residual_sql(slots: list[str], shares: list[str], total: str, chi: str = "chi") -> str:
@@ -33,7 +33,7 @@ def _brute(grid: str) -> dict[str, str]:
     """Every ordered pair of pairs of the pool, without the library's pruning."""
     return dict(
         fam=FAMILIES, chi0=CHI, fr=FRACTIONS, pool=POOL,
-        pr="SELECT a.sample, a.gene, a.ord AS i, b.ord AS j, a.family AS fa, b.family AS fb, a.fraction AS oa, b.fraction AS ob FROM pool a JOIN pool b ON a.sample = b.sample AND a.gene = b.gene AND a.ord <= b.ord",
+        pr="SELECT a.sample, a.gene, a.ord AS i, b.ord AS j, a.family AS fa, b.family AS fb, a.fraction AS oa, b.fraction AS ob FROM pool a JOIN pool b ON a.sample = b.sample AND a.gene = b.gene AND a.family <= b.family",
         base="SELECT sample, gene, sum(fraction) AS base FROM pool GROUP BY ALL",
         q=f"""SELECT r.sample, r.gene, r.i, r.j, d.i AS k, d.j AS m, r.fa AS f1, r.fb AS f2, d.fa AS f3, d.fb AS f4, r.oa AS o1, r.ob AS o2, d.oa AS o3, d.ob AS o4, base, chi_r, chi, chi_ord
           FROM pr r JOIN pr d ON r.sample = d.sample AND r.gene = d.gene JOIN base ON base.sample = r.sample AND base.gene = r.gene JOIN chi0 ON chi0.sample = r.sample, {grid}""",
@@ -65,12 +65,12 @@ def quartet_chi_grid(t: Tables) -> DataFrame:
     return spelled(fit, micro("chi_fit").alias("chi_micro"))
 
 
-READ_FAMILY = """SELECT l_returnflag AS sample, l_linestatus AS gene, cast(l_orderkey as string) AS read, p_brand AS family, cast(l_quantity as int) AS score FROM {lineitem} JOIN {part} ON l_partkey = p_partkey"""
+READ_FAMILY = """SELECT l_returnflag AS sample, l_linestatus AS gene, cast(l_orderkey as string) AS read, substr(p_brand, 1, 7) AS family, cast(l_quantity as int) AS score FROM {lineitem} JOIN {part} ON l_partkey = p_partkey"""
 READ_WEIGHT = "SELECT sample, gene, family, cast(count(*) as double) AS weight FROM rf GROUP BY 1, 2, 3"
 FLAG_CHI = "SELECT DISTINCT l_returnflag AS sample, cast(0.2 as double) AS chi_r FROM {lineitem}"
 READ_SQL = dict(
     rf=READ_FAMILY, chi0=FLAG_CHI, fam=READ_WEIGHT, fr=FRACTIONS,
-    pool="SELECT sample, gene, family, ord FROM fr WHERE ord <= 6 AND fraction > 0.002::double",
+    pool="SELECT sample, gene, family, ord FROM fr WHERE fraction > 0.002::double",
     lw="SELECT sample, gene, read, family, max(lw) AS logw FROM (SELECT *, (score - max(score) OVER (PARTITION BY sample, gene, read)) / 2.0::double AS lw FROM rf) GROUP BY ALL",
     rd="SELECT DISTINCT sample, gene, read FROM lw",
     e="SELECT rd.sample, rd.gene, rd.read, pool.ord, pool.family, exp(coalesce(lw.logw, -25)) AS e FROM rd JOIN pool USING (sample, gene) LEFT JOIN lw ON lw.sample = rd.sample AND lw.gene = rd.gene AND lw.read = rd.read AND lw.family = pool.family",
@@ -86,7 +86,7 @@ READ_SQL = dict(
 def quartet_likelihood(t: Tables) -> DataFrame:
     reads = t.view(READ_FAMILY)
     weights = reads.groupBy(*GROUP, "family").agg(F.count("*").cast("double").alias("weight"))
-    fit = quartet.fit_quartet_likelihood(quartet.family_logweights(reads), weights, t.view(FLAG_CHI), top_n=6)
+    fit = quartet.fit_quartet_likelihood(quartet.family_logweights(reads), weights, t.view(FLAG_CHI))
     cols = [F.get("quartet", F.lit(i)).alias(n) for i, n in enumerate(("r1", "r2", "d1", "d2"))]
     return fit.select(*GROUP, *cols, micro("nll", 1e3).alias("nll_milli"), micro("gap", 1e3).alias("gap_milli"), "n_reads")
 

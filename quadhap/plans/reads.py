@@ -146,7 +146,7 @@ def rescue_counters(t: Tables) -> DataFrame:
 @query("rescue_manifest", with_(
     f"""SELECT sample, gene, unique_kmers, original_pairs, full_gene_pairs, retained_gene_pairs, {micro_sql('retained_fraction')} AS retained_micro,
     {micro_sql('missing_fraction')} AS missing_micro, rescued_pairs, allowed_pairs,
-    CASE WHEN rescued_pairs = 0 THEN 'no_rescues' WHEN rescued_pairs > allowed_pairs THEN 'skipped_too_many_rescues'
+    CASE WHEN rescued_pairs = 0 THEN 'no_rescues'
       WHEN full_gene_pairs < 5 THEN 'skipped_low_full_gene_support' WHEN rescued_pairs < 2 THEN 'skipped_low_rescue_pairs'
       WHEN retained_fraction > 0.10 AND missing_fraction < 0.30 THEN 'skipped_retention_ok' ELSE 'written' END AS status FROM m2""",
     **RESCUE,
@@ -159,20 +159,30 @@ def rescue_counters(t: Tables) -> DataFrame:
       coalesce(x, 0) AS rescued_pairs FROM grid LEFT JOIN cnt USING (sample, gene) LEFT JOIN org USING (sample, gene) LEFT JOIN sizes USING (gene)""",
     m2="""SELECT *, CASE WHEN full_gene_pairs > 0 THEN retained_gene_pairs / full_gene_pairs ELSE 0 END AS retained_fraction,
       CASE WHEN full_gene_pairs > 0 THEN rescued_pairs / full_gene_pairs ELSE 0 END AS missing_fraction,
-      CASE WHEN floor(original_pairs * 0.25) > 0 THEN least(100000, floor(original_pairs * 0.25)) ELSE 100000 END::bigint AS allowed_pairs FROM m1"""))
+      NULL::bigint AS allowed_pairs FROM m1"""))
 def rescue_manifest(t: Tables) -> DataFrame:
     return rescued(t)[1].select(
         "sample", "gene", "unique_kmers", "original_pairs", "full_gene_pairs", "retained_gene_pairs", micro("retained_fraction").alias("retained_micro"),
         micro("missing_fraction").alias("missing_micro"), "rescued_pairs", "allowed_pairs", "status")
 
 
+@query("accepted_rescues", with_(
+    "SELECT s.sample, rec, name, s.gene FROM status s JOIN written w ON s.sample = w.sample AND s.gene = w.gene WHERE s.status = 'rescued'",
+    **RESCUE,
+    written="""SELECT sample, gene FROM (SELECT sample, gene, count(*) AS f, count(*) FILTER (status = 'already_in_target_gene') AS r, count(*) FILTER (status = 'rescued') AS x
+      FROM status WHERE gene IN ('en', 'fr', 'de') GROUP BY ALL) WHERE f >= 5 AND x >= 2 AND NOT (r / f > 0.10 AND x / f < 0.30)"""))
+def accepted_rescues(t: Tables) -> DataFrame:
+    return rescue.accepted_rescues(*rescued(t)).select("sample", "rec", "name", "gene")
+
+
 def sources(t: Tables) -> DataFrame:
     """Document sources named like allele families."""
     return docs(t).select(F.concat(F.lit("S*"), F.lpad(F.regexp_extract("source", r"(\d+)", 1), 3, "0"), F.lit(":01")).alias("owner"), "seq")
 
 
 SOURCES = "SELECT 'S*' || lpad(regexp_extract(source, '([0-9]+)', 1), 3, '0') || ':01' AS owner, seq FROM docs"
-BINNED = "sample, rec, name, seq1, seq2 FROM pairs WHERE seq2 <> ''"
+# Binning kept every fourth conversation.
+BINNED = "sample, rec, name, seq1, seq2 FROM pairs WHERE (rec // 1000) % 4 = 0"
 
 
 def read_set_sql(pairs_cte: str, k: int, out: str) -> dict[str, str]:
@@ -191,14 +201,18 @@ FAMILY = dict(
     bn="SELECT sample, family, count(*) AS binned_reads FROM bin_set GROUP BY ALL",
     tab=f"""SELECT sample, family, unique_kmers, full_reads, coalesce(binned_reads, 0) AS binned_reads, full_reads - kept AS missed_reads,
       coalesce(binned_reads, 0) / full_reads AS rf FROM ret JOIN sizes USING (family) LEFT JOIN bn USING (sample, family)""",
-    cand="""SELECT *, full_reads >= 2 AND missed_reads >= 1 AND rf <= 0.9 AND unique_kmers >= 100 AND cast(regexp_extract(family, '[*]([0-9]+)', 1) as int) <= 12 AS candidate FROM tab""",
+    cand="""SELECT *, full_reads >= 2 AND missed_reads >= 1 AND rf <= 0.5 AND unique_kmers >= 100 AND cast(regexp_extract(family, '[*]([0-9]+)', 1) as int) <= 12 AS candidate FROM tab""",
 )
 
 
+def kept(p: DataFrame) -> DataFrame:
+    return p.where("(rec div 1000) % 4 = 0")
+
+
 def family_rescue(t: Tables):
     p = pairs(t)
     index = km.unique_kmer_index(sources(t), K)
-    return rescue.rescue_family_reads(p, p.where("seq2 <> ''"), index, K, max_retained=0.9, max_number=12, max_add=None)
+    return rescue.rescue_family_reads(p, kept(p), index, K, max_number=12)
 
 
 @query("rescue_family_table", with_(f"SELECT sample, family, unique_kmers, full_reads, binned_reads, missed_reads, {micro_sql('rf')} AS retained_micro, candidate FROM cand", **FAMILY))
@@ -236,7 +250,7 @@ RC = ("full_reads", "binned_reads", "retained_reads", "missed_reads")
 def retention_diagnosis(t: Tables) -> DataFrame:
     p = pairs(t)
     ends = lambda d: d.select("sample", "name", F.explode(F.array("seq1", "seq2")).alias("seq"))
-    out = km.retention_diagnosis(ends(p), ends(p.where("seq2 <> ''")), sources(t), (10, 13))
+    out = km.retention_diagnosis(ends(p), ends(kept(p)), sources(t), (10, 13))
     return out.select("sample", "family", *[f"{c}_k{k}" for k in (10, 13) for c in RC], "diagnosis")
 
 

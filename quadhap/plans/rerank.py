@@ -115,15 +115,15 @@ def site_scorers(t: Tables) -> DataFrame:
 
 FRAGMENTS = "SELECT l_returnflag AS sample, 'g' AS gene, l_orderkey AS fragment, p_size - 1 AS site, CASE WHEN l_tax > 0.04 THEN 1 ELSE 0 END AS allele FROM {lineitem} JOIN {part} ON l_partkey = p_partkey"
 PHASE = dict(
-    f=FRAGMENTS, o="SELECT sample, gene, fragment, site, min(allele) AS a FROM f WHERE site < 40 GROUP BY ALL HAVING min(allele) = max(allele)",
+    f=FRAGMENTS, o="SELECT sample, gene, fragment, site, min(allele) AS a FROM f GROUP BY ALL HAVING min(allele) = max(allele)",
     pc0="SELECT a.sample, a.gene, a.site AS i, b.site AS j, " + ", ".join(f"count(CASE WHEN a.a = {x} AND b.a = {y} THEN 1 END) AS n{x}{y}" for x in (0, 1) for y in (0, 1)) + " FROM o a JOIN o b ON a.sample = b.sample AND a.gene = b.gene AND a.fragment = b.fragment AND a.site < b.site GROUP BY ALL",
-    pc="SELECT sample, gene, i, j, n00, n01, n10, n11 FROM (SELECT *, row_number() OVER (PARTITION BY sample, gene ORDER BY n00 + n01 + n10 + n11 DESC, i, j) AS r FROM pc0) WHERE r <= 400",
+    pc="SELECT sample, gene, i, j, n00, n01, n10, n11 FROM pc0",
 )
 
 
 @query("phase_pairs", with_("SELECT * FROM pc", **PHASE))
 def phase_pairs(t: Tables) -> DataFrame:
-    c = rerank.phase_pair_counts(t.view(FRAGMENTS), max_sites=40)
+    c = rerank.phase_pair_counts(t.view(FRAGMENTS))
     return c.select("sample", "gene", "i", "j", "n00", "n01", "n10", "n11")
 
 
@@ -144,7 +144,7 @@ def phase_likelihood(t: Tables) -> DataFrame:
     f = quartet.family_fractions(fam)
     cur = f.groupBy(*GROUP).agg(F.array(*[F.max(F.when(F.col("ord") == r, F.col("family"))) for r in RANKS]).alias("quartet"))
     cands = t.stage("phase_pool", lambda: rerank.candidates(cur, None, fam, TOP))
-    pairs = t.stage("phase_pairs", lambda: rerank.phase_pair_counts(t.view(FRAGMENTS), max_sites=40))
+    pairs = t.stage("phase_pairs", lambda: rerank.phase_pair_counts(t.view(FRAGMENTS)))
     ends = pairs.select(*GROUP, F.explode(F.array("i", "j")).alias("site")).distinct().withColumns({"af": F.lit(0.0), "dp": F.lit(1)})
     sites = rerank.site_matrix(ends, t.view(PHASE_GENO), cands)
     q = rerank.search_space("one", cur, cands, keep_current=True)
@@ -228,14 +228,11 @@ def quartet_af(t: Tables) -> DataFrame:
     return f.select(*GROUP, micro("score").alias("score_micro"), "n_sites")
 
 
-SCORES = """SELECT concat('n', lpad(cast(s_nationkey as string), 2, '0')) AS sample, 'g' AS gene, l_linestatus AS ls, CASE WHEN l_linestatus = 'O' THEN 1 ELSE 2 END AS block, l_linenumber AS hap, p_brand AS allele, cast(sum(cast(l_quantity as int)) as double) AS score
-FROM {lineitem} JOIN {supplier} ON l_suppkey = s_suppkey JOIN {part} ON l_partkey = p_partkey WHERE l_linenumber <= 4 GROUP BY 1, 2, 3, 4, 5, 6"""
-POOL_CAP = 5
+SCORES = """SELECT concat('n', lpad(cast(s_nationkey as string), 2, '0')) AS sample, 'g' AS gene, l_linestatus AS ls, CASE WHEN l_linestatus = 'O' THEN 1 ELSE 2 END AS block, (l_linenumber - 1) % 4 + 1 AS hap, substr(p_brand, 1, 7) AS allele, cast(sum(cast(l_quantity as int)) as double) AS score
+FROM {lineitem} JOIN {supplier} ON l_suppkey = s_suppkey JOIN {part} ON l_partkey = p_partkey GROUP BY 1, 2, 3, 4, 5, 6"""
 SCORE_CELLS = dict(
     sc=SCORES,
-    near="SELECT DISTINCT sample, allele FROM (SELECT *, row_number() OVER (PARTITION BY sample, block, hap ORDER BY score DESC, allele) AS r FROM sc) WHERE r <= 3",
-    tot="SELECT sample, allele, sum(b) AS total FROM (SELECT sample, block, allele, max(score) AS b FROM sc GROUP BY ALL) GROUP BY ALL",
-    pool=f"SELECT sample, allele FROM (SELECT *, row_number() OVER (PARTITION BY sample ORDER BY total DESC, allele) AS r FROM near JOIN tot USING (sample, allele)) WHERE r <= {POOL_CAP}",
+    pool="SELECT DISTINCT sample, allele FROM sc",
     cell="SELECT b.sample, b.block, h.hap, p.allele, coalesce(sc.score, 0) AS score FROM (SELECT DISTINCT sample, block FROM sc JOIN pool USING (sample, allele)) b JOIN pool p ON p.sample = b.sample, (VALUES (1), (2), (3), (4)) h(hap) LEFT JOIN sc ON sc.sample = b.sample AND sc.block = b.block AND sc.hap = h.hap AND sc.allele = p.allele".replace(", (VALUES", " CROSS JOIN (VALUES"),
     wide="SELECT sample, block, allele, " + ", ".join(f"max(CASE WHEN hap = {h} THEN score END) AS h{h}" for h in range(1, 5)) + " FROM cell GROUP BY ALL",
     pr="SELECT a.sample, a.allele AS x, b.allele AS y FROM pool a JOIN pool b ON a.sample = b.sample AND a.allele <= b.allele",
@@ -253,5 +250,5 @@ def paired_assembly(t: Tables) -> DataFrame:
     # A split costs ten per position of its first recipient haplotype.
     cost = F.array(*[F.lit(10.0 * min(split)) for split, _ in assembly.SPLITS])
     penalties = s.select("sample", "gene", "block").distinct().withColumn("penalty", cost)
-    a = assembly.assemble(s.select("sample", "gene", "block", "hap", "allele", "score"), penalties, top_n=3, cap=POOL_CAP)
+    a = assembly.assemble(s.select("sample", "gene", "block", "hap", "allele", "score"), penalties)
     return a.select("sample", *[F.get("quartet", F.lit(i)).alias(n) for i, n in enumerate(NAMES)], F.col("score").cast("bigint").alias("score"))
