@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quadhap.functions import alignment as aln
 from quadhap.functions import sequence as sq
+from quadhap.operators.ranking import overlapping
 
 
 def depth(alignments: DataFrame, regions: DataFrame) -> DataFrame:
@@ -21,10 +22,10 @@ def depth(alignments: DataFrame, regions: DataFrame) -> DataFrame:
         "sample", F.col("contig").alias("chrom"), (F.col("pos") - 1).alias("p0"), F.explode(aln.aligned_blocks("cigar")).alias("r")
     ).select("sample", "chrom", (F.col("p0") + F.col("r.offset")).alias("s"), (F.col("p0") + F.col("r.offset") + F.col("r.len")).alias("e"))
     r = regions.select("chrom", "start", "end", "gene")
-    cut = runs.join(r, "chrom").where("s < end and e > start").select(
+    cut = overlapping(runs, r, "s", "e").select(
         "sample", "gene", F.explode(F.array(
-            F.struct(F.greatest("s", "start").alias("pos0"), F.lit(1).alias("d")),
-            F.struct(F.least("e", "end").alias("pos0"), F.lit(-1).alias("d")),
+            F.struct(F.greatest("s", "r_start").alias("pos0"), F.lit(1).alias("d")),
+            F.struct(F.least("e", "r_end").alias("pos0"), F.lit(-1).alias("d")),
         )).alias("x")
     )
     steps = cut.groupBy("sample", "gene", "x.pos0").agg(F.sum("x.d").alias("d"))

@@ -36,3 +36,23 @@ def occurrence_number(df: DataFrame, keys: list[str], ordinal: str, width: int =
     """1, 2, 3 … for repeated keys in ordinal order (``ordinal`` is a unique integer position)."""
     bucket = F.floor(F.col(ordinal) / F.lit(width))
     return running_sums(df, keys, bucket, [F.col(ordinal)], {out: F.lit(1)})
+
+
+BIN = 1 << 14  # bases
+
+
+def overlapping(spans: DataFrame, regions: DataFrame, start: str, end: str) -> DataFrame:
+    """Spans ``[start, end)`` joined with the regions ``(chrom, start, end, gene)`` of their chromosome that they meet.
+
+    Both sides are cut into bins of the chromosome, so that one chromosome is many keys;
+    a pair is kept in the first bin the two have in common. Region columns come as
+    ``chrom, gene, r_start, r_end``.
+    """
+    def bins(first, behind):
+        return F.sequence(F.floor(first / BIN), F.floor((behind - 1) / BIN))
+
+    r = regions.where("start < end").select("chrom", "gene", F.col("start").alias("r_start"), F.col("end").alias("r_end"))
+    r = r.withColumn("_bin", F.explode(bins(F.col("r_start"), F.col("r_end"))))
+    s = spans.where(F.col(start) < F.col(end)).withColumn("_bin", F.explode(bins(F.col(start), F.col(end))))
+    met = (F.col(start) < F.col("r_end")) & (F.col(end) > F.col("r_start"))
+    return s.join(r, ["chrom", "_bin"]).where(met & (F.col("_bin") == F.floor(F.greatest(start, "r_start") / BIN))).drop("_bin")

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quadhap.functions import dose
-from quadhap.operators.ranking import running_sums
+from quadhap.operators.ranking import overlapping, running_sums
 
 R_SPLITS = list(combinations(range(4), 2))  # which two of four haplotypes are the recipient's
 BINS = 50
@@ -157,9 +157,8 @@ def reassign_genotypes(sites: DataFrame, chi: DataFrame, min_depth: int = 10, dr
 
 def in_regions(sites: DataFrame, regions: DataFrame) -> DataFrame:
     """Sites inside ``[start, end)`` of a region of their chromosome (zero-based), with the region's gene."""
-    r = regions.select("chrom", "start", "end", "gene")
-    p0 = F.col("pos") - 1
-    return sites.join(r, "chrom").where((p0 >= F.col("start")) & (p0 < F.col("end")))
+    at = sites.withColumns({"_p0": F.col("pos") - 1, "_p1": F.col("pos")})
+    return overlapping(at, regions, "_p0", "_p1").drop("_p0", "_p1").withColumnsRenamed({"r_start": "start", "r_end": "end"})
 
 
 def phase_blocks(sites: DataFrame) -> DataFrame:

@@ -43,7 +43,8 @@ MASK = DEPTH | dict(
 MASK["low"] = MASK["low"].replace("{min_depth}", "2.0")
 
 
-@query("lowcov_mask", with_("SELECT d.sample, d.gene, d.pos0, m.pos0 IS NOT NULL AS masked FROM depth d LEFT JOIN masked m USING (sample, gene, pos0)", **MASK))
+@query("lowcov_mask", with_("""SELECT sample, gene, pos0, coalesce(bool_or(is_low) OVER (PARTITION BY sample, gene ORDER BY pos0 ROWS BETWEEN 1 FOLLOWING AND 20 FOLLOWING), false) AS masked
+  FROM (SELECT *, i > 20 AND mean < 2.0 AS is_low FROM num)""", **MASK))
 def lowcov_mask(t: Tables) -> DataFrame:
     return coverage.lowcov_mask(depths(t), 20, 2.0).select("sample", "gene", F.col("pos0").cast("int").alias("pos0"), "masked")
 

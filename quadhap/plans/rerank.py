@@ -252,3 +252,13 @@ def paired_assembly(t: Tables) -> DataFrame:
     penalties = s.select("sample", "gene", "block").distinct().withColumn("penalty", cost)
     a = assembly.assemble(s.select("sample", "gene", "block", "hap", "allele", "score"), penalties)
     return a.select("sample", *[F.get("quartet", F.lit(i)).alias(n) for i, n in enumerate(NAMES)], F.col("score").cast("bigint").alias("score"))
+
+
+@query("unpaired_assembly", with_(
+    f"""SELECT sample, f1, f2, f3, f4, score FROM (SELECT *, row_number() OVER (PARTITION BY sample ORDER BY score DESC, f1, f2, f3, f4) AS r FROM (SELECT sample, f1, f2, f3, f4, sum(b)::bigint AS score FROM (
+      SELECT c.*, w1.block, greatest({', '.join(' + '.join(f'w{p[h] + 1}.h{h + 1}' for h in range(4)) for p in permutations(range(4)))}) AS b
+      FROM (SELECT * FROM combo WHERE f2 <= f3) c JOIN wide w1 ON w1.sample = c.sample AND w1.allele = f1 """ + " ".join(f"JOIN wide w{i} ON w{i}.sample = c.sample AND w{i}.block = w1.block AND w{i}.allele = f{i}" for i in range(2, 5)) + ") GROUP BY ALL)) WHERE r = 1",
+    **SCORE_CELLS))
+def unpaired_assembly(t: Tables) -> DataFrame:
+    a = assembly.assemble(t.view(SCORES).select("sample", "gene", "block", "hap", "allele", "score"), paired=False)
+    return a.select("sample", *[F.array_sort("quartet")[i].alias(n) for i, n in enumerate(NAMES)], F.col("score").cast("bigint").alias("score"))
