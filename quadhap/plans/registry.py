@@ -12,8 +12,6 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadhap.session import cut_lineage
-
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations").split()
 
 
@@ -39,9 +37,9 @@ class Tables:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
     def stage(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-        """An intermediate table several parts of one query read: materialised once, like a stored stage output."""
+        """An intermediate table several parts of one query read: planned once, so that equal exchanges are reused."""
         if name not in self._stages:
-            self._stages[name] = cut_lineage(build())
+            self._stages[name] = build()
         return self._stages[name]
 
     def view(self, select: str) -> DataFrame:
