@@ -114,70 +114,26 @@ def abundances(salted: DataFrame, state: DataFrame, numbered: DataFrame, salts:
     )
 
 
-def _solve_group(pdf):
-    """Whole EM of one small group; the same update as ``_step`` on flat arrays."""
-    import numpy as np
-    import pandas as pd
-
-    n_contigs, max_iter, tol = int(pdf["size"].iloc[0]), int(pdf["max_iter"].iloc[0]), float(pdf["tol"].iloc[0])
-    lengths = pdf["idx"].str.len().to_numpy()
-    cls = np.repeat(np.arange(len(pdf)), lengths)
-    idx, w = np.concatenate(pdf["idx"].to_numpy()), np.concatenate(pdf["w"].to_numpy())
-    n = pdf["n"].to_numpy(dtype=float)
-
-    def expected(theta):
-        u = theta[idx] * w
-        denom = np.maximum(np.bincount(cls, u, minlength=len(pdf)), 1e-30)
-        return np.bincount(idx, u * (n / denom)[cls], minlength=n_contigs)
-
-    theta, iters = np.full(n_contigs, 1.0 / n_contigs), 0
-    while iters < max_iter:
-        new = expected(theta) + FLOOR
-        new /= new.sum()
-        delta, theta, iters = np.abs(new - theta).sum(), new, iters + 1
-        if delta < tol:
-            break
-    return pd.DataFrame({
-        "sample": pdf["sample"].iloc[0], "gene": pdf["gene"].iloc[0], "idx": np.arange(n_contigs, dtype="int32"),
-        "theta": theta, "weight": expected(theta), "iters": iters,
-    })
-
-
 def em_abundance(alignments: DataFrame, temperature: float = 2.0, max_iter: int = 300, tol: float = 1e-6, contigs: DataFrame | None = None,
-                 small_group: int = 100_000, steps_per_cut: int = 5, salts: int = 8) -> DataFrame:
-    """Abundances of all groups: ``(sample, gene, contig, theta, weight, iters)``.
+                 steps_per_cut: int = 5, salts: int = 8) -> DataFrame:
+    """Abundances of all groups: ``(sample, gene, contig, theta, weight, iters, converged)``.
 
-    Groups with at most ``small_group`` evidence classes are solved inside one task
-    each. Larger ones share a distributed loop whose classes are spread over salts,
-    with the lineage cut every ``steps_per_cut`` iterations; each group stops by itself.
+    One distributed loop for groups of any size, whose evidence classes are spread over
+    salts; the lineage is cut every ``steps_per_cut`` iterations and each group stops by
+    itself. ``converged`` is false for groups that ``max_iter`` stopped.
     """
     folded = cut_lineage(fold_reads(alignments))
     numbered = cut_lineage(contig_numbers(folded, contigs))
-    classes = cut_lineage(read_classes(folded, numbered, temperature))
-    sizes = classes.groupBy(*GROUP).agg(F.count("*").alias("n_classes"))
-    n_contigs = numbered.groupBy(*GROUP).agg(F.count("*").alias("size"))
-    small = sizes.where(F.col("n_classes") <= small_group).join(n_contigs, GROUP)
-    work = classes.join(small, GROUP).withColumns({"max_iter": F.lit(max_iter), "tol": F.lit(tol)})
-    solved = work.groupBy(*GROUP).applyInPandas(
-        _solve_group, "sample string, gene string, idx int, theta double, weight double, iters int"
-    )
-    out = numbered.join(solved, [*GROUP, "idx"]).select(*GROUP, "contig", "theta", "weight", "iters")
-    large = cut_lineage(sizes.where(F.col("n_classes") > small_group).select(*GROUP))
-    if large.isEmpty():
-        return out
-    names_of_big = numbered.join(large, GROUP, "left_semi")
-    big = cut_lineage(_salted(classes.join(large, GROUP, "left_semi"), names_of_big, salts))
-    state = initial_state(names_of_big)
-    done = 0
-    while done < max_iter:
-        block = min(steps_per_cut, max_iter - done)
-        for _ in range(block):
-            state = _step(big, state, tol, salts)
+    salted = cut_lineage(_salted(read_classes(folded, numbered, temperature), numbered, salts))
+    state = initial_state(numbered)
+    for first in range(0, max_iter, steps_per_cut):
+        for _ in range(min(steps_per_cut, max_iter - first)):
+            state = _step(salted, state, tol, salts)
         state = cut_lineage(state)
-        done += block
         if state.where("not done").isEmpty():
             break
-    return out.unionByName(abundances(big, state, names_of_big, salts))
+    finished = state.select(*GROUP, F.col("done").alias("converged"))
+    return abundances(salted, state, numbered, salts).join(finished, GROUP)
 
 
 def rollup_families(abundance: DataFrame, contig_family: DataFrame) -> DataFrame:

@@ -99,10 +99,27 @@ def em_iterations(t: Tables) -> DataFrame:
     return out.select("sample", "gene", "contig", micro("theta").alias("theta_micro"), micro("weight", 1e3).alias("weight_milli"), "iters")
 
 
-@query("em_converged")
+MOST = 9  # unrolled steps; groups converge in fewer
+
+
+def _converged_sql() -> dict[str, str]:
+    """Steps in which a group keeps its abundances once they moved by less than the tolerance."""
+    out = _em_sql(0)
+    out["s0"] = "SELECT *, false AS done, 0 AS iters FROM t0"
+    for i in range(1, MOST + 1):
+        out[f"e{i}"] = f"SELECT sample, gene, contig, sum(theta * w / den) AS x FROM (SELECT *, sum(theta * w) OVER (PARTITION BY sample, gene, read) AS den FROM c JOIN s{i - 1} USING (sample, gene, contig)) GROUP BY ALL"
+        out[f"n{i}"] = f"SELECT sample, gene, contig, (x + 1e-12) / sum(x + 1e-12) OVER (PARTITION BY sample, gene) AS next FROM e{i}"
+        out[f"s{i}"] = f"""SELECT sample, gene, contig, CASE WHEN done THEN theta ELSE next END AS theta, done OR sum(abs(next - theta)) OVER (PARTITION BY sample, gene) < 1e-6 AS done, iters + (NOT done)::int AS iters
+          FROM s{i - 1} JOIN n{i} USING (sample, gene, contig)"""
+    return out
+
+
+@query("em_converged", with_(
+    f"SELECT s.sample, s.gene, s.contig, {micro_sql('s.theta')} AS theta_micro, {micro_sql('u.x', '1000.0')} AS weight_milli, iters, done AS converged FROM s{MOST} s JOIN u USING (sample, gene, contig)",
+    **_converged_sql(), u=f"SELECT sample, gene, contig, sum(theta * w / den) AS x FROM (SELECT *, sum(theta * w) OVER (PARTITION BY sample, gene, read) AS den FROM c JOIN s{MOST} USING (sample, gene, contig)) GROUP BY ALL"))
 def em_converged(t: Tables) -> DataFrame:
     out = em.em_abundance(competitive(t))
-    return out.select("sample", "gene", "contig", micro("theta").alias("theta_micro"), micro("weight", 1e3).alias("weight_milli"), "iters")
+    return out.select("sample", "gene", "contig", micro("theta").alias("theta_micro"), micro("weight", 1e3).alias("weight_milli"), "iters", "converged")
 
 
 PART_WEIGHT = """SELECT l_returnflag AS sample, concat('G', cast(s_nationkey % 5 as string)) AS gene, concat('p', cast(l_partkey as string)) AS contig, cast(sum(cast(l_quantity as int)) as double) AS weight
