@@ -228,7 +228,7 @@ def discriminating(g: str = "g") -> Column:
     return F.array_contains(v, 0) & F.array_contains(v, 1)
 
 
-def _fit_af(pdf, top_n: int, top_k_rows: int, min_sites: int):
+def _fit_af(pdf, top_n: int | None, top_k_rows: int, min_sites: int):
     """Exhaustive AF fit of one gene as nine matrix products over genotype doses.
 
     The group is sites × candidates: both bounded by the gene region and the nomenclature.
@@ -244,7 +244,7 @@ def _fit_af(pdf, top_n: int, top_k_rows: int, min_sites: int):
             geno[row, col[f]] = v
     af, w, chi = pdf["af"].to_numpy(), pdf["w"].to_numpy(), float(pdf["chi_r"].iloc[0])
     match = (w[:, None] * np.where(geno == 1, af[:, None], np.where(geno == 0, 1 - af[:, None], 0.0))).sum(axis=0)
-    keep = np.argsort(-match, kind="stable")[:top_n]
+    keep = np.argsort(-np.round(match, 9), kind="stable")[:top_n]
     a, b = np.triu_indices(len(keep))
     ga, gb = geno[:, keep[a]], geno[:, keep[b]]
     dose_of = np.where((ga < 0) | (gb < 0), -1, ga + gb)
@@ -267,8 +267,8 @@ def _fit_af(pdf, top_n: int, top_k_rows: int, min_sites: int):
     return pd.DataFrame(rows, columns=["sample", "gene", "rank", "quartet", "score", "n_sites"])
 
 
-def fit_quartet_af(matrix: DataFrame, chi: DataFrame, top_n: int = 40, top_k_rows: int = 10, min_sites: int = 5) -> DataFrame:
-    """Best quartets by weighted AF distance over all pairs of the ``top_n`` best-matching alleles:
+def fit_quartet_af(matrix: DataFrame, chi: DataFrame, top_n: int | None = None, top_k_rows: int = 10, min_sites: int = 5) -> DataFrame:
+    """Best quartets by weighted AF distance over all pairs of the alleles (of the ``top_n`` best-matching, if set):
     ``(sample, gene, rank, quartet, score, n_sites)``."""
     m = matrix.join(chi.select("sample", "chi_r"), "sample").withColumn("g", F.map_entries("g"))
     m = m.select(*GROUP, "site", "af", "w", "chi_r", F.transform("g", lambda e: F.array(e.key, e.value.cast("string"))).alias("g"))

@@ -218,14 +218,17 @@ def dose_rerank(t: Tables) -> DataFrame:
 
 
 @query("quartet_af", with_(
-    f"""SELECT sample, gene, {micro_sql('score')} AS score_micro, n::int AS n_sites FROM (SELECT *, row_number() OVER (PARTITION BY sample, gene ORDER BY score) AS r FROM (
-      SELECT r.sample, r.gene, r.i, r.j, d.i AS k, d.j AS m, round(sum(r.w * abs(r.af - (0.5::double * r.g * chi_r + 0.5::double * d.g * (1 - chi_r)))) / sum(r.w), 12) AS score, count(*) AS n FROM pg r JOIN pg d USING (sample, gene, site) JOIN chi0 ON chi0.sample = r.sample GROUP BY ALL HAVING count(*) >= 5)) WHERE r = 1""",
+    f"""SELECT sample, gene, f1, f2, f3, f4, {micro_sql('score')} AS score_micro, n::int AS n_sites FROM (SELECT *, row_number() OVER (PARTITION BY sample, gene ORDER BY score, i, j, k, m) AS r FROM (
+      SELECT r.sample, r.gene, r.i, r.j, d.i AS k, d.j AS m, r.fa AS f1, r.fb AS f2, d.fa AS f3, d.fb AS f4,
+        round(sum(r.w * abs(r.af - (0.5::double * r.g * chi_r + 0.5::double * d.g * (1 - chi_r)))) / sum(r.w), 12) AS score, count(*) AS n FROM pg r JOIN pg d USING (sample, gene, site) JOIN chi0 ON chi0.sample = r.sample GROUP BY ALL HAVING count(*) >= 5)) WHERE r = 1""",
     **SITE_BASE,
     gs="SELECT w.*, cand.family, gk.g FROM w JOIN cand ON cand.sample = w.sample AND cand.gene = w.gene JOIN gk ON gk.gene = w.gene AND gk.site = w.site AND gk.family = cand.family",
-    pg="SELECT a.sample, a.gene, a.site, a.w, a.af, a.family AS i, b.family AS j, a.g + b.g AS g FROM gs a JOIN gs b ON a.sample = b.sample AND a.gene = b.gene AND a.site = b.site AND a.family <= b.family"))
+    mt="SELECT sample, gene, family, row_number() OVER (PARTITION BY sample, gene ORDER BY round(m, 9) DESC, family) AS rk FROM (SELECT sample, gene, family, sum(w * CASE WHEN g = 1 THEN af ELSE 1 - af END) AS m FROM gs GROUP BY ALL)",
+    gr="SELECT gs.*, mt.rk FROM gs JOIN mt USING (sample, gene, family)",
+    pg="SELECT a.sample, a.gene, a.site, a.w, a.af, a.rk AS i, b.rk AS j, a.family AS fa, b.family AS fb, a.g + b.g AS g FROM gr a JOIN gr b ON a.sample = b.sample AND a.gene = b.gene AND a.site = b.site AND a.rk <= b.rk"))
 def quartet_af(t: Tables) -> DataFrame:
-    f = rerank.fit_quartet_af(matrix(t), t.view(CHI), top_n=TOP, top_k_rows=1)
-    return f.select(*GROUP, micro("score").alias("score_micro"), "n_sites")
+    f = rerank.fit_quartet_af(matrix(t), t.view(CHI), top_k_rows=1)
+    return spelled(f, micro("score").alias("score_micro"), "n_sites")
 
 
 SCORES = """SELECT concat('n', lpad(cast(s_nationkey as string), 2, '0')) AS sample, 'g' AS gene, l_linestatus AS ls, CASE WHEN l_linestatus = 'O' THEN 1 ELSE 2 END AS block, (l_linenumber - 1) % 4 + 1 AS hap, substr(p_brand, 1, 7) AS allele, cast(sum(cast(l_quantity as int)) as double) AS score
