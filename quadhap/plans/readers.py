@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quadhap.plans.registry import Tables, query
+from quadhap.functions import dose, names
+from quadhap.plans.registry import Tables, micro, micro_sql, query
 from quadhap.sources import tables
 
 
@@ -30,3 +31,24 @@ def gene_parameters(t: Tables) -> DataFrame:
     item = F.concat(F.lit(" "), "n_name", F.lit("= "), (F.col("n_nationkey") / 4).cast("string"))
     listed = t.nation.groupBy(F.col("n_regionkey").alias("region")).agg(F.concat(F.array_join(F.sort_array(F.collect_list(item)), ";"), F.lit(",; ")).alias("value"))
     return tables.parse_gene_parameters(listed)
+
+
+@query("name_codecs", """SELECT p_partkey, 'r' || p_partkey AS pair_name, substr(header, 2, length(header) - 3) AS dedup_name, '@r' || p_partkey AS slash_name, replace(replace(allele, '*', '_'), ':', '_') AS safe,
+  'HLA-G' || (p_size % 4) AS gene_long, 'HLA_G' || (p_size % 4) AS contig, 'G' || (p_size % 4) || '*' AS prefix, CASE WHEN p_size % 5 > 0 THEN allele END AS allele_found
+FROM (SELECT *, '@r' || p_partkey || '/' || (p_size % 2 + 1) || ' ' || p_type AS header, 'G*' || lpad(cast(p_size as varchar), 2, '0') || ':' || lpad(cast(p_partkey % 90 as varchar), 2, '0') || 'N' AS allele FROM part)""")
+def name_codecs(t: Tables) -> DataFrame:
+    """Read headers, allele headers and gene names in every spelling."""
+    text = lambda c: c.cast("string")
+    allele = F.concat(F.lit("G*"), F.lpad(text(F.col("p_size")), 2, "0"), F.lit(":"), F.lpad(text(F.col("p_partkey") % 90), 2, "0"), F.lit("N"))
+    header = F.concat(F.lit("@r"), text(F.col("p_partkey")), F.lit("/"), text(F.col("p_size") % 2 + 1), F.lit(" "), F.col("p_type"))
+    p = t.part.select("p_partkey", "p_size", allele.alias("a"), header.alias("h"), F.concat(F.lit("HLA-G"), text(F.col("p_size") % 4)).alias("g"))
+    return p.select(
+        "p_partkey", names.read_name("h").alias("pair_name"), names.read_name("h", "dedup").alias("dedup_name"), names.read_name("h", "slash").alias("slash_name"), names.safe_name("a").alias("safe"),
+        names.long_gene(names.short_gene("g")).alias("gene_long"), names.contig_name("g").alias("contig"), names.allele_prefix("g").alias("prefix"),
+        names.allele_from_header(F.when(F.col("p_size") % 5 > 0, F.concat(F.lit("HLA:HLA1 "), "a", F.lit(" 12 bp"))).otherwise(F.lit("no allele here"))).alias("allele_found"))
+
+
+@query("slot_fractions", f"""SELECT n_nationkey, unnest(['R', 'D']) AS side, {micro_sql("unnest([chi, 1 - chi]) / 2")} AS fraction_micro FROM (SELECT n_nationkey, n_nationkey / 50.0::double AS chi FROM nation)""")
+def slot_fractions(t: Tables) -> DataFrame:
+    sides = t.nation.select("n_nationkey", (F.col("n_nationkey") / 50.0).alias("chi"), F.explode(F.array(F.lit("R"), F.lit("D"))).alias("side"))
+    return sides.select("n_nationkey", "side", micro(dose.slot_fraction(F.col("side"), F.col("chi"))).alias("fraction_micro"))

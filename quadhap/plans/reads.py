@@ -67,11 +67,10 @@ def kmer_explode(t: Tables) -> DataFrame:
 
 
 @query("reverse_complement", with_(
-    f"SELECT doc_id, md5({revcomp_sql('seq')}) AS digest, {micro_sql('1.0 * (length(seq) - length(replace(seq, chr(78), chr(32)[1:0]))) / length(seq)')} AS n_micro FROM docs WHERE length(seq) > 0",
+    f"SELECT doc_id, md5({revcomp_sql('seq')}) AS digest, {micro_sql('1.0 * (length(seq) - length(replace(seq, chr(78), chr(32)[1:0]))) / nullif(length(seq), 0)')} AS n_micro FROM docs",
     docs=DOCS))
 def reverse_complement(t: Tables) -> DataFrame:
-    d = docs(t).where(F.length("seq") > 0)
-    return d.select("doc_id", F.md5(sq.revcomp("seq")).alias("digest"), micro(sq.n_fraction("seq")).alias("n_micro"))
+    return docs(t).select("doc_id", F.md5(sq.revcomp("seq")).alias("digest"), micro(sq.n_fraction("seq")).alias("n_micro"))
 
 
 @query("unique_kmer_index", with_(
