@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quadhap.llm.pieces import Splitter, word_pattern
+from quadhap.llm.pieces import Splitter, part_words
 from quadhap.llm.prefix_bpe import from_ranks
 
 IDS = "doc_id bigint, ids array<int>"
@@ -22,10 +22,10 @@ DIGESTS = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 str
 
 def part_encoder(path: str):
     """A function from text parts to their ids, written as decimals with a comma behind each."""
-    bpe, find = from_ranks(path), word_pattern().findall
+    bpe = from_ranks(path)
 
     def compute(parts: list[str]) -> list[bytes]:
-        words = [[w.encode() for w in find(p)] for p in parts]
+        words = [[w.encode() for w in part_words(p)] for p in parts]
         ids = bpe.encode_all({w for ws in words for w in ws})
         text = {w: b"".join([b"%d," % i for i in v]) for w, v in ids.items()}
         return [b"".join([text[w] for w in ws]) for ws in words]

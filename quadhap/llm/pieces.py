@@ -18,7 +18,6 @@ from quadhap.llm.common import class_ranges
 
 # The white space that the pattern's \s means (Unicode White_Space).
 WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
-WHITE_SET = frozenset(WHITE)
 
 
 @functools.cache
@@ -30,94 +29,113 @@ def word_pattern() -> re.Pattern:
     return re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{letters}]+| ?[{numbers}]+| ?[^{space}{letters}{numbers}]+|[{space}]+(?![^{space}])|[{space}]+")
 
 
+_ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+", re.ASCII)
+
+
+def find_words(text: str) -> list[str]:
+    """The matches of the split pattern, in order; joined they give the text."""
+    return (_ASCII if text.isascii() else word_pattern()).findall(text)
+
+
+def part_words(part: str) -> list[str]:
+    """:func:`find_words` of a part between spaces; most are a word, or a word and a punctuation mark, and need no search."""
+    body = part[1:] if part[:1] == " " else part
+    if body.isalpha():
+        return [part]
+    if body[-1:] in ".,;:!?" and body[:-1].isalpha():
+        return [part[:-1], part[-1]]
+    return find_words(part)
+
+
+_QUICK = ["   ", *(c + " " for c in "\t\n\x0b\x0c\r"), *("  " + c for c in "\t\n\x0b\x0c\r")]
+_BROKEN = re.compile(f"[{re.escape(WHITE)}] (?:[{re.escape(WHITE)}]|\\Z)")
+
+
+def splits_at_spaces(text: str) -> bool:
+    """Whether every part between spaces can be encoded alone: no space stands between white space and white space (or the end)."""
+    if text.isascii() and not text.endswith("  ") and not any(q in text for q in _QUICK):
+        return True
+    return _BROKEN.search(text) is None
+
+
 class Memo:
-    """Values of text parts, computed once per worker in batches and kept up to a bound.
+    """Values of text parts, computed once per worker and kept up to a bound.
 
-    ``compute(parts)`` gives one value per part. When ``limit`` parts are held, the older half
-    goes (two generations), so memory is bounded and common parts stay.
+    Keys are parts without the space that ``front`` puts in front of them. When ``limit``
+    parts are held the older half goes (two generations), so memory is bounded and common
+    parts stay.
     """
 
-    def __init__(self, compute: Callable[[list[str]], list], limit: int = 800_000):
-        self.compute, self.limit = compute, limit
+    def __init__(self, compute: Callable[[list[str]], list], front: str, limit: int):
+        self.compute, self.front, self.limit = compute, front, limit
         self.new: dict = {}
         self.old: dict = {}
 
-    def load(self, parts: set[str]) -> dict:
-        """A dictionary that holds every one of ``parts``."""
+    def load(self, parts: set[str]) -> None:
+        """Make ``new`` hold these parts, none of which it holds yet."""
         if len(self.new) + len(parts) > self.limit // 2:
             self.old, self.new = self.new, {}
-        missing = parts.difference(self.new)
+        known = parts.intersection(self.old)
+        for p in known:
+            self.new[p] = self.old[p]
+        missing = list(parts.difference(known))
         if missing:
-            known = missing.intersection(self.old)
-            for p in known:
-                self.new[p] = self.old[p]
-            missing = list(missing.difference(known))
-            if missing:
-                self.new.update(zip(missing, self.compute(missing)))
-        return self.new
+            self.new.update(zip(missing, self.compute([self.front + p for p in missing])))
 
 
 class Splitter:
-    """Parts of a batch of texts and their values, by a :class:`Memo` over whole parts.
+    """Values of the parts of texts, by memos over whole parts.
 
     ``special``: strings that the tokenizer cuts out before its pattern applies.
     """
 
     def __init__(self, compute: Callable[[list[str]], list], special: tuple[str, ...] = (), limit: int = 800_000):
-        self.memo = Memo(compute, limit)
+        self.spaced, self.plain = Memo(compute, " ", limit), Memo(compute, "", limit // 8)
         self.special = re.compile("(" + "|".join(map(re.escape, special)) + ")") if special else None
 
     def words(self, text: str) -> list[str]:
         """Parts by the full pattern."""
-        find = word_pattern().findall
         if self.special is None:
-            return find(text)
+            return find_words(text)
         out: list[str] = []
         for i, section in enumerate(self.special.split(text)):
-            out += [section] if i % 2 else find(section)
+            out += [section] if i % 2 else find_words(section)
         return out
 
-    def parts(self, text: str) -> list[str]:
-        """Parts of one text, in order; joined they give the text."""
-        if not text:
-            return []
-        first, *rest = text.split(" ")
-        rest = [" " + p for p in rest]
-        if first:
-            rest.insert(0, first)
-        return rest
-
-    def broken(self, parts: list[str]) -> bool:
-        """Whether two neighbouring parts meet inside a run of white space that is one token."""
-        before = False
-        for p in parts:
-            body = p[1:] if p[0] == " " else p
-            if before and p[0] == " " and (not body or body[0] in WHITE_SET):
-                return True
-            before = p[-1] in WHITE_SET
-        return False
-
-    def values(self, texts: list[str | None], slice_chars: int = 1 << 20):
+    def values(self, texts: list[str | None], slice_chars: int = 1 << 21):
         """The values of each text's parts, as an iterator of lists; nulls count as empty."""
-        todo: list[list[str]] = []
+        todo: list[tuple[list[str], list[str]]] = []
         size = 0
         for text in texts:
-            parts = self.parts(text or "")
-            todo.append(parts)
+            if not text:
+                todo.append(([], []))
+            elif splits_at_spaces(text):
+                first, *rest = text.split(" ")
+                todo.append(([first] if first else [], rest))
+            else:
+                todo.append((self.words(text), []))
             size += len(text or "")
             if size >= slice_chars:
                 yield from self._values(todo)
                 todo, size = [], 0
         yield from self._values(todo)
 
-    def _values(self, todo: list[list[str]]):
-        distinct = set().union(*todo)
-        risky = {p for p in distinct if p[-1] in WHITE_SET}
-        if risky:
-            for i, parts in enumerate(todo):
-                if not risky.isdisjoint(parts) and self.broken(parts):
-                    todo[i] = self.words("".join(parts))
-                    distinct.update(todo[i])
-        get = self.memo.load(distinct).__getitem__
-        for parts in todo:
-            yield list(map(get, parts))
+    def _values(self, todo: list[tuple[list[str], list[str]]]):
+        front = self._looked_up(self.plain, [t[0] for t in todo])
+        for plain, spaced in zip(front, self._looked_up(self.spaced, [t[1] for t in todo])):
+            spaced[:0] = plain
+            yield spaced
+
+    @staticmethod
+    def _looked_up(memo: Memo, lists: list[list[str]]) -> list[list]:
+        get = memo.new.get
+        out = [list(map(get, parts)) for parts in lists]
+        holes = [[i for i, v in enumerate(values) if v is None] for values in out]
+        wanted = {parts[i] for parts, at in zip(lists, holes) for i in at}
+        if wanted:
+            memo.load(wanted)
+            found = memo.new
+            for parts, values, at in zip(lists, out, holes):
+                for i in at:
+                    values[i] = found[parts[i]]
+        return out

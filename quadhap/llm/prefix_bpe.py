@@ -17,7 +17,7 @@ import json
 NEVER = 1 << 60
 
 
-def _letters_to_bytes() -> dict[str, int]:
+def letters_to_bytes() -> dict[str, int]:
     """The printable letters in which byte-level vocabulary files write bytes: printable Latin-1 stays, the rest follows from 256 on."""
     keep = [b for b in range(256) if 0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or 0xAE <= b <= 0xFF]
     rest = [b for b in range(256) if b not in keep]
@@ -170,7 +170,7 @@ def from_json(path: str) -> PrefixBpe:
     """A vocabulary with a list of merges."""
     with open(path, encoding="utf-8") as f:
         model = json.load(f)["model"]
-    table = _letters_to_bytes()
+    table = letters_to_bytes()
     raw = lambda s: bytes(table[c] for c in s)
     ids = {raw(token): i for token, i in model["vocab"].items() if all(c in table for c in token)}
     merges = (m.split(" ") if isinstance(m, str) else m for m in model["merges"])

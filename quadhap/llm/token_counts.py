@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quadhap.llm.pieces import WHITE, Splitter, word_pattern
+from quadhap.llm.pieces import WHITE, Splitter, find_words, part_words
 from quadhap.llm.prefix_bpe import PrefixBpe, from_json, special_strings
 
 CHUNK = 1 << 15
@@ -64,7 +64,7 @@ class Transducer:
 @functools.cache
 def splitter(path: str) -> Splitter:
     """Counts of text parts; one per worker and vocabulary."""
-    machine, special, find = Transducer(from_json(path)), special_strings(path), word_pattern().findall
+    machine, special = Transducer(from_json(path)), special_strings(path)
     cut = re.compile("(" + "|".join(map(re.escape, special)) + ")") if special else None
 
     def compute(parts: list[str]) -> list[int]:
@@ -73,10 +73,10 @@ def splitter(path: str) -> Splitter:
             if cut is not None and cut.search(p):
                 sections = cut.split(p)
                 fixed.append(len(sections) // 2)
-                words.append([w.encode() for s in sections[::2] for w in find(s)])
+                words.append([w.encode() for s in sections[::2] for w in find_words(s)])
             else:
                 fixed.append(0)
-                words.append([w.encode() for w in find(p)])
+                words.append([w.encode() for w in part_words(p)])
         count = machine.words({w for ws in words for w in ws})
         return [n + sum([count[w] for w in ws]) for n, ws in zip(fixed, words)]
 
@@ -97,7 +97,9 @@ def chunk_map(piece: str, path: str) -> tuple[str, int, str | None]:
     first = _RESET.search(piece)
     if first is None:
         return piece, 0, None
-    start, end = first.start(), max(m.start() for m in _RESET.finditer(piece, max(first.start(), len(piece) - 4096))) if _RESET.search(piece, max(first.start(), len(piece) - 4096)) else first.start()
+    start = end = first.start()
+    for place in _RESET.finditer(piece, start):
+        end = place.start()
     return piece[:start], count_texts([piece[start:end]], path)[0], piece[end:]
 
 

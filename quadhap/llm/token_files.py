@@ -28,6 +28,7 @@ import os
 import struct
 import uuid
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +36,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quadhap.llm.common import cut_lineage, local_path, shared_folder
-from quadhap.llm.pieces import Splitter
-from quadhap.llm.prefix_bpe import special_strings
+from quadhap.llm.pieces import Splitter, part_words
+from quadhap.llm.prefix_bpe import letters_to_bytes, special_strings
 
 BLOCK = 128
 PERCENTILE = 90
@@ -45,41 +46,46 @@ MAGIC = b"PFR1"
 _NULL_ID = -(1 << 63)
 
 
+HEAD = 10  # bytes in front of a block's packed differences
+
+
 def pack_stream(values: np.ndarray) -> bytes:
     """One stream of signed 64-bit values: index of block starts, then blocks."""
     n = len(values)
-    blocks = -(-n // BLOCK)
     if not n:
         return struct.pack("<Q", 0)
+    blocks = -(-n // BLOCK)
     padded = np.concatenate([values, np.full(blocks * BLOCK - n, values[-1])]).astype(np.int64).reshape(blocks, BLOCK)
     least = padded.min(axis=1)
     diff = (padded - least[:, None]).view(np.uint64)
     at = np.partition(diff, BLOCK * PERCENTILE // 100, axis=1)[:, BLOCK * PERCENTILE // 100]
     width = np.zeros(blocks, np.int64)
-    while (more := (at >> np.minimum(width, 63).astype(np.uint64)) > 0).any():
-        width[more] += 1
-        if width.max() >= 64:
-            break
-    packed: list[bytes] = [b""] * blocks
-    for w in np.unique(width):
-        mine = np.flatnonzero(width == w)
-        for some in np.array_split(mine, max(1, len(mine) * int(w) // 65536)):
-            bits = (diff[some][:, :, None] >> np.arange(int(w), dtype=np.uint64)) & np.uint64(1)
-            raw = np.packbits(bits.astype(np.uint8).reshape(len(some), -1), axis=1, bitorder="little")
-            for b, r in zip(some.tolist(), raw):
-                packed[b] = r.tobytes()
-    over = diff >> np.minimum(width, 63).astype(np.uint64)[:, None] > 0
-    over &= (width < 64)[:, None]
-    counts = over.sum(axis=1)
+    while at.any():
+        width += at > 0
+        at = at >> np.uint64(1)
+    over = (diff >> np.minimum(width, 63).astype(np.uint64)[:, None] > 0) & (width < 64)[:, None]
     where, place = np.nonzero(over)
-    place, value = place.astype(np.uint8), diff[where, place]
-    ends = np.cumsum(counts)
-    out = []
-    for b in range(blocks):
-        a, z = int(ends[b] - counts[b]), int(ends[b])
-        out.append(struct.pack("<qBB", int(least[b]), int(width[b]), z - a) + packed[b] + place[a:z].tobytes() + value[a:z].astype("<u8").tobytes())
-    starts = np.concatenate([[0], np.cumsum([len(b) for b in out])]).astype("<u8")
-    return starts.tobytes() + b"".join(out)
+    counts = np.bincount(where, minlength=blocks)
+    starts = np.concatenate([[0], np.cumsum(HEAD + width * (BLOCK // 8) + 9 * counts)])
+    out = np.zeros(starts[-1], np.uint8)
+    out[starts[:-1, None] + np.arange(8)] = least.view(np.uint8).reshape(-1, 8)
+    out[starts[:-1] + 8], out[starts[:-1] + 9] = width, counts
+    for w in np.unique(width[width > 0]).tolist():
+        size = -(-w // 8)  # bytes that hold the width
+        for some in _in_turn(np.flatnonzero(width == w)):
+            low = np.ascontiguousarray(diff[some].view(np.uint8).reshape(-1, BLOCK, 8)[:, :, :size])
+            bits = np.unpackbits(low, axis=2, bitorder="little")[:, :, :w]
+            out[starts[some][:, None] + HEAD + np.arange(w * BLOCK // 8)] = np.packbits(bits.reshape(len(some), -1), axis=1, bitorder="little")
+    base = starts[where] + HEAD + width[where] * (BLOCK // 8)
+    nth = np.arange(len(where)) - (np.cumsum(counts) - counts)[where]
+    out[base + nth] = place
+    out[(base + counts[where] + 8 * nth)[:, None] + np.arange(8)] = diff[where, place].view(np.uint8).reshape(-1, 8)
+    return starts.astype("<u8").tobytes() + out.tobytes()
+
+
+def _in_turn(blocks: np.ndarray, most: int = 4096):
+    """Block numbers in groups whose bits fit into a cache."""
+    return (blocks[i : i + most] for i in range(0, len(blocks), most))
 
 
 def unpack_blocks(raw: bytes, starts: np.ndarray) -> np.ndarray:
@@ -88,20 +94,18 @@ def unpack_blocks(raw: bytes, starts: np.ndarray) -> np.ndarray:
     at = starts[:-1].astype(np.int64)
     least = head[at[:, None] + np.arange(8)].copy().view("<i8").ravel()
     width, counts = head[at + 8].astype(np.int64), head[at + 9].astype(np.int64)
-    out = np.zeros((len(at), BLOCK), np.uint64)
-    for w in np.unique(width):
-        if w:
-            mine = np.flatnonzero(width == w)
-            for some in np.array_split(mine, max(1, len(mine) * int(w) // 65536)):
-                bits = np.unpackbits(head[at[some][:, None] + 10 + np.arange(int(w) * BLOCK // 8)], axis=1, bitorder="little").reshape(len(some), BLOCK, int(w))
-                total = np.zeros((len(some), BLOCK), np.uint64)
-                for k in range(int(w)):
-                    total |= bits[:, :, k].astype(np.uint64) << np.uint64(k)
-                out[some] = total
-    for b in np.flatnonzero(counts):
-        n, begin = int(counts[b]), int(at[b] + 10 + width[b] * BLOCK // 8)
-        out[b, head[begin : begin + n]] = np.frombuffer(raw, "<u8", n, begin + n)
-    return (out.view(np.int64) + least[:, None]).ravel()
+    out = np.zeros((len(at), BLOCK, 8), np.uint8)
+    for w in np.unique(width[width > 0]).tolist():
+        size = -(-w // 8)
+        for some in _in_turn(np.flatnonzero(width == w)):
+            bits = np.unpackbits(head[at[some][:, None] + HEAD + np.arange(w * BLOCK // 8)], axis=1, bitorder="little").reshape(len(some), BLOCK, w)
+            out[some, :, :size] = np.packbits(bits, axis=2, bitorder="little")
+    diff = out.view("<u8")[:, :, 0]
+    where = np.repeat(np.arange(len(at)), counts)
+    base = at[where] + HEAD + width[where] * (BLOCK // 8)
+    nth = np.arange(len(where)) - (np.cumsum(counts) - counts)[where]
+    diff[where, head[base + nth]] = head[(base + counts[where] + 8 * nth)[:, None] + np.arange(8)].copy().view("<u8").ravel()
+    return (diff.view(np.int64) + least[:, None]).ravel()
 
 
 class TokenFile:
@@ -145,21 +149,32 @@ def file_bytes(ids: np.ndarray, sizes: np.ndarray, docs: np.ndarray):
 
 @functools.cache
 def splitter(path: str) -> Splitter:
-    """Ids of text parts as unsigned 32-bit numbers, from the tokenizers library; one per worker and vocabulary."""
+    """Ids of text parts as unsigned 32-bit numbers, from the tokenizers library; one per worker and vocabulary.
+
+    The vocabulary's model encodes each distinct word of the split pattern, written in the
+    letters that byte-level vocabularies use for bytes. Parts that hold a special string go
+    through the whole tokenizer.
+    """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    encode = Tokenizer.from_file(path).encode_batch_fast
+    tokenizer, special = Tokenizer.from_file(path), special_strings(path)
+    model, letters = tokenizer.model, {b: c for c, b in letters_to_bytes().items()}
+
+    def word_ids(word: str) -> bytes:
+        return array("I", [t.id for t in model.tokenize(word.encode().decode("latin-1").translate(letters))]).tobytes()
 
     def compute(parts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in encode(parts, add_special_tokens=False)]
+        words = [None if any(s in p for s in special) else part_words(p) for p in parts]
+        known = {w: word_ids(w) for w in {w for ws in words if ws for w in ws}}
+        whole = lambda p: array("I", tokenizer.encode(p, add_special_tokens=False).ids).tobytes()
+        return [whole(p) if ws is None else b"".join([known[w] for w in ws]) for p, ws in zip(parts, words)]
 
-    return Splitter(compute, special_strings(path))
+    return Splitter(compute, special)
 
 
-MANIFEST = "part int, file string, n_docs bigint, n_ids bigint"
 #: Documents of one file are encoded into memory up to this many ids; then the next file begins.
-FILE_IDS = 8_000_000
+FILE_IDS = 2_000_000
 
 
 def write_token_files(docs: DataFrame, path: str, folder: str, parts: int | None = None, file_ids: int = FILE_IDS) -> DataFrame:
