@@ -36,7 +36,7 @@ def part_encoder(path: str):
 @functools.cache
 def splitter(path: str) -> Splitter:
     """One per worker and vocabulary, so what is remembered serves all its tasks."""
-    return Splitter(part_encoder(path))
+    return Splitter(part_encoder(path), limit=500_000)
 
 
 @functools.cache

@@ -86,7 +86,7 @@ class PrefixBpe:
                     pair = last[before - 1] << 20 | token
                     ok = known.get(pair)
                     if ok is None:
-                        if len(known) > 500_000:
+                        if len(known) > 300_000:
                             known.clear()
                         ok = known[pair] = self.agree(last[before - 1], token)
                 else:
