@@ -69,6 +69,23 @@ def test_added_kinds(make, text, kinds):
     assert all(text[s["start"] : s["end"]] == s["value"] and 0 <= s["score"] <= 1 for s in found)
 
 
+@pytest.mark.parametrize(("text", "values"), [
+    ("iban DE89370400440532013000 Bitte zahlen", ["DE89370400440532013000"]),
+    ("iban DE89 3704 0044 0532 0130 00 Please pay", ["DE89 3704 0044 0532 0130 00"]),
+    ("iban DE89 3704 0044 0532 0130 00 IN FULL", ["DE89 3704 0044 0532 0130 00"]),
+    ("iban ES91 2100 0418 4502 0005 1332 BANK", ["ES91 2100 0418 4502 0005 1332"]),
+    ("iban DE89 3704 0044 0532 0130 00 4711", ["DE89 3704 0044 0532 0130 00"]),
+    ("iban DE89 3704 0044 0532 0130 00 GB82 WEST 1234 5698 7654 32", ["DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32"]),
+    ("iban NO9386011117947 A und BE68539007547034 B", ["NO9386011117947", "BE68539007547034"]),
+    ("iban ZZ22 3704 0044 0532 0130 00 Please pay", ["ZZ22 3704 0044 0532 0130 00"]),
+    ("iban DE89370400440532013000Bitte", []),
+])
+def test_account_number_before_other_words(make, text, values):
+    found = pii.find_pii(make([(1, text)])).first()["spans"]
+    assert [s["value"] for s in found if s["kind"] == "iban"] == values
+    assert all(text[s["start"] : s["end"]] == s["value"] for s in found)
+
+
 def test_context_raises_the_score(make):
     near, far = (pii.find_pii(make([(1, t)])).first()["spans"][0]["score"] for t in ("credit card 4111111111111111", "number 4111111111111111"))
     assert near > far
