@@ -34,7 +34,7 @@ def op4_simhash(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op5_passages(spark: SparkSession, folder: str) -> DataFrame:
-    return passages.repeated_passages(table(spark, folder, "documents")).drop("row")
+    return passages.all_passages(table(spark, folder, "documents")).drop("row")
 
 
 def op6_templates(spark: SparkSession, folder: str) -> DataFrame:
