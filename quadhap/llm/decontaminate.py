@@ -9,7 +9,7 @@ are hits. Stretches too short to hold a hit are skipped by a test for known neig
 which loses none.
 
 Defined cases: null texts and texts without words have no hits; items with null or empty text
-have no windows; items are rows, so a repeated item id counts once in the list of ids but its
+have no windows; items with a null id have windows, which count as hits but name no item; items are rows, so a repeated item id counts once in the list of ids but its
 rows' texts all count; repeated documents are judged row by row; empty tables on either side
 give documents without hits, or no rows.
 """
@@ -104,8 +104,8 @@ class Automaton:
         return state
 
 
-def build(items: list[tuple[str, str | None]], window: int = WINDOW) -> Automaton:
-    """The automaton of (item id, text) pairs."""
+def build(items: list[tuple[str | None, str | None]], window: int = WINDOW) -> Automaton:
+    """The automaton of (item id, text) pairs; texts without an id have windows, but are in no list of items."""
     a = Automaton(window)
     texts = [(i, [a.words.setdefault(w, len(a.words) + 1) for w in words_of(t)]) for i, t in items]
     texts = [(i, t) for i, t in texts if t]
@@ -115,15 +115,16 @@ def build(items: list[tuple[str, str | None]], window: int = WINDOW) -> Automato
             state = a._append(state, w)
     a.near = np.zeros(_SLOTS, bool)
     for i, t in texts:
+        ids = () if i is None else (i,)
         state = n = 0
         for at, w in enumerate(t):
             state, n = a.step(state, n, w)
             if n >= window:
-                a.items.setdefault(a.window_state(state), set()).add(i)
+                a.items.setdefault(a.window_state(state), set()).update(ids)
             if at:
                 a.near[_slot(t[at - 1], w)] = True
         if len(t) < window:
-            a.short.setdefault(state, {}).setdefault(len(t), set()).add(i)
+            a.short.setdefault(state, {}).setdefault(len(t), set()).update(ids)
     a.least = min((min(len(t), window) for _, t in texts), default=0)
     return a
 
@@ -172,9 +173,9 @@ def hits(words: list[bytes], a: Automaton) -> tuple[list[tuple[int, int]], set[s
 def shards(benchmark: DataFrame, window: int = WINDOW, shard_words: int = SHARD_WORDS):
     """Automata over the whole benchmark, each of at most ``shard_words`` words (or one item that is longer)."""
     rows = benchmark.select(F.col("item_id").cast("string").alias("id"), F.col("text").cast("string").alias("text"))
-    group: list[tuple[str, str]] = []
+    group: list[tuple[str | None, str]] = []
     size = 0
-    for row in rows.where("text is not null and id is not null").toLocalIterator():
+    for row in rows.where("text is not null").toLocalIterator():
         n = len(words_of(row["text"]))
         if group and size + n > shard_words:
             yield build(group, window)

@@ -62,6 +62,17 @@ def test_cutting_and_dropping(spark, make):
     assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == [2, 3, 4, 5]
 
 
+@pytest.mark.parametrize("shard_words", [decontaminate.SHARD_WORDS, 12])
+def test_items_without_an_id(spark, make, shard_words):
+    long, other = (" ".join(f"{c}{i}" for i in range(20)) for c in "ab")
+    bench = spark.createDataFrame([(None, long), (None, "short one"), ("7", other), (None, other), (None, None)], "item_id string, text string")
+    docs = make([(1, f"x {long} y"), (2, "a short one here"), (3, f"z {other}"), (4, "clean text")])
+    got = {r["doc_id"]: (r["n_hit"], r["n_items"], r["items_sha256"], r["contaminated"]) for r in decontaminate.judge(decontaminate.find_hits(docs, bench, shard_words=shard_words)).collect()}
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    assert got == {1: (20, 0, sha(""), True), 2: (2, 0, sha(""), True), 3: (20, 1, sha("7"), True), 4: (0, 0, sha(""), False)}
+    assert [r["doc_id"] for r in decontaminate.drop_contaminated(docs, bench).collect()] == [4]
+
+
 def test_empty_sides(spark, make):
     docs, none = make([(1, "a b"), (2, None)]), spark.createDataFrame([], "item_id bigint, text string")
     assert {r["contaminated"] for r in decontaminate.judge(decontaminate.find_hits(docs, none)).collect()} == {False}
