@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadhap.llm import bpe_encode, decontaminate, language, nearest, passages, pii, simhash, templates, token_counts, token_files
+from quadhap.llm import bpe_encode, decontaminate, fill_middle, language, near_vectors, nearest, passages, pii, prefix_trie, simhash, templates, token_counts, token_files
 from quadhap.llm.common import table, vocabulary_file
 
 #: Searches take every row whose id is divisible by this as a query.
@@ -58,8 +58,20 @@ def op10_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe_encode.round_trip(table(spark, folder, "documents"), vocabulary_file("byte_bpe_multi_50k.tiktoken"))
 
 
+def op11_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return prefix_trie.rebuilt_trie(table(spark, folder, "conversations"))
+
+
+def op12_near_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    return near_vectors.near_duplicates(table(spark, folder, "embeddings"))
+
+
+def op13_fill_middle(spark: SparkSession, folder: str) -> DataFrame:
+    return fill_middle.summarise(fill_middle.fill_in_middle(table(spark, folder, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_pii, op2_language, op3_nearest, op4_simhash, op5_passages, op6_templates, op7_token_files, op8_decontaminate, op9_token_counts, op10_bpe)
+    f.__name__: f for f in (op1_pii, op2_language, op3_nearest, op4_simhash, op5_passages, op6_templates, op7_token_files, op8_decontaminate, op9_token_counts, op10_bpe, op11_prefix_trie, op12_near_vectors, op13_fill_middle)
 }
 
 _FOLDED = "list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda w: w <> '')"
@@ -83,4 +95,4 @@ WITH v AS (SELECT vec_id, min(embedding::DOUBLE[]) AS x FROM embeddings
 scored AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.x, c.x) AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.x) = len(c.x) WHERE q.vec_id % {QUERY_STEP} = 0)
 SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM scored QUALIFY rank <= {nearest.K}"""
 
-ORACLES: dict[str, str] = {"op3_nearest": NEAREST_SQL, "op6_templates": templates.oracle(), "op8_decontaminate": DECONTAMINATE_SQL}
+ORACLES: dict[str, str] = {"op3_nearest": NEAREST_SQL, "op6_templates": templates.oracle(), "op8_decontaminate": DECONTAMINATE_SQL, "op11_prefix_trie": prefix_trie.oracle(), "op12_near_vectors": near_vectors.oracle(), "op13_fill_middle": fill_middle.oracle()}
