@@ -84,10 +84,10 @@ def _slots_cost(slots: list[Column], chi: Column) -> Column:
     return total
 
 
-def _named_pairs(members: Column) -> Column:
-    """All pairs (a, b) of a list of members with a's name not behind b's."""
+def _listed_pairs(members: Column, by: str) -> Column:
+    """All pairs (a, b) of a list of members with a not behind b in ``by``: ``family`` (the name) or ``ord`` (the weight rank)."""
     pairs = F.flatten(F.transform(members, lambda a: F.transform(members, lambda b: F.struct(a.alias("a"), b.alias("b")))))
-    return F.filter(pairs, lambda p: p["a"]["family"] <= p["b"]["family"])
+    return F.filter(pairs, lambda p: p["a"][by] <= p["b"][by])
 
 
 def fit_quartet_l1(families: DataFrame, chi: DataFrame, top_n: int | None = None, min_frac: float = 0.002, forced: DataFrame | None = None,
@@ -105,8 +105,8 @@ def fit_quartet_l1(families: DataFrame, chi: DataFrame, top_n: int | None = None
     per group however large the pool.
 
     Many quartets reach it, because a candidate at or above its expected share costs the
-    same as any heavier one. The first in order wins: both sides are listed by name, and
-    quartets are ordered by the weight ranks of their four slots. Members that can stand in
+    same as any heavier one. The first in order wins: both sides are listed by ``slot_order``, and
+    quartets are ordered by the weight ranks of their four slots as listed. Members that can stand in
     such a quartet are the four heaviest, their equals, and those at or above the smallest
     expected share; shares add up to one, so they are few. The recipient pair is found
     first (the best donor pair for it is among the heaviest and itself), then the donor pair.
@@ -114,6 +114,7 @@ def fit_quartet_l1(families: DataFrame, chi: DataFrame, top_n: int | None = None
     ``scope`` sets which families the score sums over: the pool, or ``all``. Slots of a
     side are listed by ``name`` or by ``rank`` (heavier first).
     """
+    by = {"name": "family", "rank": "ord"}[slot_order]
     pool = candidate_pool(families, top_n, min_frac, forced, restrict)
     members = F.array_sort(F.collect_list(F.struct("ord", "family", "fraction")))
     base = F.sum("fraction") if scope == "candidates" else F.lit(1.0)
@@ -145,15 +146,11 @@ def fit_quartet_l1(families: DataFrame, chi: DataFrame, top_n: int | None = None
 
     near = lambda p: F.array_distinct(F.concat(F.slice("all", 1, 4), F.array(p["a"], p["b"])))
     slots = [F.col("r")["a"], F.col("r")["b"], F.col("d")["a"], F.col("d")["b"]]
-    tries = best.withColumn("r", F.explode(_named_pairs(F.col("few")))).withColumn("d", F.explode(_named_pairs(near(F.col("r")))))
+    tries = best.withColumn("r", F.explode(_listed_pairs(F.col("few"), by))).withColumn("d", F.explode(_listed_pairs(near(F.col("r")), by)))
     with_r = best.join(first_pair(tries, slots, F.col("r")).select(*GROUP, F.col("won.p").alias("r")), GROUP)
-    done = with_r.join(first_pair(with_r.withColumn("d", F.explode(_named_pairs(F.col("few")))), slots, F.col("d")), GROUP)
+    done = with_r.join(first_pair(with_r.withColumn("d", F.explode(_listed_pairs(F.col("few"), by))), slots, F.col("d")), GROUP)
     sides = [F.col("r"), F.col("won.p")]
-    if slot_order == "name":
-        quartet = F.array(*[p[n]["family"] for p in sides for n in "ab"])
-    else:
-        by_rank = [F.array_sort(F.array(p["a"], p["b"])) for p in sides]
-        quartet = F.array(*[F.get(p, F.lit(i))["family"] for p in by_rank for i in (0, 1)])
+    quartet = F.array(*[p[n]["family"] for p in sides for n in "ab"])
     return done.select(*GROUP, quartet.alias("quartet"), "score", F.col("won.chi").alias("chi_fit"), "chi_r")
 
 

@@ -44,6 +44,37 @@ def test_l1_is_exhaustive(spark, grid):
         assert r.quartet[0] <= r.quartet[1] and r.quartet[2] <= r.quartet[3]
 
 
+def first_in_order(counts, chi, slot_order):
+    """The first of the best quartets, slots of a side listed by name or by weight rank and ordered by the ranks as listed."""
+    total = sum(counts.values())
+    names = sorted(counts, key=lambda n: (-counts[n], n))
+    listed = sorted(names) if slot_order == "name" else names
+    rank = {n: i for i, n in enumerate(names)}
+    found = []
+    for r in itertools.combinations_with_replacement(listed, 2):
+        for d in itertools.combinations_with_replacement(listed, 2):
+            q = (*r, *d)
+            s = sum(abs(counts[n] / total - r.count(n) * chi / 2 - d.count(n) * (1 - chi) / 2) for n in names)
+            found.append((round(s, 12), [rank[n] for n in q], list(q)))
+    return min(found)[2]
+
+
+@pytest.mark.parametrize("slot_order", ["name", "rank"])
+def test_ties_go_to_the_first_in_listed_order(spark, slot_order):
+    """Names that run against weights, and observed shares at or above the expected ones, where many quartets tie."""
+    rng = random.Random(11)
+    rows, want, chis = [], {}, {}
+    for i in range(25):
+        n = rng.randint(3, 7)
+        weights = sorted((float(rng.choice([10, 20, 30, 30, 40])) for _ in range(n)), reverse=i % 2 == 0)
+        counts = {f"A*{j:02d}": w for j, w in enumerate(weights)}
+        chis[f"s{i}"] = rng.choice([0.05, 0.1, 0.2, 0.5])
+        rows += [(f"s{i}", "g", f, w) for f, w in counts.items()]
+        want[f"s{i}"] = first_in_order(counts, chis[f"s{i}"], slot_order)
+    fit = quartet.fit_quartet_l1(spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(list(chis.items()), "sample string, chi_r double"), min_frac=-1.0, scope="all", slot_order=slot_order)
+    assert {r.sample: r.quartet for r in fit.collect()} == want
+
+
 def test_forced_and_restricted_pools(spark):
     fam = spark.createDataFrame([("s", "g", n, w) for n, w in (("a", 90.0), ("b", 9.0), ("c", 0.9), ("d", 0.1))] + [("s", "h", "a", 5.0)], SCHEMA)
     forced = spark.createDataFrame([("s", "g", "z"), ("s", "g", "d")], "sample string, gene string, family string")
