@@ -6,16 +6,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quadhap.functions import sequence as sq
+from quadhap.operators import packed
 
 PIECE = 2048
 
 
 def explode_kmers(df: DataFrame, seq: str, k: int, keep: list[str], spread: bool = False) -> DataFrame:
-    """One row per k-mer occurrence: ``keep`` columns and ``kmer``.
+    """One row per k-mer occurrence: ``keep`` columns and the packed ``kmer`` (:mod:`packed`).
 
     Long sequences are cut into overlapping pieces first. ``spread`` shuffles the
     pieces (one byte per base) before they grow k-fold, for inputs with few or
-    very uneven files; short reads do not need it.
+    very uneven files; short reads do not need it. A piece is packed once and its k-mers
+    are windows of its numbers.
     """
     # Upper-casing happens before cutting; inside the cut it would run once per piece.
     whole = df.select(*keep, F.upper(seq).alias("_whole"))
@@ -23,11 +25,14 @@ def explode_kmers(df: DataFrame, seq: str, k: int, keep: list[str], spread: bool
     if spread:
         # A stated number keeps AQE from merging pieces by their size before they are expanded.
         cut = cut.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "_piece")
-    return cut.select(*keep, F.explode(sq.kmers("_piece", k)).alias("kmer")).where("kmer is not null")
+    runs = cut.select(*keep, F.explode(F.regexp_extract_all("_piece", F.lit(f"[ACGT]{{{k},}}"), F.lit(0))).alias("_run"))
+    words = runs.select(*keep, F.length("_run").alias("_len"), packed.pack_words(F.col("_run")).alias("_words"))
+    each = words.select(*keep, "_words", F.explode(F.sequence(F.lit(0), F.col("_len") - k)).alias("_at"))
+    return each.select(*keep, packed.kmer_at(F.col("_words"), F.col("_at"), k).alias("kmer"))
 
 
 def unique_kmer_index(seqs: DataFrame, k: int, owner: str = "owner", seq: str = "seq", scope: tuple[str, ...] = (),
-                      strands: str = "both", within: DataFrame | None = None, spread: bool = True) -> DataFrame:
+                      strands: str = "both", within: DataFrame | None = None) -> DataFrame:
     """``(*scope, kmer, owner)`` of k-mers that belong to exactly one owner inside the scope.
 
     ``strands``: ``forward``; ``both`` (ownership judged over both strands); or
@@ -36,24 +41,26 @@ def unique_kmer_index(seqs: DataFrame, k: int, owner: str = "owner", seq: str =
     the k-mers of another index.
 
     A k-mer's smallest and largest owner number agree exactly when there is one owner.
-    Both combine map-side, so a k-mer shared by every sequence costs one row per task;
-    numbers instead of names keep this a hash aggregation (names would force a sort).
+    Sequences travel as super-k-mers, equal ones folded, and only the forward strand does:
+    over both strands a k-mer and its reverse complement have the same owners.
     """
+    if strands not in ("forward", "both", "forward_then_both"):
+        raise ValueError(f"unknown strands: {strands}")
     src = seqs.select(*scope, F.col(owner).alias("owner"), F.xxhash64(F.col(owner)).alias("_id"), F.col(seq).alias("_seq"))
     # One row per owner of the nomenclature; two owners with one number would be an error, not a wrong index.
     owners = src.groupBy(*scope, "_id").agg(F.min("owner").alias("owner"), F.max("owner").alias("_other"))
     clash = F.raise_error(F.concat_ws(" ", F.lit("owners with equal numbers:"), "owner", "_other")).cast("string")
     owners = owners.select(*scope, "_id", F.when(F.col("owner") == F.col("_other"), F.col("owner")).otherwise(clash).alias("owner"))
+    found = packed.owners_of_kmers(packed.super_kmers(src, "_seq", "_id", k, scope), k, scope, strands == "both")
+    index = found.where("lo = hi").withColumnRenamed("lo", "_id").join(owners, [*scope, "_id"]).select(*scope, "kmer", "owner")
     if strands == "both":
-        src = src.withColumn("_seq", F.explode(F.array("_seq", sq.revcomp("_seq"))))
-    ks = explode_kmers(src, "_seq", k, [*scope, "_id"], spread)
+        index = packed.both_strands(index, k)
     if within is not None:
         shared = [c for c in (*scope, "kmer") if c in within.columns]
-        ks = ks.join(within.select(*shared).distinct().hint("shuffle_hash"), shared, "left_semi")
-    lo_hi = ks.groupBy(*scope, "kmer").agg(F.min("_id").alias("_id"), F.max("_id").alias("_hi"))
-    index = lo_hi.where(F.col("_id") == F.col("_hi")).join(owners, [*scope, "_id"]).select(*scope, "kmer", "owner")
+        index = index.join(within.select(*shared).distinct().hint("shuffle_hash"), shared, "left_semi")
     if strands == "forward_then_both":
-        index = index.withColumn("kmer", F.explode(F.array("kmer", sq.revcomp("kmer")))).distinct()
+        # distinct: a k-mer and its reverse complement may both be kept
+        index = packed.both_strands(index, k).distinct()
     return index
 
 

@@ -10,6 +10,7 @@ from quadhap.functions import sequence as sq
 from quadhap.operators import assembly, assign, rescue
 from quadhap.operators import kmers as km
 from quadhap.operators.drb345 import locus_pair_support
+from quadhap.operators.packed import spell
 from quadhap.plans.registry import Tables, as_sequence, as_sequence_sql, kmer_rows_sql, micro, micro_sql, query, revcomp_sql, with_
 from quadhap.sources import sinks
 
@@ -77,7 +78,7 @@ def reverse_complement(t: Tables) -> DataFrame:
     "SELECT owner, count(*) AS unique_kmers, min(kmer) AS first_kmer, max(kmer) AS last_kmer FROM idx GROUP BY owner", docs=DOCS, **unique_sql(16)))
 def unique_kmer_index(t: Tables) -> DataFrame:
     index = km.unique_kmer_index(docs(t), 16)
-    return index.groupBy("owner").agg(F.count("*").alias("unique_kmers"), F.min("kmer").alias("first_kmer"), F.max("kmer").alias("last_kmer"))
+    return index.groupBy("owner").agg(F.count("*").alias("unique_kmers"), spell(F.min("kmer"), 16).alias("first_kmer"), spell(F.max("kmer"), 16).alias("last_kmer"))
 
 
 def support(t: Tables) -> DataFrame:
