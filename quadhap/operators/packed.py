@@ -20,7 +20,7 @@ WORD = 31
 _FULL = (1 << 2 * WORD) - 1
 #: Super-k-mers a task holds before it folds equal ones, and bases it packs at a time.
 HELD = 1 << 19
-SLICE = 1 << 20
+SLICE = 1 << 18
 
 
 def sizes(k: int) -> list[int]:
@@ -63,23 +63,27 @@ def kmer_at(words: Column, at: Column, k: int) -> Column:
     return _joined([F.shiftright(_window(words, at + WORD * i), 2 * (WORD - n)) for i, n in enumerate(sizes(k))])
 
 
-def _reversed(x: Column, n: int) -> Column:
-    """Reverse complement of the ``n`` bases in the low bits."""
-    x = F.bitwise_not(x).bitwiseAND(F.lit((1 << 2 * n) - 1))
-    for step, mask in ((2, 0x3333333333333333), (4, 0x0F0F0F0F0F0F0F0F), (8, 0x00FF00FF00FF00FF), (16, 0x0000FFFF0000FFFF), (32, 0x00000000FFFFFFFF)):
-        m = F.lit(mask)
-        x = F.shiftrightunsigned(x, step).bitwiseAND(m).bitwiseOR(F.shiftleft(x.bitwiseAND(m), step))
-    return F.shiftrightunsigned(x, 64 - 2 * n)
+_SWAPS = ((2, 0x3333333333333333), (4, 0x0F0F0F0F0F0F0F0F), (8, 0x00FF00FF00FF00FF), (16, 0x0000FFFF0000FFFF), (32, 0x00000000FFFFFFFF))
+
 
+def with_reverse(df: DataFrame, k: int, out: str = "reverse") -> DataFrame:
+    """The reverse complement of ``kmer`` as column ``out``.
 
-def reverse_complement(kmer: Column, k: int) -> Column:
-    last = sizes(k)[-1]
-    back = [_reversed(p, n) for p, n in zip(_split(kmer, k), sizes(k))][::-1]
-    out = []
+    Each step is a projection of its own: a step reads its input twice, so as one expression
+    they would double five times, and the compiled code would be too long to be optimised.
+    """
+    last, names = sizes(k)[-1], [f"_{out}{i}" for i in range(len(sizes(k)))]
+    flipped = {name: F.bitwise_not(p).bitwiseAND(F.lit((1 << 2 * n) - 1)) for name, p, n in zip(names, _split(F.col("kmer"), k), sizes(k))}
+    df = df.withColumns(flipped)
+    for step, mask in _SWAPS:
+        m = F.lit(mask)
+        df = df.withColumns({n: F.shiftrightunsigned(n, step).bitwiseAND(m).bitwiseOR(F.shiftleft(F.col(n).bitwiseAND(m), step)) for n in names})
+    back = [F.shiftrightunsigned(name, 64 - 2 * n) for name, n in zip(names, sizes(k))][::-1]
+    parts = []
     for a, b in zip(back, back[1:]):
         head = F.shiftleft(a, 2 * (WORD - last)).bitwiseAND(F.lit(_FULL))
-        out.append(head if last == WORD else head.bitwiseOR(F.shiftright(b, 2 * last)))
-    return _joined([*out, back[-1].bitwiseAND(F.lit((1 << 2 * last) - 1))])
+        parts.append(head if last == WORD else head.bitwiseOR(F.shiftright(b, 2 * last)))
+    return df.withColumn(out, _joined([*parts, back[-1].bitwiseAND(F.lit((1 << 2 * last) - 1))])).drop(*names)
 
 
 def spell(kmer: Column | str, k: int) -> Column:
@@ -151,22 +155,27 @@ def runs_of(codes: np.ndarray, k: int, m: int, n_words: int) -> tuple[np.ndarray
     start, count = np.repeat(start, pieces) + nth * most, np.minimum(np.repeat(count, pieces) - nth * most, most)
     padded = np.concatenate([base, np.zeros(WORD * (n_words + 1), np.uint64)])
     value = _grown(padded, WORD, _ahead)
-    words = np.empty((len(start), n_words), np.int64)
+    words = np.empty((n_words, len(start)), np.int64)
     for w in range(n_words):
         held = np.clip(count + k - 1 - WORD * w, 0, WORD).astype(np.uint64)
         gone = (np.uint64(WORD) - held) * np.uint64(2)
-        words[:, w] = (value[np.minimum(start + WORD * w, len(value) - 1)] >> gone << gone).view(np.int64)
-    return least[start], start, count, words
+        words[w] = (value[np.minimum(start + WORD * w, len(value) - 1)] >> gone << gone).view(np.int64)
+    return least[start], start, count, words.T
 
 
 def _folded(owner: np.ndarray, lo: np.ndarray, hi: np.ndarray, mini: np.ndarray, count: np.ndarray, words: np.ndarray):
-    """Equal super-k-mers of one scope as one, with their smallest and largest owner."""
-    order = np.lexsort((*words.T, count, mini, owner))
+    """Equal super-k-mers of one scope as one, with their smallest and largest owner; sorted by a hash, so the few whose hash others share may stay apart."""
+    key = mini + owner.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + count.astype(np.uint64)
+    for w in words.T:
+        key = _mixed(key) + w.view(np.uint64)
+    order = np.argsort(_mixed(key))
     owner, lo, hi, mini, count, words = owner[order], lo[order], hi[order], mini[order], count[order], words[order]
     new = np.ones(len(order), bool)
     new[1:] = (owner[1:] != owner[:-1]) | (mini[1:] != mini[:-1]) | (count[1:] != count[:-1]) | (words[1:] != words[:-1]).any(axis=1)
     at = np.flatnonzero(new)
-    return owner[at], np.minimum.reduceat(lo, at), np.maximum.reduceat(hi, at), mini[at], count[at], words[at]
+    kept = owner[at], np.minimum.reduceat(lo, at), np.maximum.reduceat(hi, at), mini[at], count[at], words[at]
+    back = np.argsort(order[at])  # neighbours alike, which packs better
+    return tuple(x[back] for x in kept)
 
 
 def super_kmers(seqs: DataFrame, seq: str, number: str, k: int, scope: tuple[str, ...] = (), m: int | None = None) -> DataFrame:
@@ -249,10 +258,10 @@ def owners_of_kmers(runs: DataFrame, k: int, scope: tuple[str, ...] = (), both:
     each = runs.repartition(parts, *scope, "mini").select("*", F.explode(F.expr("sequence(0, n - 1)")).alias("at"))
     kmers = each.select(*scope, "mini", "lo", "hi", kmer_at(F.col("words"), F.col("at"), k).alias("kmer"))
     if both:
-        kmers = kmers.withColumn("kmer", F.least("kmer", reverse_complement(F.col("kmer"), k)))
+        kmers = with_reverse(kmers, k).withColumn("kmer", F.least("kmer", "reverse")).drop("reverse")
     return kmers.groupBy(*scope, "mini", "kmer").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).drop("mini")
 
 
 def both_strands(index: DataFrame, k: int) -> DataFrame:
     """Each k-mer and its reverse complement, once if they are equal."""
-    return index.withColumn("kmer", F.explode(F.array_distinct(F.array("kmer", reverse_complement(F.col("kmer"), k)))))
+    return with_reverse(index, k).withColumn("kmer", F.explode(F.when(F.col("kmer") == F.col("reverse"), F.array("kmer")).otherwise(F.array("kmer", "reverse")))).drop("reverse")
