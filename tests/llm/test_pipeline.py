@@ -59,7 +59,7 @@ def test_every_query(spark, name):
     assert rows
     if name in ORACLES:
         con = duckdb.connect()
-        for t in ("documents", "embeddings", "benchmark"):
+        for t in ("documents", "embeddings", "benchmark", "conversations"):
             con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{FOLDER}/{t}.parquet'")
         cur = con.execute(ORACLES[name])
         order = [[d[0] for d in cur.description].index(c) for c in df.columns]
