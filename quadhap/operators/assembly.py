@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quadhap.operators import kmers as km
 from quadhap.operators.ranking import top_k
 from quadhap.operators.sites import R_SPLITS
+from quadhap.session import cut_lineage
 
 GROUP = ["sample", "gene"]
 SPLITS = [(s, tuple(h for h in range(4) if h not in s)) for s in R_SPLITS]
@@ -61,35 +62,48 @@ def allele_pool(scores: DataFrame, top_n: int | None = None, cap: int | None = N
     return top_k(pool.join(total, [*GROUP, "allele"]), GROUP, [F.desc("total"), F.asc("allele")], cap).select(*GROUP, "allele")
 
 
-def _assemble(pdf, paired: bool):
-    """Exhaustive search of one gene."""
-    import numpy as np
-    import pandas as pd
-
-    pool = pdf["alleles"].iloc[0]
-    n = len(pool)
-    a, b = np.triu_indices(n)  # unordered pairs, lexicographic
-    total = np.zeros((len(a), len(a)))
-    best_split = []
-    for scores, penalty in zip(pdf["s"], pdf["penalty"]):
-        s = np.stack([np.asarray(r, dtype=float) for r in scores])  # 4 × n
-        per = []
-        for j, (r, d) in enumerate(SPLITS):
-            side = [np.maximum(s[x][a] + s[y][b], s[x][b] + s[y][a]) for x, y in (r, d)]
-            per.append(side[0][:, None] + side[1][None, :] - penalty[j])
-        per = np.stack(per)
-        total += per.max(axis=0)
-        best_split.append(per)
+PAIR = ["a", "b"]
+#: Scores equal to this many digits are ties; a bound must miss by more than this to exclude.
+DIGITS, SURE = 9, 1e-6
+#: Alleles, and pairs of each side, whose combinations give the totals that bounds are held against.
+SEEDS = 4
+PAIR_SEEDS = 8
+
+
+def _pair_sides(cells: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``(sample, gene, block, a, b, side)``: for each two local haplotypes (in the order of ``R_SPLITS``) the better of both ways to give them the pair."""
+    one, two = (cells.select(*GROUP, "block", F.col("allele").alias(n), F.col("h").alias(f"h{n}")) for n in PAIR)
+    both = pairs.select(*GROUP, *PAIR).join(one, [*GROUP, "a"]).join(two, [*GROUP, "block", "b"])
+    at = lambda n, i: F.get(f"h{n}", F.lit(i))
+    side = F.array(*[F.greatest(at("a", x) + at("b", y), at("a", y) + at("b", x)) for x, y in R_SPLITS])
+    return both.select(*GROUP, "block", *PAIR, side.alias("side"))
+
+
+def _of_split(r: Column, d: Column, penalty: Column) -> Column:
+    """A block's score under each of the six splits."""
+    other = [R_SPLITS.index(rest) for _, rest in SPLITS]
+    return F.array(*[F.get(r, F.lit(j)) + F.get(d, F.lit(other[j])) - F.get(penalty, F.lit(j)) for j in range(len(SPLITS))])
+
+
+def _totals(r: DataFrame, d: DataFrame, blocks: DataFrame, paired: bool) -> DataFrame:
+    """``(sample, gene, q, score)`` of every recipient pair with every donor pair; ``q``: the four alleles as a struct."""
+    left = r.select(*GROUP, "block", F.col("a").alias("f1"), F.col("b").alias("f2"), F.col("side").alias("sr"))
+    right = d.select(*GROUP, "block", F.col("a").alias("f3"), F.col("b").alias("f4"), F.col("side").alias("sd"))
+    both = left.join(right, [*GROUP, "block"]).join(blocks.select(*GROUP, "block", "penalty"), [*GROUP, "block"])
     if not paired:  # a multiset of four, listed once: its sorted form
-        keep = b[:, None] <= a[None, :]
-        total = np.where(keep, total, -np.inf)
-    r, d = np.unravel_index(int(np.argmax(np.round(total, 9))), total.shape)
-    splits = [int(np.argmax(p[:, r, d])) for p in best_split]
-    return pd.DataFrame({
-        "sample": [pdf["sample"].iloc[0]], "gene": [pdf["gene"].iloc[0]],
-        "quartet": [[pool[a[r]], pool[b[r]], pool[a[d]], pool[b[d]]]], "score": [float(total[r, d])],
-        "blocks": [list(pdf["block"])], "splits": [splits],
-    })
+        both = both.where("f2 <= f3")
+    best = F.array_max(_of_split(F.col("sr"), F.col("sd"), F.col("penalty")))
+    return both.groupBy(*GROUP, F.struct("f1", "f2", "f3", "f4").alias("q")).agg(F.sum(best).alias("score"))
+
+
+def _floor(totals: DataFrame) -> DataFrame:
+    return totals.groupBy(*GROUP).agg(F.max("score").alias("floor"))
+
+
+def _pairs(alleles: DataFrame) -> DataFrame:
+    """Unordered pairs of a group's alleles, which the bounds have made few."""
+    one, two = (alleles.select(*GROUP, F.col("allele").alias(n)) for n in PAIR)
+    return one.join(two, GROUP).where("a <= b")
 
 
 def assemble(scores: DataFrame, penalties: DataFrame | None = None, top_n: int | None = None, cap: int | None = None, paired: bool = True) -> DataFrame:
@@ -99,20 +113,60 @@ def assemble(scores: DataFrame, penalties: DataFrame | None = None, top_n: int |
     ``(sample, gene, block, penalty array<double> of six)``. The score of a quartet sums,
     per block, the best assignment of the four local haplotypes; which two of them are
     the recipient's is one of six splits, and inside a side both orders are tried.
-    ``paired=False`` treats the quartet as one multiset without sides.
+    ``paired=False`` treats the quartet as one multiset without sides. Of equal scores the
+    first quartet in order of names wins.
+
+    Quartets are not enumerated. In a block, the two haplotypes that a pair leaves can score
+    at most the sum of their maxima over all alleles, and one allele at most what it scores on
+    one haplotype plus the other three maxima. Summed over blocks this bounds every quartet of
+    an allele, and every quartet of a recipient or a donor pair. Alleles, then pairs, whose bound
+    is under a total already found are dropped; only the rest is combined and scored.
     """
     pool = allele_pool(scores, top_n, cap)
-    listed = pool.groupBy(*GROUP).agg(F.array_sort(F.collect_list("allele")).alias("alleles")).where("size(alleles) >= 2")
-    cells = scores.join(pool, [*GROUP, "allele"], "left_semi").groupBy(*GROUP, "block").agg(
-        F.map_from_entries(F.collect_list(F.struct(F.concat_ws("\u0001", F.col("hap").cast("string"), "allele"), "score"))).alias("m")
-    )
-    at = lambda h, x: F.coalesce(F.element_at("m", F.concat_ws("\u0001", F.lit(str(h)), x)), F.lit(0.0))
-    rows = cells.join(listed, GROUP).withColumn("s", F.array(*[F.transform("alleles", lambda x: at(h, x)) for h in range(1, 5)]))
+    listed = pool.groupBy(*GROUP).agg(F.count("*").alias("n_alleles")).where("n_alleles >= 2").select(*GROUP)
+    pool = pool.join(listed, GROUP, "left_semi")
+    wide = scores.join(pool, [*GROUP, "allele"], "left_semi").groupBy(*GROUP, F.col("block").cast("int").alias("block"), "allele").agg(
+        F.array(*[F.coalesce(F.max(F.when(F.col("hap") == h, F.col("score").cast("double"))), F.lit(0.0)) for h in range(1, 5)]).alias("h"))
     none = F.array(*[F.lit(0.0)] * 6)
-    rows = rows.withColumn("penalty", none) if penalties is None else rows.join(penalties, [*GROUP, "block"], "left").withColumn("penalty", F.coalesce("penalty", none))
-    schema = "sample string, gene string, quartet array<string>, score double, blocks array<int>, splits array<int>"
-    one = rows.select(*GROUP, F.col("block").cast("int").alias("block"), "alleles", "s", "penalty")
-    return one.groupBy(*GROUP).applyInPandas(lambda pdf: _assemble(pdf.sort_values("block"), paired), schema)
+    blocks = wide.select(*GROUP, "block").distinct()
+    if penalties is None:
+        blocks = blocks.withColumn("penalty", none)
+    else:
+        blocks = blocks.join(penalties, [*GROUP, "block"], "left").withColumn("penalty", F.coalesce("penalty", none))
+    # an allele without scores in a block has zeros there
+    cells = cut_lineage(blocks.select(*GROUP, "block").join(pool, GROUP).join(wide, [*GROUP, "block", "allele"], "left").withColumn("h", F.coalesce("h", F.array(*[F.lit(0.0)] * 4))))
+    top = cells.groupBy(*GROUP, "block").agg(F.array(*[F.max(F.get("h", F.lit(i))) for i in range(4)]).alias("top"))
+    blocks = cut_lineage(blocks.join(top, [*GROUP, "block"]).withColumn("rest", F.array(*[F.get("top", F.lit(x)) + F.get("top", F.lit(y)) for x, y in R_SPLITS])))
+
+    gain = F.array_max(F.zip_with("h", "top", lambda x, m: x - m)) + F.aggregate("top", F.lit(0.0), lambda t, m: t + m) - F.array_min("penalty")
+    alleles = cells.join(blocks, [*GROUP, "block"]).groupBy(*GROUP, "allele").agg(F.sum(gain).alias("bound"))
+    alleles = cut_lineage(alleles)
+    seeds = _pair_sides(cells, _pairs(top_k(alleles, GROUP, [F.desc("bound"), F.asc("allele")], SEEDS)))
+    floor = _floor(_totals(seeds, seeds, blocks, paired))
+    few = alleles.join(floor, GROUP).where(F.col("bound") >= F.col("floor") - SURE)
+
+    sides = cut_lineage(_pair_sides(cells, _pairs(few)))
+    bounds = sides.join(blocks, [*GROUP, "block"]).groupBy(*GROUP, *PAIR).agg(
+        F.sum(F.array_max(_of_split(F.col("side"), F.col("rest"), F.col("penalty")))).alias("as_r"),
+        F.sum(F.array_max(_of_split(F.col("rest"), F.col("side"), F.col("penalty")))).alias("as_d"))
+    bounds = cut_lineage(bounds)
+    first = [top_k(bounds, GROUP, [F.desc(c), F.asc("a"), F.asc("b")], PAIR_SEEDS) for c in ("as_r", "as_d")]
+    better = _floor(_totals(*[sides.join(f, [*GROUP, *PAIR], "left_semi") for f in first], blocks, paired)).withColumnRenamed("floor", "found")
+    held = bounds.join(floor, GROUP).join(better, GROUP, "left").withColumn("floor", F.greatest("floor", "found"))
+    r, d = (sides.join(held.where(F.col(c) >= F.col("floor") - SURE), [*GROUP, *PAIR], "left_semi") for c in ("as_r", "as_d"))
+    totals = _totals(r, d, blocks, paired)
+    best = totals.groupBy(*GROUP).agg(F.min_by(F.struct("q", "score"), F.struct(-F.round("score", DIGITS), F.col("q"))).alias("won")).select(*GROUP, "won.*")
+    best = cut_lineage(best)
+
+    def side_of(x: str, y: str) -> DataFrame:
+        return _pair_sides(cells, best.select(*GROUP, F.col(f"q.{x}").alias("a"), F.col(f"q.{y}").alias("b"))).select(*GROUP, "block", F.col("side").alias(f"side_{x}"))
+
+    split = _of_split(F.col("side_f1"), F.col("side_f3"), F.col("penalty"))
+    at = side_of("f1", "f2").join(side_of("f3", "f4"), [*GROUP, "block"]).join(blocks, [*GROUP, "block"]).withColumn("by", split)
+    at = at.select(*GROUP, F.struct("block", (F.array_position("by", F.array_max("by")) - 1).cast("int").alias("split")).alias("s"))
+    chosen = at.groupBy(*GROUP).agg(F.array_sort(F.collect_list("s")).alias("s"))
+    return best.join(chosen, GROUP).select(
+        *GROUP, F.array(*[F.col(f"q.f{i}") for i in range(1, 5)]).alias("quartet"), "score", F.transform("s", lambda x: x["block"]).alias("blocks"), F.transform("s", lambda x: x["split"]).alias("splits"))
 
 
 def build_haplotypes(slices: DataFrame, edits: DataFrame) -> DataFrame:

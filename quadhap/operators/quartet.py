@@ -5,6 +5,7 @@ A haplotype of the recipient carries χ/2 of the reads, one of the donor (1−χ
 
 from __future__ import annotations
 
+import math
 from itertools import combinations_with_replacement, product
 
 from pyspark.sql import Column, DataFrame, Window
@@ -12,11 +13,13 @@ from pyspark.sql import functions as F
 
 from quadhap.functions import dose, names
 from quadhap.operators.ranking import top_k
+from quadhap.session import cut_lineage
 
 GROUP = ["sample", "gene"]
 PAIRS = list(combinations_with_replacement(range(4), 2))
 DIGITS = 12  # scores equal to this many digits count as ties and fall to the ordinal
 TIE = 5e-13  # half of the last of them
+TIE_NLL = 1e-6, 1e-10  # a likelihood bound must miss by more than this, absolute and relative, which covers the rounding of its sums
 
 
 def family_fractions(families: DataFrame) -> DataFrame:
@@ -167,7 +170,7 @@ def family_logweights(alignments: DataFrame, temperature: float = 2.0, family_ag
 
 
 def likelihood_classes(read_families: DataFrame, pool: DataFrame, log_floor: float = -25.0) -> DataFrame:
-    """``(sample, gene, e array<double>, n)``: likelihood of each pool candidate per class of equal reads.
+    """``(sample, gene, sig, e array<double>, n)`` per class of equal reads: the candidates it supports with their log weights, the likelihood of every candidate, the reads.
 
     Reads that support no candidate form one class at the floor.
     """
@@ -181,28 +184,77 @@ def likelihood_classes(read_families: DataFrame, pool: DataFrame, log_floor: flo
         hit = F.get(F.filter("sig", lambda s: s.ord == i), F.lit(0))
         return F.exp(F.coalesce(hit.logw, F.lit(float(log_floor))))
 
-    return classes.select(*GROUP, F.transform(F.sequence(F.lit(0), F.col("n_pool") - 1), value).alias("e"), "n")
+    return classes.select(*GROUP, "sig", F.transform(F.sequence(F.lit(0), F.col("n_pool") - 1), value).alias("e"), "n")
 
 
-def quartet_nll(classes: DataFrame, chi: DataFrame, chi_grid: tuple[float, float, float] | None = None) -> DataFrame:
-    """``(sample, gene, i, j, k, m, chi_ord, chi, nll)`` for every quartet of the pool.
+ABSENT, NO_RECIPIENT = -1, -2
+#: Quartets per group whose exact value the first round gives, and recipients tried for each donor pair to find them.
+FIRST_ROUND, TRIED = 24, 3
 
-    Each class row lists the pool's pairs itself, so classes are never joined to
-    quartets, and the sums combine map-side to one row per quartet and task. Quartets grow
-    with the fourth power of the pool, which ``min_frac`` bounds; reads only add classes.
+
+def likelihood_terms(classes: DataFrame, chis: DataFrame, log_floor: float = -25.0) -> DataFrame:
+    """``(sample, gene, chi_ord, k, m, i, term)``: log likelihoods folded over all reads, to be added up by :func:`three_slots`.
+
+    A class differs from a read at the floor only in the candidates it supports. What it adds
+    to a quartet is split into what each single one, each two and each three of these add beyond
+    their parts, so a class gives rows for its own candidates only, never for the pool's quartets.
+    ``k, m``: donor candidates or ``ABSENT``; ``i``: a recipient candidate, ``ABSENT``, or
+    ``NO_RECIPIENT`` for likelihoods without recipient share.
     """
-    n = F.size("e")
-    pairs = F.flatten(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.transform(F.sequence(i, n - 1), lambda j: F.struct(i.alias("a"), j.alias("b")))))
-    c = classes.join(chi.select("sample", "chi_r"), "sample").withColumn("pairs", pairs)
-    r = c.select("*", F.explode("pairs").alias("r")).withColumn("er", F.get("e", F.col("r.a")) + F.get("e", F.col("r.b")))
-    q = r.select(*GROUP, "n", "chi_r", "r", "er", "e", F.explode("pairs").alias("d")).select(
-        *GROUP, "n", "chi_r", "r", "d", "er", (F.get("e", F.col("d.a")) + F.get("e", F.col("d.b"))).alias("ed")
-    )
-    q = q.select("*", F.posexplode(chi_values(F.col("chi_r"), chi_grid)).alias("chi_ord", "chi"))
-    like = F.log(F.col("chi") / 2 * F.col("er") + (1.0 - F.col("chi")) / 2 * F.col("ed"))
-    return q.groupBy(*GROUP, F.col("r.a").alias("i"), F.col("r.b").alias("j"), F.col("d.a").alias("k"), F.col("d.b").alias("m"), "chi_ord").agg(
-        F.min("chi").alias("chi"), F.min("chi_r").alias("chi_r"), F.sum(-F.col("n") * like).alias("nll"), F.sum("n").alias("n_reads")
-    )
+    floor = F.lit(math.exp(log_floor))
+    c = classes.join(chis, GROUP).withColumn("s", F.transform("sig", lambda s: F.struct(s["ord"].cast("int").alias("o"), F.exp(s["logw"]).alias("e"))))
+    none = F.struct(F.lit(ABSENT).alias("o"), F.lit(None).cast("double").alias("e"))
+    ends = F.concat(F.array(none), F.col("s"))
+    donors = F.flatten(F.transform(ends, lambda a: F.transform(ends, lambda b: F.struct(a.alias("k"), b.alias("m")))))
+    # k comes first, and is absent only where m is
+    donors = F.filter(donors, lambda p: (p["m"]["o"] == ABSENT) | ((p["k"]["o"] != ABSENT) & (p["k"]["o"] <= p["m"]["o"])))
+    recipients = F.concat(F.array(F.struct(F.lit(NO_RECIPIENT).alias("o"), F.lit(0.0).alias("e")), F.struct(F.lit(ABSENT).alias("o"), F.lit(None).cast("double").alias("e"))), F.col("s"))
+    rows = c.select(*GROUP, "n", "chi_ord", "chi", F.explode(donors).alias("d"), recipients.alias("rs")).select("*", F.explode("rs").alias("r"))
+    x, y = F.coalesce("d.k.e", floor), F.coalesce("d.m.e", floor)
+    like = lambda a, b, z: F.log((1.0 - F.col("chi")) / 2 * (a + b) + F.col("chi") / 2 * z)
+
+    def beyond(z: Column) -> Column:
+        one = like(x, floor, z) - like(floor, floor, z)
+        both = like(x, y, z) - like(x, floor, z) - like(floor, y, z) + like(floor, floor, z)
+        return F.when(F.col("d.k.o") == ABSENT, like(floor, floor, z)).when(F.col("d.m.o") == ABSENT, one).otherwise(both)
+
+    z = F.coalesce("r.e", floor)
+    term = F.when(F.col("r.o") < 0, beyond(z)).otherwise(beyond(z) - beyond(floor))
+    return rows.groupBy(*GROUP, "chi_ord", F.col("d.k.o").alias("k"), F.col("d.m.o").alias("m"), F.col("r.o").alias("i")).agg(F.sum(F.col("n") * term).alias("term"))
+
+
+def three_slots(terms: DataFrame, pool: DataFrame) -> DataFrame:
+    """``(sample, gene, chi_ord, k, m, base, gains array<struct<gain, i>>)``: of every donor pair, the log likelihood without a recipient and what each recipient candidate alone adds, best first."""
+    each = pool.select(*GROUP, F.col("ord").cast("int").alias("ord"))
+    grid = terms.select(*GROUP, "chi_ord").distinct()
+    pairs = grid.join(each.withColumnRenamed("ord", "k"), GROUP).join(each.withColumnRenamed("ord", "m"), GROUP).where("k <= m")
+    parts = [(ABSENT, ABSENT), ("k", ABSENT), ("m", ABSENT), ("k", "m")]
+    named = F.array(*[F.struct(*[(F.lit(v) if isinstance(v, int) else F.col(v)).alias(n) for n, v in zip(("pk", "pm"), p)]) for p in parts])
+    listed = pairs.select("*", F.explode(named).alias("p")).select(*GROUP, "chi_ord", "k", "m", "p.pk", "p.pm")
+    # a term is kept by donors with its candidates as an array: three entries to a supported candidate at most
+    held = terms.groupBy(*GROUP, "chi_ord", F.col("k").alias("pk"), F.col("m").alias("pm")).agg(F.collect_list(F.struct("i", "term")).alias("t"))
+    found = listed.join(held, [*GROUP, "chi_ord", "pk", "pm"]).select(*GROUP, "chi_ord", "k", "m", F.explode("t").alias("t"))
+    summed = found.groupBy(*GROUP, "chi_ord", "k", "m", F.col("t.i").alias("i")).agg(F.sum("t.term").alias("term"))
+    per = summed.groupBy(*GROUP, "chi_ord", "k", "m").agg(
+        F.max(F.when(F.col("i") == NO_RECIPIENT, F.col("term"))).alias("base"), F.max(F.when(F.col("i") == ABSENT, F.col("term"))).alias("plain"),
+        F.collect_list(F.when(F.col("i") >= 0, F.struct("i", "term"))).alias("own"))
+    sizes = each.groupBy(*GROUP).agg(F.count("*").cast("int").alias("n_pool"))
+    own = lambda i: F.coalesce(F.get(F.filter("own", lambda x: x["i"] == i), F.lit(0))["term"], F.lit(0.0))
+    gains = F.transform(F.sequence(F.lit(0), F.col("n_pool") - 1), lambda i: F.struct((F.col("plain") + own(i) - F.col("base")).alias("gain"), i.alias("i")))
+    return per.join(sizes, GROUP).select(*GROUP, "chi_ord", "k", "m", "base", F.sort_array(gains, False).alias("gains"))
+
+
+def quartet_nll(classes: DataFrame, quartets: DataFrame) -> DataFrame:
+    """``nll`` of listed quartets ``(sample, gene, i, j, k, m, chi_ord, chi)``, exact, and the reads.
+
+    The quartets of a group are one short row that meets each of its classes and is spelled out
+    there; sums combine map-side to one row per quartet and task.
+    """
+    listed = quartets.groupBy(*GROUP).agg(F.collect_list(F.struct("i", "j", "k", "m", "chi_ord", "chi")).alias("q"))
+    x = classes.select(*GROUP, "e", "n").join(listed, GROUP).select(*GROUP, "e", "n", F.explode("q").alias("q"))
+    e = lambda slot: F.get("e", F.col(f"q.{slot}"))
+    like = F.log(F.col("q.chi") / 2 * (e("i") + e("j")) + (1.0 - F.col("q.chi")) / 2 * (e("k") + e("m")))
+    return x.groupBy(*GROUP, *[F.col(f"q.{c}").alias(c) for c in ("i", "j", "k", "m", "chi_ord", "chi")]).agg(F.sum(-F.col("n") * like).alias("nll"), F.sum("n").alias("n_reads"))
 
 
 def fit_quartet_likelihood(read_families: DataFrame, families: DataFrame, chi: DataFrame, top_n: int | None = None, min_frac: float = 0.002,
@@ -211,23 +263,46 @@ def fit_quartet_likelihood(read_families: DataFrame, families: DataFrame, chi: D
                            chi_prior: float = 0.0, dose_prior: float = 0.0) -> DataFrame:
     """Quartet with the highest read likelihood: ``(sample, gene, quartet, nll, gap, chi_fit, n_reads)``.
 
-    ``gap`` is the distance to the second-best (quartet, χ) of the search.
+    ``gap`` is the distance to the second-best (quartet, χ) of the search; priors are charges per read.
+
+    The search is best-first. The logarithm is concave, so two recipient candidates add at
+    most what each alone adds to a donor pair; that bounds every quartet from tables of donor
+    pairs and single candidates, which are folded over the reads once. The most promising
+    quartets get their exact value first; then only those whose bound reaches the second best of
+    them. The result is that of the full enumeration.
     """
     pool = candidate_pool(families, top_n, min_frac, forced, restrict)
     big_enough = pool.groupBy(*GROUP).agg(F.count("*").alias("c")).where("c >= 2").select(*GROUP)
-    pool = pool.join(big_enough, GROUP, "left_semi")
-    scored = quartet_nll(likelihood_classes(read_families.join(big_enough, GROUP, "left_semi"), pool, log_floor), chi, chi_grid)
+    pool = cut_lineage(pool.join(big_enough, GROUP, "left_semi"))
+    classes = cut_lineage(likelihood_classes(read_families.join(big_enough, GROUP, "left_semi"), pool, log_floor))
+    reads = classes.groupBy(*GROUP).agg(F.sum("n").alias("reads")).join(chi.select("sample", "chi_r"), "sample")
+    chis = reads.select(*GROUP, F.posexplode(chi_values(F.col("chi_r"), chi_grid)).alias("chi_ord", "chi"))
+    charge = chi_prior * F.col("reads") * F.abs(F.col("chi") - F.col("chi_r"))
+    slots = three_slots(likelihood_terms(classes, chis, log_floor), pool).join(chis, [*GROUP, "chi_ord"]).join(reads, GROUP)
+    # least: no quartet with this donor pair can have a smaller value
+    slots = cut_lineage(slots.select(*GROUP, "chi_ord", "chi", "k", "m", "gains", (charge - F.col("base")).alias("base")).withColumn("least", F.col("base") - 2 * F.get("gains", F.lit(0))["gain"]))
+
+    def bounded(rows: DataFrame, gains: Column) -> DataFrame:
+        """Quartets of donor pairs with recipients from ``gains``, and the bound of each."""
+        a = rows.select("*", F.posexplode(gains).alias("at", "a"))
+        both = a.select("*", F.explode(F.slice(gains, F.col("at") + 1, F.size(gains))).alias("b"))
+        return both.select(*GROUP, F.least("a.i", "b.i").alias("i"), F.greatest("a.i", "b.i").alias("j"), "k", "m", "chi_ord", "chi", (F.col("base") - F.col("a.gain") - F.col("b.gain")).alias("bound"))
+
     members = pool.groupBy(*GROUP).agg(F.array_sort(F.collect_list(F.struct("ord", "family", "fraction"))).alias("c"))
-    nll = F.col("nll")
-    if chi_prior > 0:
-        nll = nll + chi_prior * F.col("n_reads") * F.abs(F.col("chi") - F.col("chi_r"))
-    scored = scored.join(members, GROUP)
     q = F.array(*[F.get("c", F.col(x))["family"] for x in "ijkm"])
-    if dose_prior > 0:
-        residual = dose.quartet_residual(q, dose.fraction_lookup(F.col("c")), 1.0, F.col("chi"))
-        nll = nll + dose_prior * F.col("n_reads") * residual
-    scored = scored.select(*GROUP, q.alias("quartet"), "chi", "n_reads", F.round(nll, 9).alias("nll"), F.struct("i", "j", "k", "m", "chi_ord").alias("ord"))
-    two = top_k(scored, GROUP, [F.asc("nll"), F.asc("ord")], 2)
+
+    def exact(quartets: DataFrame) -> DataFrame:
+        scored = quartet_nll(classes, quartets).join(members, GROUP).join(reads.drop("reads"), GROUP)
+        nll = F.col("nll") + chi_prior * F.col("n_reads") * F.abs(F.col("chi") - F.col("chi_r"))
+        if dose_prior > 0:
+            nll = nll + dose_prior * F.col("n_reads") * dose.quartet_residual(q, dose.fraction_lookup(F.col("c")), 1.0, F.col("chi"))
+        return scored.select(*GROUP, q.alias("quartet"), "chi", "n_reads", F.round(nll, 9).alias("nll"), F.struct("i", "j", "k", "m", "chi_ord").alias("ord"))
+
+    tried = top_k(bounded(slots, F.slice("gains", 1, TRIED)), GROUP, [F.asc("bound"), *[F.asc(c) for c in ("i", "j", "k", "m", "chi_ord")]], FIRST_ROUND)
+    two = top_k(exact(tried), GROUP, [F.asc("nll"), F.asc("ord")], 2).groupBy(*GROUP).agg(F.max("nll").alias("second"), F.count("*").alias("n"))
+    reach = cut_lineage(two.select(*GROUP, F.when(F.col("n") > 1, F.col("second") + TIE_NLL[0] + TIE_NLL[1] * F.abs("second")).otherwise(F.lit(float("inf"))).alias("reach")))
+    left = bounded(slots.join(reach, GROUP).where("least <= reach"), F.col("gains")).join(reach, GROUP).where("bound <= reach")
+    two = top_k(exact(left), GROUP, [F.asc("nll"), F.asc("ord")], 2)
     first = lambda c: F.max(F.when(F.col("rank") == 1, F.col(c)))
     return two.groupBy(*GROUP).agg(
         F.min_by("quartet", "rank").alias("quartet"), first("nll").alias("nll"), (F.max("nll") - F.min("nll")).alias("gap"),

@@ -231,7 +231,7 @@ def quartet_af(t: Tables) -> DataFrame:
     return spelled(f, micro("score").alias("score_micro"), "n_sites")
 
 
-SCORES = """SELECT concat('n', lpad(cast(s_nationkey as string), 2, '0')) AS sample, 'g' AS gene, l_linestatus AS ls, CASE WHEN l_linestatus = 'O' THEN 1 ELSE 2 END AS block, (l_linenumber - 1) % 4 + 1 AS hap, substr(p_brand, 1, 7) AS allele, cast(sum(cast(l_quantity as int)) as double) AS score
+SCORES = """SELECT concat('n', lpad(cast(s_nationkey as string), 2, '0')) AS sample, 'g' AS gene, l_linestatus AS ls, CASE WHEN l_linestatus = 'O' THEN 1 ELSE 2 END AS block, (l_linenumber - 1) % 4 + 1 AS hap, p_brand AS allele, cast(sum(cast(l_quantity as int)) as double) AS score
 FROM {lineitem} JOIN {supplier} ON l_suppkey = s_suppkey JOIN {part} ON l_partkey = p_partkey GROUP BY 1, 2, 3, 4, 5, 6"""
 SCORE_CELLS = dict(
     sc=SCORES,

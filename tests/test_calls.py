@@ -142,6 +142,34 @@ def test_assembly_is_exhaustive(spark):
     assert free.score == pytest.approx(max(score(q) for q in itertools.combinations_with_replacement(pool, 4)))
 
 
+def test_assembly_is_the_first_best_of_all_quartets(spark):
+    """Ties, missing cells, negative scores and very unequal alleles; several genes at once."""
+    rng = random.Random(4)
+    rows, pens, want, free = [], [], {}, {}
+    splits = [s for s, _ in assembly.SPLITS]
+    for g in range(8):
+        pool = [f"a{i}" for i in range(rng.randint(2, 7))]
+        cell = {(b, h, a): float(rng.choice([-5, 0, 1, 2, 2, 9, 40])) * (0.1 if a == "a0" else 1) for b in range(rng.randint(1, 4)) for h in range(4) for a in pool if rng.random() < 0.8 or (b, h) == (0, 0)}
+        blocks = sorted({b for b, _, _ in cell})
+        pen = {b: [rng.choice([0.0, 1.0, 3.0]) for _ in range(6)] for b in blocks}
+        rows += [("s", f"g{g}", b, h + 1, a, v) for (b, h, a), v in cell.items()]
+        pens += [("s", f"g{g}", b, p) for b, p in pen.items()]
+
+        def score(q, cost):
+            return round(sum(max(sum(cell.get((b, h, q[p[h]]), 0.0) for h in range(4)) - cost[b][splits.index(tuple(h for h in range(4) if p[h] < 2))] for p in itertools.permutations(range(4))) for b in blocks), 9)
+
+        pairs = list(itertools.combinations_with_replacement(pool, 2))
+        want[f"g{g}"] = min((-score(r + d, pen), list(r + d)) for r in pairs for d in pairs)
+        nothing = dict.fromkeys(blocks, [0.0] * 6)
+        free[f"g{g}"] = min((-score(q, nothing), list(q)) for q in itertools.combinations_with_replacement(pool, 4))
+    sc = spark.createDataFrame(rows, "sample string, gene string, block int, hap int, allele string, score double")
+    pn = spark.createDataFrame(pens, "sample string, gene string, block int, penalty array<double>")
+    for got, right in ((assembly.assemble(sc, pn), want), (assembly.assemble(sc, None, paired=False), free)):
+        rows_ = got.collect()
+        assert {r.gene: (-round(r.score, 9), r.quartet) for r in rows_} == right
+        assert all(r.blocks == sorted(r.blocks) and len(r.splits) == len(r.blocks) for r in rows_)
+
+
 def test_one_prediction_can_serve_two_levels(spark):
     gg = spark.createDataFrame([("A*01:01:01", "A*01:01:01G"), ("A*01:01:01G", "A*01:01:01G"), ("A*01:01:09", "A*01:01:09G")], "member string, grp string")
     truth = spark.createDataFrame([("s", "PATIENT", "HLA-A", "A*01:01"), ("s", "PATIENT", "HLA-A", "A*01:01:01G")], "sample string, side string, gene string, allele string")

@@ -134,6 +134,38 @@ def test_likelihood(spark, dose_prior, grid):
     assert got.n_reads == 200
 
 
+@pytest.mark.parametrize("chi_r", [0.05, 0.5])
+def test_likelihood_search_is_exhaustive(spark, chi_r):
+    """Eight families, reads with none to all of them supported, several groups, a charge on the fraction; ties go to the first quartet."""
+    rng = random.Random(8)
+    names = [f"f{i}" for i in range(8)]
+    grid, prior, rows, fam, want = (0.05, 0.5, 0.2), 0.01, [], [], {}
+    for g in range(5):
+        weight = {n: float(rng.randint(1, 9) * 10) for n in names}
+        reads = [{n: rng.choice([0.0, -0.5, -4.0]) for n in rng.sample(names[: 2 + g] if i % 3 else names, rng.randint(1, 2 + g))} for i in range(60)]
+        if g == 4:
+            reads = [{n: v for n, v in zip(names, [0.0] * 8)} for _ in range(20)]  # all quartets tie
+        rows += [(f"s{g}", "g", f"r{i}", n, w) for i, r in enumerate(reads) for n, w in r.items()] + [(f"s{g}", "g", "other", "unknown", 0.0)]
+        fam += [(f"s{g}", "g", n, w) for n, w in weight.items()]
+        pool = sorted(names, key=lambda n: (-weight[n], n))
+        found = []
+        for r in itertools.combinations_with_replacement(range(8), 2):
+            for d in itertools.combinations_with_replacement(range(8), 2):
+                for o, c in enumerate(grid[0] + x * grid[2] for x in range(3)):
+                    e = lambda m, x: math.exp(m.get(pool[x], -25.0))  # noqa: B023, E731
+                    nll = -sum(math.log(c / 2 * (e(m, r[0]) + e(m, r[1])) + (1 - c) / 2 * (e(m, d[0]) + e(m, d[1]))) for m in [*reads, {}])
+                    found.append((round(nll + prior * (len(reads) + 1) * abs(c - chi_r), 6), *r, *d, o))
+        found.sort()
+        want[f"s{g}"] = ([pool[x] for x in found[0][1:5]], found[0][0], found[1][0] - found[0][0])
+    chi = spark.createDataFrame([(f"s{g}", chi_r) for g in range(5)], "sample string, chi_r double")
+    df = spark.createDataFrame(rows, "sample string, gene string, read string, family string, logw double")
+    fit = quartet.fit_quartet_likelihood(df, spark.createDataFrame(fam, SCHEMA), chi, min_frac=0.0, chi_grid=grid, chi_prior=prior).collect()
+    assert len(fit) == 5
+    for r in fit:
+        quartet_, nll, gap = want[r.sample]
+        assert r.nll == pytest.approx(nll, abs=2e-6) and r.gap == pytest.approx(gap, abs=4e-6) and r.quartet == quartet_, r.sample
+
+
 def test_forced_quartet_in_other_order_has_no_gap(spark):
     fit = spark.createDataFrame([("s", "g", ["a", "b", "c", "c"], 7.0), ("s", "h", ["a", "b", "c", "c"], 7.0)], "sample string, gene string, quartet array<string>, gap double")
     forced = spark.createDataFrame([("s", "g", ["b", "a", "c", "c"]), ("s", "h", ["a", "b", "c", "c"])], "sample string, gene string, forced array<string>")
