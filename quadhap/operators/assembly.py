@@ -127,6 +127,8 @@ def assemble(scores: DataFrame, penalties: DataFrame | None = None, top_n: int |
     pool = pool.join(listed, GROUP, "left_semi")
     wide = scores.join(pool, [*GROUP, "allele"], "left_semi").groupBy(*GROUP, F.col("block").cast("int").alias("block"), "allele").agg(
         F.array(*[F.coalesce(F.max(F.when(F.col("hap") == h, F.col("score").cast("double"))), F.lit(0.0)) for h in range(1, 5)]).alias("h"))
+    wide = cut_lineage(wide)
+    pool = wide.select(*GROUP, "allele").distinct()
     none = F.array(*[F.lit(0.0)] * 6)
     blocks = wide.select(*GROUP, "block").distinct()
     if penalties is None:
@@ -142,7 +144,7 @@ def assemble(scores: DataFrame, penalties: DataFrame | None = None, top_n: int |
     alleles = cells.join(blocks, [*GROUP, "block"]).groupBy(*GROUP, "allele").agg(F.sum(gain).alias("bound"))
     alleles = cut_lineage(alleles)
     seeds = _pair_sides(cells, _pairs(top_k(alleles, GROUP, [F.desc("bound"), F.asc("allele")], SEEDS)))
-    floor = _floor(_totals(seeds, seeds, blocks, paired))
+    floor = cut_lineage(_floor(_totals(seeds, seeds, blocks, paired)))
     few = alleles.join(floor, GROUP).where(F.col("bound") >= F.col("floor") - SURE)
 
     sides = cut_lineage(_pair_sides(cells, _pairs(few)))
@@ -152,7 +154,7 @@ def assemble(scores: DataFrame, penalties: DataFrame | None = None, top_n: int |
     bounds = cut_lineage(bounds)
     first = [top_k(bounds, GROUP, [F.desc(c), F.asc("a"), F.asc("b")], PAIR_SEEDS) for c in ("as_r", "as_d")]
     better = _floor(_totals(*[sides.join(f, [*GROUP, *PAIR], "left_semi") for f in first], blocks, paired)).withColumnRenamed("floor", "found")
-    held = bounds.join(floor, GROUP).join(better, GROUP, "left").withColumn("floor", F.greatest("floor", "found"))
+    held = cut_lineage(bounds.join(floor, GROUP).join(better, GROUP, "left").withColumn("floor", F.greatest("floor", "found")))
     r, d = (sides.join(held.where(F.col(c) >= F.col("floor") - SURE), [*GROUP, *PAIR], "left_semi") for c in ("as_r", "as_d"))
     totals = _totals(r, d, blocks, paired)
     best = totals.groupBy(*GROUP).agg(F.min_by(F.struct("q", "score"), F.struct(-F.round("score", DIGITS), F.col("q"))).alias("won")).select(*GROUP, "won.*")

@@ -280,13 +280,14 @@ def fit_quartet_likelihood(read_families: DataFrame, families: DataFrame, chi: D
     charge = chi_prior * F.col("reads") * F.abs(F.col("chi") - F.col("chi_r"))
     slots = three_slots(likelihood_terms(classes, chis, log_floor), pool).join(chis, [*GROUP, "chi_ord"]).join(reads, GROUP)
     # least: no quartet with this donor pair can have a smaller value
-    slots = cut_lineage(slots.select(*GROUP, "chi_ord", "chi", "k", "m", "gains", (charge - F.col("base")).alias("base")).withColumn("least", F.col("base") - 2 * F.get("gains", F.lit(0))["gain"]))
+    slots = cut_lineage(slots.select(*GROUP, "chi_ord", "chi", "k", "m", "gains", "reads", (charge - F.col("base")).alias("base")).withColumn("least", F.col("base") - 2 * F.get("gains", F.lit(0))["gain"]))
 
     def bounded(rows: DataFrame, gains: Column) -> DataFrame:
-        """Quartets of donor pairs with recipients from ``gains``, and the bound of each."""
+        """Quartets of donor pairs with recipients from ``gains``, and the bound of each. A second copy of a candidate at most doubles a read's likelihood."""
         a = rows.select("*", F.posexplode(gains).alias("at", "a"))
         both = a.select("*", F.explode(F.slice(gains, F.col("at") + 1, F.size(gains))).alias("b"))
-        return both.select(*GROUP, F.least("a.i", "b.i").alias("i"), F.greatest("a.i", "b.i").alias("j"), "k", "m", "chi_ord", "chi", (F.col("base") - F.col("a.gain") - F.col("b.gain")).alias("bound"))
+        return both.select(*GROUP, F.least("a.i", "b.i").alias("i"), F.greatest("a.i", "b.i").alias("j"), "k", "m", "chi_ord", "chi",
+            (F.col("base") - F.col("a.gain") - F.when(F.col("a.i") == F.col("b.i"), F.least(F.col("b.gain"), F.col("reads") * math.log(2))).otherwise(F.col("b.gain"))).alias("bound"))
 
     members = pool.groupBy(*GROUP).agg(F.array_sort(F.collect_list(F.struct("ord", "family", "fraction"))).alias("c"))
     q = F.array(*[F.get("c", F.col(x))["family"] for x in "ijkm"])
