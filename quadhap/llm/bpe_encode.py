@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quadhap.llm.pieces import Splitter, part_words
+from quadhap.llm.pieces import Splitter, WordMemo, part_words
 from quadhap.llm.prefix_bpe import from_ranks
 
 IDS = "doc_id bigint, ids array<int>"
@@ -24,10 +24,15 @@ def part_encoder(path: str):
     """A function from text parts to their ids, written as decimals with a comma behind each."""
     bpe = from_ranks(path)
 
+    def encoded(words: set[str]) -> dict[str, bytes]:
+        ids = bpe.encode_all([w.encode() for w in words])
+        return {w.decode(): b"".join([b"%d," % i for i in v]) for w, v in ids.items()}
+
+    memo = WordMemo(encoded)
+
     def compute(parts: list[str]) -> list[bytes]:
-        words = [[w.encode() for w in part_words(p)] for p in parts]
-        ids = bpe.encode_all({w for ws in words for w in ws})
-        text = {w: b"".join([b"%d," % i for i in v]) for w, v in ids.items()}
+        words = [part_words(p) for p in parts]
+        text = memo.load({w for ws in words for w in ws})
         return [b"".join([text[w] for w in ws]) for ws in words]
 
     return compute

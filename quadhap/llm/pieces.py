@@ -83,6 +83,27 @@ class Memo:
             self.new.update(zip(missing, self.compute([self.front + p for p in missing])))
 
 
+class WordMemo:
+    """Values of words behind a memory of parts: one word is in many parts, with other marks around it. Bounded as :class:`Memo` is."""
+
+    def __init__(self, compute: Callable[[set[str]], dict], limit: int = 600_000):
+        self.compute, self.limit = compute, limit
+        self.new: dict = {}
+        self.old: dict = {}
+
+    def load(self, words: set[str]) -> dict:
+        """A table that holds all of ``words``, until the next call."""
+        missing = words.difference(self.new)
+        if len(self.new) + len(missing) > self.limit // 2:
+            self.old, self.new, missing = self.new, {}, words
+        known = missing.intersection(self.old)
+        self.new.update((w, self.old[w]) for w in known)
+        rest = missing.difference(known)
+        if rest:
+            self.new.update(self.compute(rest))
+        return self.new
+
+
 class Splitter:
     """Values of the parts of texts, by memos over whole parts.
 

@@ -1,8 +1,12 @@
 """Token counts by a finite-state transducer that is compiled as texts need it.
 
-States stand for byte prefixes of a word, transitions carry the change in the number of
-tokens that the next byte brings (a merge with earlier tokens makes it zero or negative), so
-the emissions along a word add up to its token count. Whole parts of text are jumps from the
+A state holds what of the bytes read so far can still matter: the longest suffix that some
+token begins with and, for each place in it where a token may begin, the last token before
+that place and how many tokens ago it is. Words with different beginnings come to the same
+states. A transition, from a state and a byte to a state and the change in the number of tokens
+(a merge with earlier tokens makes it zero or negative), is worked out once, stored and
+walked from then on; emissions along a word add up to its token count. States are numbers in
+a table with a bound, behind which it is compiled anew. Whole parts of text are jumps from the
 start state, remembered once their bytes were walked.
 
 A text beyond ``chunk`` characters is cut into chunks that different tasks count. The state a
@@ -26,45 +30,83 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quadhap.llm.pieces import WHITE, Splitter, find_words, part_words
+from quadhap.llm.pieces import WHITE, Splitter, WordMemo, find_words, part_words
 from quadhap.llm.prefix_bpe import PrefixBpe, from_json, special_strings
 
 CHUNK = 1 << 15
 
 
+_SHIFT, _ZERO = 20, 1 << 19
+
+
 class Transducer:
-    """The counting transducer of one vocabulary. A state is the list of last tokens (with running counts) of the prefix read so far."""
-
-    def __init__(self, bpe: PrefixBpe):
-        self.bpe = bpe
-
-    def step(self, word: bytes, at: int, last: list[int], counts: list[int]) -> int:
-        """Read byte ``at`` of a word; extends the state and returns the emitted count."""
-        self.bpe.extend(word, last, at + 1)
-        before = at + 1 - self.bpe.size[last[at]]
-        counts.append(1 + (counts[before - 1] if before else 0))
-        return counts[-1] - (counts[-2] if at else 0)
-
-    def words(self, words: set[bytes]) -> dict[bytes, int]:
-        """Counts of many words: in sorted order, each continues from the state after the prefix it shares with the one before."""
-        out: dict[bytes, int] = {}
-        past, last, counts, emitted = b"", [], [], [0]
-        for word in sorted(words):
-            shared, most = 0, min(len(past), len(word))
-            while shared < most and past[shared] == word[shared]:
-                shared += 1
-            del last[shared:], counts[shared:], emitted[shared + 1 :]
-            for at in range(shared, len(word)):
-                emitted.append(emitted[-1] + self.step(word, at, last, counts))
-            past = word
-            out[word] = emitted[-1]
+    """The counting transducer of one vocabulary; state 0 is the start of a word.
+
+    ``limit``: states that are held; a word never loses those it walks through.
+    """
+
+    def __init__(self, bpe: PrefixBpe, limit: int = 300_000):
+        self.bpe, self.limit = bpe, limit
+        self.begins = {t[:i] for t in bpe.ids for i in range(1, len(t))}
+        self.reset()
+
+    def reset(self) -> None:
+        self.states: list[tuple] = [(b"", ((0, None, 0),))]
+        self.numbers = {self.states[0]: 0}
+        self.transitions: dict[int, int] = {}
+
+    def compile(self, state: int, byte: int) -> int:
+        """Store and return the transition of a state by a byte, as next state and emission in one number."""
+        suffix, places = self.states[state]
+        grown, bpe = suffix + bytes((byte,)), self.bpe
+        # places from the longest suffix to the shortest; exactly one of their tokens is valid
+        for length, last, ago in places:
+            token = bpe.ids.get(grown[len(grown) - length - 1 :])
+            if token is not None and (bpe.edges(token) is not None if last is None else bpe.agree(last, token)):
+                break
+        else:
+            raise ValueError("a byte is missing from the vocabulary")
+        emitted = 1 - ago
+        after = tuple((n + 1, before, gone + emitted) for n, before, gone in places if grown[len(grown) - n - 1 :] in self.begins) + ((0, token, 0),)
+        key = (grown[len(grown) - after[0][0] :], after)
+        number = self.numbers.setdefault(key, len(self.states))
+        if number == len(self.states):
+            self.states.append(key)
+        out = self.transitions[state << 8 | byte] = number << _SHIFT | (emitted + _ZERO)
+        return out
+
+    def step(self, state: int, byte: int) -> tuple[int, int]:
+        """The next state and the emission."""
+        to = self.transitions.get(state << 8 | byte)
+        if to is None:
+            to = self.compile(state, byte)
+        return to >> _SHIFT, (to & (1 << _SHIFT) - 1) - _ZERO
+
+    def count(self, word: bytes) -> int:
+        """The emissions along a word, as :meth:`step` gives them."""
+        state, total, get = 0, 0, self.transitions.get
+        for byte in word:
+            to = get(state << 8 | byte)
+            if to is None:
+                to = self.compile(state, byte)
+            state = to >> _SHIFT
+            total += (to & (1 << _SHIFT) - 1) - _ZERO
+        return total
+
+    def words(self, words: set[str]) -> dict[str, int]:
+        """Counts of many words."""
+        out = {}
+        for word in words:
+            if len(self.states) > self.limit:
+                self.reset()
+            out[word] = self.count(word.encode())
         return out
 
 
 @functools.cache
 def splitter(path: str) -> Splitter:
     """Counts of text parts; one per worker and vocabulary."""
-    machine, special = Transducer(from_json(path)), special_strings(path)
+    memo, special = WordMemo(Transducer(from_json(path)).words), special_strings(path)
     cut = re.compile("(" + "|".join(map(re.escape, special)) + ")") if special else None
 
     def compute(parts: list[str]) -> list[int]:
@@ -73,11 +115,11 @@ def splitter(path: str) -> Splitter:
             if cut is not None and cut.search(p):
                 sections = cut.split(p)
                 fixed.append(len(sections) // 2)
-                words.append([w.encode() for s in sections[::2] for w in find_words(s)])
+                words.append([w for s in sections[::2] for w in find_words(s)])
             else:
                 fixed.append(0)
-                words.append([w.encode() for w in part_words(p)])
-        count = machine.words({w for ws in words for w in ws})
+                words.append(part_words(p))
+        count = memo.load({w for ws in words for w in ws})
         return [n + sum([count[w] for w in ws]) for n, ws in zip(fixed, words)]
 
     return Splitter(compute, special)

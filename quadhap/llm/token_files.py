@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quadhap.llm.common import cut_lineage, local_path, shared_folder
-from quadhap.llm.pieces import Splitter, part_words
+from quadhap.llm.pieces import Splitter, WordMemo, part_words
 from quadhap.llm.prefix_bpe import letters_to_bytes, special_strings
 
 BLOCK = 128
@@ -164,9 +164,11 @@ def splitter(path: str) -> Splitter:
     def word_ids(word: str) -> bytes:
         return array("I", [t.id for t in model.tokenize(word.encode().decode("latin-1").translate(letters))]).tobytes()
 
+    memo = WordMemo(lambda words: {w: word_ids(w) for w in words})
+
     def compute(parts: list[str]) -> list[bytes]:
         words = [None if any(s in p for s in special) else part_words(p) for p in parts]
-        known = {w: word_ids(w) for w in {w for ws in words if ws for w in ws}}
+        known = memo.load({w for ws in words if ws for w in ws})
         whole = lambda p: array("I", tokenizer.encode(p, add_special_tokens=False).ids).tobytes()
         return [whole(p) if ws is None else b"".join([known[w] for w in ws]) for p, ws in zip(parts, words)]
 

@@ -74,10 +74,25 @@ def test_chunk_maps_compose_in_any_grouping():
 
 def test_transducer_emissions_add_up():
     machine = token_counts.Transducer(from_json(JSON))
-    word, last, counts, total = " tokenizations".encode(), [], [], 0
+    library, state, total = Tokenizer.from_file(JSON), 0, 0
+    word = " tokenizations".encode()
     for at in range(len(word)):
-        total += machine.step(word, at, last, counts)
-        assert total == len(Tokenizer.from_file(JSON).encode(word[: at + 1].decode(), add_special_tokens=False).ids)
+        state, emitted = machine.step(state, word[at])
+        total += emitted
+        assert total == len(library.encode(word[: at + 1].decode(), add_special_tokens=False).ids)
+    assert machine.count(word) == total
+
+
+def test_transducer_states_are_shared_and_bounded():
+    library = Tokenizer.from_file(JSON)
+    rng = random.Random(9)
+    words = {" " + "".join(rng.choice("etaoinsé") for _ in range(rng.randint(1, 14))) for _ in range(2000)} | {"e" * 5000, "né" * 300}
+    want = {w: len(library.encode(w, add_special_tokens=False).ids) for w in words}
+    machine, small = token_counts.Transducer(from_json(JSON)), token_counts.Transducer(from_json(JSON), limit=50)
+    assert machine.words(words) == want == small.words(words)
+    assert len(machine.transitions) < sum(len(w.encode()) for w in words) / 2
+    stored = len(machine.transitions)
+    assert machine.words(words) == want and len(machine.transitions) == stored
 
 
 def test_appends_and_edits_are_exact():
