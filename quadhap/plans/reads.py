@@ -181,8 +181,8 @@ def sources(t: Tables) -> DataFrame:
 
 
 SOURCES = "SELECT 'S*' || lpad(regexp_extract(source, '([0-9]+)', 1), 3, '0') || ':01' AS owner, seq FROM docs"
-# Binning kept every fourth conversation.
-BINNED = "sample, rec, name, seq1, seq2 FROM pairs WHERE (rec // 1000) % 4 = 0"
+# Binning kept the pairs whose first mate is the longer one.
+BINNED = "sample, rec, name, seq1, seq2 FROM pairs WHERE length(seq1) > length(seq2)"
 
 
 def read_set_sql(pairs_cte: str, k: int, out: str) -> dict[str, str]:
@@ -206,7 +206,7 @@ FAMILY = dict(
 
 
 def kept(p: DataFrame) -> DataFrame:
-    return p.where("(rec div 1000) % 4 = 0")
+    return p.where("length(seq1) > length(seq2)")
 
 
 def family_rescue(t: Tables):
@@ -256,8 +256,8 @@ def retention_diagnosis(t: Tables) -> DataFrame:
 
 @query("locus_pair_support", with_(
     f"""SELECT g.sample, g.locus, coalesce(c.pairs, 0) AS pairs, coalesce(m.multi_pairs, 0) AS multi_pairs, g.total_pairs, {micro_sql('coalesce(c.pairs, 0) / g.total_pairs')} AS fraction_micro
-    FROM (SELECT sample, total_pairs, locus FROM tot, (VALUES ('de'), ('es'), ('fr')) v(locus)) g LEFT JOIN cnt c USING (sample, locus) LEFT JOIN multi m USING (sample)""",
-    docs=DOCS, pairs=PAIRS, fwd=kmer_rows_sql("(SELECT * FROM docs WHERE owner <> 'en')", "owner", 14),
+    FROM (SELECT sample, total_pairs, locus FROM tot, (VALUES ('de'), ('en'), ('es'), ('fr')) v(locus)) g LEFT JOIN cnt c USING (sample, locus) LEFT JOIN multi m USING (sample)""",
+    docs=DOCS, pairs=PAIRS, fwd=kmer_rows_sql("docs", "owner", 14),
     own="SELECT kmer, min(owner) AS owner FROM fwd GROUP BY kmer HAVING count(DISTINCT owner) = 1",
     idx=f"SELECT kmer, owner FROM own UNION SELECT {revcomp_sql('kmer')}, owner FROM own",
     ends="SELECT sample, rec, seq1 AS s FROM pairs UNION ALL SELECT sample, rec, seq2 FROM pairs", pk=kmer_rows_sql("ends", "sample, rec", 14, "s"),
@@ -265,8 +265,8 @@ def retention_diagnosis(t: Tables) -> DataFrame:
     cnt="SELECT sample, locus, count(*) AS pairs FROM hit GROUP BY ALL",
     multi="SELECT sample, count(*) AS multi_pairs FROM (SELECT sample, rec FROM hit GROUP BY ALL HAVING count(*) > 1) GROUP BY sample"))
 def locus_support(t: Tables) -> DataFrame:
-    index = km.unique_kmer_index(docs(t).where("owner <> 'en'"), 14, strands="forward_then_both")
-    s = locus_pair_support(pairs(t), index, 14, loci=("de", "es", "fr"))
+    index = km.unique_kmer_index(docs(t), 14, strands="forward_then_both")
+    s = locus_pair_support(pairs(t), index, 14, loci=("de", "en", "es", "fr"))
     return s.select("sample", "locus", "pairs", "multi_pairs", "total_pairs", micro("fraction").alias("fraction_micro"))
 
 
@@ -353,7 +353,7 @@ def family_overlaps(t: Tables) -> DataFrame:
     return out.select("sample", "a", "b", "reads_a", "reads_b", "overlap", "top_overlap", "near_top_overlap")
 
 
-HAPS = "SELECT *, CASE sample WHEN 'user' THEN 'en' ELSE 'fr' END AS gene FROM turns"
+HAPS = "SELECT *, CASE conv_id % 4 WHEN 0 THEN 'en' WHEN 1 THEN 'fr' WHEN 2 THEN 'de' ELSE 'es' END AS gene FROM turns"
 HAP_K = 9
 
 
@@ -365,7 +365,7 @@ HAP_K = 9
     ak0=kmer_rows_sql("docs", "owner, source", HAP_K), ak="SELECT DISTINCT owner AS gene, source, kmer FROM ak0"))
 def haplotype_scores(t: Tables) -> DataFrame:
     haps = turns(t).select(
-        "sample", F.when(F.col("sample") == "user", "en").otherwise("fr").alias("gene"), F.col("conv_id").alias("block"), F.col("turn").alias("hap"), "seq")
+        "sample", F.get(F.array(*map(F.lit, ("en", "fr", "de", "es"))), (F.col("conv_id") % 4).cast("int")).alias("gene"), F.col("conv_id").alias("block"), F.col("turn").alias("hap"), "seq")
     alleles = docs(t).select(F.col("owner").alias("gene"), F.col("source").alias("allele"), "seq")
     s = assembly.score_haplotypes(haps, alleles, HAP_K, spread=True)
     return s.select("sample", "gene", F.col("block").alias("conv_id"), F.col("hap").alias("turn"), F.col("allele").alias("source"), F.col("score").cast("bigint").alias("score"))
