@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quadhap.llm.common import cut_lineage
+from quadhap.llm.common import cut_lineage, unused
 
 DEPTH = 3
 SIMILAR = 0.6
@@ -85,13 +85,14 @@ def recurring_lines(docs: DataFrame, contexts: int = CONTEXTS, similar: float =
 def drop_recurring(docs: DataFrame, contexts: int = CONTEXTS, similar: float = SIMILAR) -> DataFrame:
     """The documents, columns kept, without the lines of recurring templates, and ``dropped_lines``: their numbers, from 0."""
     gone = recurring_lines(docs, contexts, similar).groupBy("key").agg(F.array_sort(F.collect_set("pos")).alias("gone"))
-    gone = cut_lineage(gone.withColumnRenamed("key", "gone_key"))  # stored, so the join can split a text with very many copies
+    key, cut = (unused(name, docs) for name in ("gone_key", "gone"))
+    gone = cut_lineage(gone.withColumnsRenamed({"key": key, "gone": cut}))  # stored, so the join can split a text with very many copies
     text = F.col("text").cast("string")
-    joined = docs.join(gone, text_key(text) == F.col("gone_key"), "left")
-    kept = F.array_join(F.filter(F.split(text, "\n", -1), lambda l, i: ~F.array_contains("gone", i)), "\n")
-    changed = F.when(F.col("gone").isNull(), text).otherwise(kept)
+    joined = docs.join(gone, text_key(text) == F.col(key), "left")
+    kept = F.array_join(F.filter(F.split(text, "\n", -1), lambda l, i: ~F.array_contains(cut, i)), "\n")
+    changed = F.when(F.col(cut).isNull(), text).otherwise(kept)
     none = F.array().cast("array<int>")
-    return joined.select(*(changed.alias(c) if c == "text" else docs[c] for c in docs.columns), F.coalesce("gone", none).alias("dropped_lines"))
+    return joined.select(*(changed.alias(c) if c == "text" else docs[c] for c in docs.columns if c != "dropped_lines"), F.coalesce(cut, none).alias("dropped_lines"))
 
 
 def summarise(cleaned: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 """Line templates against the SQL, and on planted boilerplate."""
 
 import duckdb
+from pyspark.sql import functions as F
 
 from quadhap.llm import templates
 
@@ -44,5 +45,14 @@ def test_defined_cases(make):
     assert templates.drop_recurring(docs.where("doc_id > 999")).count() == 0
 
 
+def test_columns_with_its_own_names(make):
+    docs = make([(20 + i, f"{filler(i)}\nThe same line\n") for i in range(11)])
+    for name in ("gone", "gone_key", "key", "Gone", "dropped_lines", "line", "pos"):
+        docs = docs.withColumn(name, F.lit(name)) if name != "Gone" else docs
+    out = templates.drop_recurring(docs)
+    assert out.columns == [*(c for c in docs.columns if c != "dropped_lines"), "dropped_lines"]
+    assert all(r["dropped_lines"] == [1] and r["gone"] == "gone" and r["gone_key"] == "gone_key" for r in out.collect())
+
+
 def test_real_rows(documents):
     agree(documents)
