@@ -16,7 +16,13 @@ def read_fasta(spark: SparkSession, path: str, prefix: str | None = None) -> Dat
     large files split across tasks and headers may hold the sign. Only a file's first record
     still carries its own.
     """
-    raw = spark.read.option("lineSep", "\n>").text(path).select(F.regexp_replace("value", "^>", "").alias("value"))
+    out = parse_fasta(spark.read.option("lineSep", "\n>").text(path))
+    return out if prefix is None else out.where(F.col("allele").startswith(prefix))
+
+
+def parse_fasta(records: DataFrame) -> DataFrame:
+    """``(header, allele, seq, len)`` of records ``(value)``, each from its header to the next record's sign."""
+    raw = records.select(F.regexp_replace("value", "^>", "").alias("value"))
     header = F.substring_index("value", "\n", 1)
     body = F.substr(F.col("value"), F.instr("value", "\n") + 1)
     tokens = F.split(F.trim(F.regexp_replace(header, r"\s+", " ")), " ")
@@ -26,8 +32,7 @@ def read_fasta(spark: SparkSession, path: str, prefix: str | None = None) -> Dat
         F.coalesce(starred, F.get(tokens, F.lit(0))).alias("allele"),
         F.upper(F.regexp_replace(body, r"[-\s]", "")).alias("seq"),
     )
-    out = out.where(F.col("header") != "").withColumn("len", F.length("seq"))
-    return out if prefix is None else out.where(F.col("allele").startswith(prefix))
+    return out.where(F.col("header") != "").withColumn("len", F.length("seq"))
 
 
 def _numbered_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -68,22 +73,34 @@ def read_fastq(spark: SparkSession, path: str) -> DataFrame:
 
 
 def zip_mates(r1: DataFrame, r2: DataFrame, keys: tuple[str, ...] = ("sample",)) -> DataFrame:
-    """Pair mates by record position, keeping the first mate's name; mismatching names are flagged, not dropped."""
+    """Pair mates by record position, keeping the first mate's name.
+
+    Nothing is dropped: ``mate_status`` is ``paired``, ``name_mismatch``, or ``no_first`` and
+    ``no_second`` for the surplus records of the longer file, and ``name_mismatch`` flags the second.
+    """
     left = r1.select(*keys, "rec", "name", F.col("seq").alias("seq1"), F.col("qual").alias("qual1"))
     right = r2.select(
         *keys, "rec", F.col("name").alias("name2"), F.col("seq").alias("seq2"), F.col("qual").alias("qual2")
     )
-    return left.join(right, [*keys, "rec"]).withColumn("name_mismatch", F.col("name") != F.col("name2"))
+    both = left.withColumn("has1", F.lit(True)).join(right.withColumn("has2", F.lit(True)), [*keys, "rec"], "full")
+    differ = F.col("has1") & F.col("has2") & (F.col("name") != F.col("name2"))
+    status = F.when(F.col("has1").isNull(), "no_first").when(F.col("has2").isNull(), "no_second").when(differ, "name_mismatch").otherwise("paired")
+    return both.withColumn("mate_status", status).withColumn("name_mismatch", F.col("mate_status") == "name_mismatch").drop("has1", "has2")
 
 
 def read_sam(spark: SparkSession, path: str) -> DataFrame:
     """Alignment rows of SAM text; ``=`` mate contigs are resolved, AS/NM become integers."""
+    return parse_sam(spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file")))
+
+
+def parse_sam(lines: DataFrame) -> DataFrame:
+    """:func:`read_sam` of lines ``(file, value)``; header lines and lines of under 11 fields are left out."""
     f = F.split("value", "\t")
 
     def tag(name: str):
         return F.regexp_extract("value", rf"\t{name}:i:(-?\d+)", 1).try_cast("int")
 
-    raw = spark.read.text(path).where(~F.col("value").startswith("@") & (F.size(f) >= 11))
+    raw = lines.where(~F.col("value").startswith("@") & (F.size(f) >= 11))
     contig = F.get(f, F.lit(2))
     mate_contig = F.get(f, F.lit(6))
     return raw.select(
@@ -97,5 +114,5 @@ def read_sam(spark: SparkSession, path: str) -> DataFrame:
         F.get(f, F.lit(9)).alias("seq"),
         tag("AS").alias("score"),
         tag("NM").alias("nm"),
-        F.col("_metadata.file_path").alias("file"),
+        "file",
     ).withColumn("mate", aln.mate("flag"))

@@ -18,8 +18,13 @@ def read_vcf(spark: SparkSession, path: str) -> DataFrame:
 
     ``gt``/``ad`` are arrays with NULL for ``.``; ``filters`` is the split FILTER column.
     """
+    return parse_vcf(spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file")))
+
+
+def parse_vcf(lines: DataFrame) -> DataFrame:
+    """:func:`read_vcf` of lines ``(file, value)``; header lines and lines without a sample are left out."""
     f = F.split("value", "\t")
-    raw = spark.read.text(path).where(~F.col("value").startswith("#") & (F.size(f) >= 10))
+    raw = lines.where(~F.col("value").startswith("#") & (F.size(f) >= 10))
     keys, vals = F.split(F.get(f, F.lit(8)), ":"), F.split(F.get(f, F.lit(9)), ":")
     n = F.least(F.size(keys), F.size(vals))
     fmt = F.map_from_arrays(F.slice(keys, F.lit(1), n), F.slice(vals, F.lit(1), n))
@@ -31,7 +36,7 @@ def read_vcf(spark: SparkSession, path: str) -> DataFrame:
         F.split(F.get(f, F.lit(6)), ";").alias("filters"),
         F.get(f, F.lit(7)).alias("info"),
         fmt.alias("fmt"),
-        F.col("_metadata.file_path").alias("file"),
+        "file",
     )
 
     def ints(text: Column) -> Column:
@@ -52,16 +57,21 @@ def read_vcf(spark: SparkSession, path: str) -> DataFrame:
 
 def read_regions(spark: SparkSession, path: str) -> DataFrame:
     """BED regions; a repeated gene name gets the tag ``gene_2``, ``gene_3`` … in file order."""
+    return parse_regions(spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), *_position()))
+
+
+def parse_regions(lines: DataFrame) -> DataFrame:
+    """:func:`read_regions` of lines ``(file, block, nth, value)``."""
     f = F.split("value", r"\s+")
     rows = (
-        spark.read.text(path)
+        lines
         .where((F.trim("value") != "") & ~F.col("value").startswith("#"))
         .select(
             F.get(f, F.lit(0)).alias("chrom"),
-            F.get(f, F.lit(1)).cast("int").alias("start"),
-            F.get(f, F.lit(2)).cast("int").alias("end"),
+            F.get(f, F.lit(1)).try_cast("int").alias("start"),
+            F.get(f, F.lit(2)).try_cast("int").alias("end"),
             F.get(f, F.lit(3)).alias("gene"),
-            F.monotonically_increasing_id().alias("ord"),
+            F.struct("file", "block", "nth").alias("ord"),
         )
     )
     nth = F.row_number().over(Window.partitionBy("gene").orderBy("ord"))
@@ -156,12 +166,20 @@ def read_chi(spark: SparkSession, pooled: str, fallback: str, sample_pattern: st
     """``(sample, chi_r)``: the GLOBAL value of the pooled log inside its closed range, else the last
     value of the fallback log inside its open range. Consumers differ in the ranges they accept."""
 
-    def values(path: str) -> DataFrame:
-        return spark.read.text(path).select(
-            path_part(sample_pattern, path="_metadata.file_path").alias("sample"),
-            F.col("value").startswith("GLOBAL").alias("is_global"),
-            F.regexp_extract("value", r"chi_R=(\S+)", 1).try_cast("double").alias("v"),
-            F.struct("_metadata.file_path", *_position()).alias("ord"),
+    def lines(path: str) -> DataFrame:
+        file = F.col("_metadata.file_path")
+        return spark.read.text(path).select(path_part(sample_pattern, path="_metadata.file_path").alias("sample"), file.alias("file"), *_position(), "value")
+
+    return parse_chi(lines(pooled), lines(fallback), pooled_range, fallback_range)
+
+
+def parse_chi(pooled: DataFrame, fallback: DataFrame, pooled_range: tuple[float, float] = (0.02, 0.49), fallback_range: tuple[float, float] = (0.0, 1.0)) -> DataFrame:
+    """:func:`read_chi` of lines ``(sample, file, block, nth, value)``; every sample of either log has a row."""
+
+    def values(lines: DataFrame) -> DataFrame:
+        return lines.select(
+            "sample", F.col("value").startswith("GLOBAL").alias("is_global"), F.regexp_extract("value", r"chi_R=(\S+)", 1).try_cast("double").alias("v"),
+            F.struct("file", "block", "nth").alias("ord"),
         )
 
     p = values(pooled)
@@ -175,10 +193,13 @@ def read_chi(spark: SparkSession, pooled: str, fallback: str, sample_pattern: st
 
 def read_rescue_manifest(spark: SparkSession, path: str, sample_pattern: str) -> DataFrame:
     """Candidate families of rescue manifests: the ``# candidate_families`` line and rows with ``candidate=1``."""
-    rows = spark.read.text(path).select(
-        path_part(sample_pattern, path="_metadata.file_path").alias("sample"), "value",
-        F.struct("_metadata.file_path", *_position()).alias("mid"),
-    ).where("value <> ''")
+    file = F.col("_metadata.file_path")
+    return parse_rescue_manifest(spark.read.text(path).select(path_part(sample_pattern, path="_metadata.file_path").alias("sample"), file.alias("file"), *_position(), "value"))
+
+
+def parse_rescue_manifest(lines: DataFrame) -> DataFrame:
+    """:func:`read_rescue_manifest` of lines ``(sample, file, block, nth, value)``."""
+    rows = lines.select("sample", "value", F.struct("file", "block", "nth").alias("mid")).where("value <> ''")
     listed = rows.where(F.col("value").rlike(r"^#\s*candidate_families\t")).select(
         "sample", F.explode(F.split(F.substring_index("value", "\t", -1), ",")).alias("family")
     )

@@ -12,7 +12,8 @@ from quadhap.plans.registry import TABLES
 FOLDER = "/root/testdata/sf0.001"
 QUICK = ("kmer_support_rank", "dedup_read_names", "assign_reads_to_genes", "two_field_modes", "chi_histogram", "reassign_genotypes", "depth", "mask_intervals",
          "em_gate", "strategy_tallies", "rare_collapse", "phase_pairs", "paired_assembly", "lift_alleles", "quartet_l1", "accepted_rescues", "rescue_family_pairs",
-         "cohort_tables", "gene_parameters", "unpaired_assembly", "lowcov_mask", "name_codecs", "slot_fractions", "quartet_af", "em_converged")
+         "cohort_tables", "gene_parameters", "unpaired_assembly", "lowcov_mask", "name_codecs", "slot_fractions", "quartet_af", "em_converged",
+         "evidence_fit", "parsed_sequences", "parsed_alignments", "parsed_sites", "parsed_regions", "parsed_mixture", "parsed_manifest", "unique_kmer_index", "rescue_manifest")
 NAMES = list(REGISTRY) if os.environ.get("QUADHAP_ALL") else QUICK
 
 

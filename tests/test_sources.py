@@ -114,3 +114,17 @@ def test_cohort_tables_with_different_columns(spark, tmp_path, small_splits):
 def test_fasta_headers_with_the_sign(spark, tmp_path):
     (tmp_path / "b.fa").write_text(">HLA:1 A*01:01 len>5 bp\nACGT\nAC>GT\n>HLA:2 B*02:01\nTT\n")
     assert {(r.allele, r.seq) for r in sequences.read_fasta(spark, str(tmp_path / "b.fa")).collect()} == {("A*01:01", "ACGTAC>GT"), ("B*02:01", "TT")}
+
+
+def test_surplus_mates_are_kept_with_a_status(spark):
+    schema = "sample string, rec bigint, name string, seq string, qual string"
+    r1 = spark.createDataFrame([("s", 0, "a", "A", "!"), ("s", 1, "b", "C", "!"), ("t", 0, "x", "G", "!")], schema)
+    r2 = spark.createDataFrame([("s", 0, "a", "T", "!"), ("s", 1, "c", "T", "!"), ("s", 2, "d", "T", "!")], schema)
+    got = {(r.sample, r.rec): (r.mate_status, r.name_mismatch, r.seq1, r.seq2) for r in sequences.zip_mates(r1, r2).collect()}
+    assert got == {("s", 0): ("paired", False, "A", "T"), ("s", 1): ("name_mismatch", True, "C", "T"), ("s", 2): ("no_first", False, None, "T"), ("t", 0): ("no_second", False, "G", None)}
+
+
+def test_regions_follow_file_order_not_split_packing(spark):
+    rows = [("a", 0, 0, "c 1 2 G"), ("a", 7, 0, "c 3 4 G"), ("b", 0, 0, "c 5 6 G"), ("b", 0, 1, "# c 0 0 G"), ("b", 0, 2, " ")]
+    df = spark.createDataFrame(rows, "file string, block bigint, nth bigint, value string").repartition(3)
+    assert {(r.start, r.tag) for r in tables.parse_regions(df).collect()} == {(1, "G"), (3, "G_2"), (5, "G_3")}
