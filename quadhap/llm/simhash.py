@@ -4,8 +4,9 @@ A fingerprint is embedded as the bit counts of its 32 two-bit segments. The Manh
 distance of two embeddings never exceeds the number of differing bits, so a range join of
 radius 4 under it loses no link. The grid of that join is laid over projections: a distance
 of 4 touches at most 4 of 7 bands of segments, so on some 3 bands the two embeddings are
-equal; cells are the 35 choices of 3 bands with their bit counts. Inside a cell, distances are
-verified on the fingerprints themselves.
+equal; cells are the 35 choices of 3 bands with their bit counts. The grid alone carries the bound: the
+Manhattan distance itself is not computed again for the pairs of a cell, because the exact
+distance of two fingerprints costs no more. Inside a cell, distances are verified on the fingerprints themselves.
 
 Copies fold into one fingerprint first. Cells with more than ``dense`` fingerprints are
 divided by a coarse grid over the bit counts of the two halves (cells of side 5, each
