@@ -12,7 +12,11 @@ from __future__ import annotations
 import functools
 import re
 import unicodedata
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from quadhap.llm.common import class_ranges
 
@@ -104,6 +108,9 @@ class WordMemo:
         return self.new
 
 
+_EDGE = frozenset(WHITE) | {""}
+
+
 class Splitter:
     """Values of the parts of texts, by memos over whole parts.
 
@@ -160,3 +167,59 @@ class Splitter:
                 for i in at:
                     values[i] = found[parts[i]]
         return out
+
+    def columns(self, texts: pa.Array, slice_bytes: int = 1 << 24) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The values (bytes) of a column of texts, slice by slice: all texts' bytes end to end, and where each text ends in them.
+
+        Arrow cuts a slice at its spaces, numbers its distinct parts and strings their values
+        together; Python meets each distinct part of a slice once. Nulls count as empty.
+        """
+        texts = pc.fill_null(texts, "")
+        size = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64)
+        begin = 0
+        while begin < len(texts):
+            stop = int(np.searchsorted(size, (size[begin - 1] if begin else 0) + slice_bytes, "right"))
+            stop = max(stop, begin + 1)
+            yield self._column(texts.slice(begin, stop - begin))
+            begin = stop
+
+    def _column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        lists = pc.split_pattern(texts, " ")
+        bounds = lists.offsets.to_numpy().astype(np.int64)
+        flat, first, n_parts = lists.flatten(), bounds[:-1], np.diff(bounds)
+        rest, heads = flat.dictionary_encode(), flat.take(pa.array(first)).dictionary_encode()
+        parts, codes = rest.dictionary.to_pylist(), rest.indices.to_numpy().astype(np.int64)
+        broken = self._broken(parts, codes, bounds)
+        codes[first] = len(parts) + heads.indices.to_numpy()
+        head_parts = heads.dictionary.to_pylist()
+        values = self._looked_up(self.spaced, [parts])[0] + [b"" if v is None else v for v in self._heads(head_parts)]
+        if len(broken):
+            whole = self._looked_up(self.plain, [self.words(texts[i].as_py()) for i in broken.tolist()])
+            codes[first[broken]] = len(values) + np.arange(len(broken))
+            values += [b"".join(v) for v in whole]
+            # of a broken text only its first part's place stays, which now stands for all of it
+            keep = np.ones(len(codes), bool)
+            keep[np.repeat(np.isin(np.arange(len(n_parts)), broken), n_parts)] = False
+            keep[first[broken]] = True
+            codes, n_parts = codes[keep], n_parts.copy()
+            n_parts[broken] = 1
+        out = pa.array(values, pa.large_binary()).take(pa.array(codes))
+        ends = np.frombuffer(out.buffers()[1], np.int64)[out.offset : out.offset + len(codes) + 1]
+        data = np.frombuffer(out.buffers()[2] or b"", np.uint8)[: ends[-1]]
+        return data, ends[np.cumsum(n_parts)]
+
+    def _heads(self, parts: list[str]) -> Iterator:
+        """Values of parts that begin a text; an empty one has none."""
+        found = iter(self._looked_up(self.plain, [[p for p in parts if p]])[0])
+        return (next(found) if p else None for p in parts)
+
+    @staticmethod
+    def _broken(parts: list[str], codes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """Numbers of the texts for which :func:`splits_at_spaces` does not hold, from their parts."""
+        begins = np.fromiter((p[:1] in _EDGE for p in parts), bool, len(parts))[codes]
+        ends = np.fromiter((p[-1:] in _EDGE for p in parts), bool, len(parts))[codes]
+        empty = np.fromiter((not p for p in parts), bool, len(parts))
+        ends[bounds[:-1]] &= ~empty[codes[bounds[:-1]]]  # nothing stands before a text
+        ends[bounds[1:] - 1] = False
+        at = np.flatnonzero(ends[:-1] & begins[1:])
+        return np.unique(np.searchsorted(bounds, at, "right") - 1)

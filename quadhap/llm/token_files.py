@@ -23,7 +23,9 @@ no file and gives an empty result; other columns are not read.
 
 from __future__ import annotations
 
+import codecs
 import functools
+import json
 import os
 import struct
 import uuid
@@ -38,6 +40,7 @@ from pyspark.sql import functions as F
 from quadhap.llm.common import cut_lineage, local_path, shared_folder
 from quadhap.llm.pieces import Splitter, WordMemo, part_words
 from quadhap.llm.prefix_bpe import letters_to_bytes, special_strings
+from quadhap.operators.ranking import running_sums
 
 BLOCK = 128
 PERCENTILE = 90
@@ -159,20 +162,46 @@ def splitter(path: str) -> Splitter:
     from tokenizers import Tokenizer
 
     tokenizer, special = Tokenizer.from_file(path), special_strings(path)
-    model, letters = tokenizer.model, {b: c for c, b in letters_to_bytes().items()}
+    model, letter_of = tokenizer.model, {b: c for c, b in letters_to_bytes().items()}
+    letters = "".join(letter_of[b] for b in range(256))
 
     def word_ids(word: str) -> bytes:
-        return array("I", [t.id for t in model.tokenize(word.encode().decode("latin-1").translate(letters))]).tobytes()
+        return array("I", [t.id for t in model.tokenize(codecs.charmap_decode(word.encode(), "strict", letters)[0])]).tobytes()
 
     memo = WordMemo(lambda words: {w: word_ids(w) for w in words})
 
     def compute(parts: list[str]) -> list[bytes]:
-        words = [None if any(s in p for s in special) else part_words(p) for p in parts]
+        together = " ".join(parts)
+        held = [s for s in special if s in together]
+        words = [None if held and any(s in p for s in held) else part_words(p) for p in parts]
         known = memo.load({w for ws in words if ws for w in ws})
         whole = lambda p: array("I", tokenizer.encode(p, add_special_tokens=False).ids).tobytes()
-        return [whole(p) if ws is None else b"".join([known[w] for w in ws]) for p, ws in zip(parts, words)]
+        return [whole(p) if ws is None else known[ws[0]] if len(ws) == 1 else b"".join([known[w] for w in ws]) for p, ws in zip(parts, words)]
 
-    return Splitter(compute, special)
+    return Splitter(compute, special, limit=1_600_000)
+
+
+@functools.cache
+def splits_by_pattern(path: str) -> bool:
+    """Whether a vocabulary file cuts texts as :mod:`pieces` does: no normaliser, bytes as letters, the pattern of the byte-level vocabularies."""
+    with open(path, encoding="utf-8") as f:
+        settings = json.load(f)
+    cut = settings.get("pre_tokenizer") or {}
+    return settings.get("normalizer") is None and cut.get("type") == "ByteLevel" and not cut.get("add_prefix_space") and cut.get("use_regex", True)
+
+
+def encoded(texts: pa.Array, path: str):
+    """Ids of a column of texts in slices of it, each as (ids end to end, number of ids per text); other vocabularies than :func:`splits_by_pattern` go through the library text by text."""
+    if splits_by_pattern(path):
+        for data, ends in splitter(path).columns(texts):
+            yield data.view("<u4"), np.diff(ends, prepend=0) // 4
+        return
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path)
+    for text in texts.to_pylist():
+        ids = np.array(tokenizer.encode(text or "", add_special_tokens=False).ids, "<u4")
+        yield ids, np.array([len(ids)], np.int64)
 
 
 #: Documents of one file are encoded into memory up to this many ids; then the next file begins.
@@ -188,17 +217,17 @@ def write_token_files(docs: DataFrame, path: str, folder: str, parts: int | None
     fs.create_dir(local_path(folder)[1], recursive=True)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     parts = parts or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
+    # the beginning of the text orders as the text does and splits an id that many rows share
+    ordered = rows.repartitionByRange(parts, "doc_id", F.substring("text", 1, 64)).sortWithinPartitions("doc_id", "text")
 
     def run(batches):
         files, base = local_path(folder)
-        held: list[tuple[list, list, list]] = []
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         size, nth = 0, 0
 
         def store():
             nonlocal held, size, nth
-            ids = np.concatenate([np.frombuffer(b"".join(h[0]), "<u4") for h in held]).astype(np.int64)
-            sizes, doc_ids = (np.concatenate([np.array(h[i], np.int64) for h in held]) for i in (1, 2))
+            ids, sizes, doc_ids = (np.concatenate([h[i] for h in held]).astype(np.int64) for i in range(3))
             name = f"{base}/{uuid.uuid4().hex}.pfr"
             with files.open_output_stream(name) as f:
                 for raw in file_bytes(ids, sizes, doc_ids):
@@ -208,32 +237,27 @@ def write_token_files(docs: DataFrame, path: str, folder: str, parts: int | None
             return row
 
         for b in batches:
-            end = struct.pack("<I", END)
-            raws, sizes, doc_ids = [], [], []
-            for doc, v in zip(b.column(0).to_pylist(), splitter(path).values(b.column(1).to_pylist())):
-                raw = b"".join(v) + end
-                raws.append(raw)
-                sizes.append(len(raw) // 4)
-                doc_ids.append(_NULL_ID if doc is None else doc)
-                size += len(raw) // 4
-                if size >= file_ids:
-                    held.append((raws, sizes, doc_ids))
-                    yield store()
-                    raws, sizes, doc_ids = [], [], []
-            if raws:
-                held.append((raws, sizes, doc_ids))
+            doc_ids, done = b.column(0).fill_null(_NULL_ID).to_numpy(), 0
+            for ids, counts in encoded(b.column(1), path):
+                ids, sizes = np.insert(ids, np.cumsum(counts), END), counts + 1
+                ends, begin, taken = np.cumsum(sizes), 0, 0
+                while begin < len(sizes):
+                    # up to the document that fills the file
+                    stop = min(int(np.searchsorted(ends, taken + file_ids - size)) + 1, len(sizes))
+                    upto = int(ends[stop - 1])
+                    held.append((ids[taken:upto], sizes[begin:stop], doc_ids[done + begin : done + stop]))
+                    size += upto - taken
+                    begin, taken = stop, upto
+                    if size >= file_ids:
+                        yield store()
+                done += len(sizes)
         if held:
             yield store()
 
     written = ordered.mapInArrow(run, "nth int, file string, n_docs bigint, n_ids bigint").select(F.spark_partition_id().alias("part"), "*")
     stored = cut_lineage(written)
-    # one row per file: small, and ordered on the driver to add up the starts
-    manifest = stored.orderBy("part", "nth").collect()
-    start, rows_ = 0, []
-    for r in manifest:
-        rows_.append((*r, start))
-        start += r["n_ids"]
-    return docs.sparkSession.createDataFrame(rows_, "part int, nth int, file string, n_docs bigint, n_ids bigint, start bigint")
+    summed = running_sums(stored, [], F.col("part"), [F.col("nth")], {"upto": F.col("n_ids")})
+    return summed.withColumn("start", F.col("upto") - F.col("n_ids")).drop("upto")
 
 
 READ = "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint"

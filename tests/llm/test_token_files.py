@@ -1,9 +1,12 @@
 """Token files: exact round trips, random access, rows against the library."""
 
+import json
+import random
 import struct
 import zlib
 
 import numpy as np
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
@@ -60,3 +63,35 @@ def test_several_files_of_a_task_and_empty(make, spark, tmp_path):
     got = sorted((tuple(r) for r in token_files.read_token_files(manifest, str(tmp_path)).collect()), key=lambda r: r[1])
     assert got == plain([tuple(r) for r in docs.select("doc_id", "text").collect()])
     assert token_files.encode_to_files(docs.where("doc_id > 99"), PATH).count() == 0
+
+
+def test_columns_equal_lists_and_the_library():
+    rng = random.Random(5)
+    bits = ["a", "é", " ", "  ", "\n", "\t", "'s", "1", "the", "...", "中", "　", "\x85", "<|endoftext|>", "\xa0", " ", " "]
+    texts = [*ODD_TEXTS, *("".join(rng.choices(bits, k=rng.randint(0, 12))) for _ in range(3000))]
+    library = Tokenizer.from_file(PATH)
+    want = [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+    for size in (1, 500, 1 << 24):
+        got = []
+        for data, ends in token_files.splitter(PATH).columns(pa.array(texts, pa.string()), size):
+            ids = data.view("<u4").tolist()
+            got += [ids[a // 4 : b // 4] for a, b in zip([0, *ends.tolist()], ends.tolist())]
+        assert got == want
+
+
+def test_other_vocabularies_go_through_the_library(tmp_path):
+    settings = json.loads(open(PATH).read())
+    settings["normalizer"] = {"type": "Lowercase"}
+    other = tmp_path / "other.json"
+    other.write_text(json.dumps(settings))
+    got = [ids.tolist() for ids, _ in token_files.encoded(pa.array(["Some TEXT", None, "x"]), str(other))]
+    assert got == [Tokenizer.from_file(str(other)).encode(t, add_special_tokens=False).ids for t in ("Some TEXT", "", "x")]
+    assert got[0] == Tokenizer.from_file(PATH).encode("some text", add_special_tokens=False).ids
+
+
+def test_an_id_of_many_rows_is_split(make, tmp_path):
+    docs = make([(1, f"{i % 7} {i}") for i in range(400)])
+    manifest = token_files.write_token_files(docs, PATH, str(tmp_path), parts=4)
+    assert len({r.part for r in manifest.collect()}) == 4
+    got = sorted((tuple(r) for r in token_files.read_token_files(manifest, str(tmp_path)).collect()), key=lambda r: r[1])
+    assert got == plain([tuple(r) for r in docs.select("doc_id", "text").collect()])
