@@ -168,7 +168,7 @@ class Splitter:
                     values[i] = found[parts[i]]
         return out
 
-    def columns(self, texts: pa.Array, slice_bytes: int = 1 << 24) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def columns(self, texts: pa.Array, slice_bytes: int = 1 << 23) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """The values (bytes) of a column of texts, slice by slice: all texts' bytes end to end, and where each text ends in them.
 
         Arrow cuts a slice at its spaces, numbers its distinct parts and strings their values
@@ -188,7 +188,7 @@ class Splitter:
         bounds = lists.offsets.to_numpy().astype(np.int64)
         flat, first, n_parts = lists.flatten(), bounds[:-1], np.diff(bounds)
         rest, heads = flat.dictionary_encode(), flat.take(pa.array(first)).dictionary_encode()
-        parts, codes = rest.dictionary.to_pylist(), rest.indices.to_numpy().astype(np.int64)
+        parts, codes = rest.dictionary.to_pylist(), rest.indices.to_numpy().copy()
         broken = self._broken(parts, codes, bounds)
         codes[first] = len(parts) + heads.indices.to_numpy()
         head_parts = heads.dictionary.to_pylist()
