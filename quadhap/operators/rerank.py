@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from quadhap.functions import dose, names
 from quadhap.operators.calls import attach_ggroup
-from quadhap.operators.quartet import DIGITS, family_fractions, quartet_residuals
+from quadhap.operators.quartet import DIGITS, TIE, family_fractions, quartet_residuals
 from quadhap.operators.ranking import top_k
 
 GROUP = ["sample", "gene"]
@@ -187,6 +187,17 @@ def _doses(g: str = "g") -> tuple[Column, Column, Column]:
     return 0.5 * (a[0] + a[1]), 0.5 * (a[2] + a[3]), a[0].isNotNull() & a[1].isNotNull() & a[2].isNotNull() & a[3].isNotNull()
 
 
+def _first_least(per: DataFrame) -> DataFrame:
+    """``(sample, gene, quartet, value, chi, n)``: of each quartet the first χ whose value is the least, equal to ``DIGITS`` digits of its size.
+
+    Where values do not depend on χ, sums in another order differ in their last digits; such values are ties.
+    """
+    each = per.groupBy(*GROUP, "quartet").agg(F.min("value").alias("_least"), F.array_sort(F.collect_list(F.struct("chi_ord", "value", "chi", "n"))).alias("_v"))
+    tie = F.col("_least") + TIE * F.greatest(F.lit(1.0), F.abs("_least"))
+    b = F.get(F.filter("_v", lambda v: v["value"] <= tie), F.lit(0))
+    return each.select(*GROUP, "quartet", b.alias("b")).select(*GROUP, "quartet", "b.value", "b.chi", "b.n")
+
+
 SCORERS = ("af_l1", "count_l1", "binom_nll", "poisson_nll")
 
 
@@ -219,7 +230,7 @@ def site_scores(quartets: DataFrame, matrix: DataFrame, chi: DataFrame, scorer:
     else:
         raise ValueError(f"unknown scorer: {scorer}")
     per = x.groupBy(*GROUP, "quartet", "chi_ord").agg(F.round(value, DIGITS).alias("value"), F.min("chi").alias("chi"), F.count("*").alias("n")).where(F.col("n") >= min_sites)
-    return per.groupBy(*GROUP, "quartet").agg(F.min_by(F.struct("value", "chi", "n"), F.struct("value", "chi_ord")).alias("b")).select(*GROUP, "quartet", "b.*")
+    return _first_least(per)
 
 
 def discriminating(g: str = "g") -> Column:
@@ -341,7 +352,7 @@ def phase_nll(quartets: DataFrame, matrix: DataFrame, chi: DataFrame, min_pairs:
         ll = ll - F.col(name) * F.log((mass + smooth) / (1.0 + 4 * smooth))
     per = x.groupBy(*GROUP, "quartet", "chi_ord").agg(F.sum(ll).alias("nll"), F.min("chi").alias("chi"), F.count("*").alias("n")).where(F.col("n") >= min_pairs)
     per = per.join(total, GROUP).withColumn("value", F.round(F.col("nll") / F.col("total"), DIGITS))
-    return per.groupBy(*GROUP, "quartet").agg(F.min_by(F.struct("value", "chi", "n"), F.struct("value", "chi_ord")).alias("b")).select(*GROUP, "quartet", "b.*")
+    return _first_least(per)
 
 
 def phase_plus_binom(quartets: DataFrame, matrix: DataFrame, phase: DataFrame, binom_at_phase_chi: DataFrame) -> DataFrame:

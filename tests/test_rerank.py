@@ -130,3 +130,14 @@ def test_reference_choice_and_direct_gate(spark):
                               "sample string, gene string, quartet array<string>, current array<string>, gap double")
     assert [x.gene for x in gates.direct_overrides(d).collect()] == ["g"]
     assert calls.FINAL_COLUMNS.__len__() == 42
+
+
+def test_equal_scores_take_the_first_chi(spark):
+    # af one side above and one below every expectation: the sum is the same for each chi but for rounding
+    w = 1e9 / 7
+    m = spark.createDataFrame([("s", "g", i, af, w, {"a": 1, "b": 1, "c": 0, "d": 0}) for i, af in enumerate((56 / 101, 8 / 101))], "sample string, gene string, site int, af double, w double, g map<string,int>")
+    q = spark.createDataFrame([("s", "g", ["a", "b", "c", "d"])], Q)
+    grid = spark.createDataFrame([("s", "g", [0.1, 0.1 + 0.05])], "sample string, gene string, grid array<double>")
+    chi = spark.createDataFrame([("s", 0.1)], "sample string, chi_r double")
+    r = rerank.site_scores(q, m, chi, "count_l1", chi_grid=grid, min_sites=2).first()
+    assert (r.chi, r.n) == (0.1, 2) and r.value == pytest.approx(48 / 101 * w)
