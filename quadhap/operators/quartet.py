@@ -8,6 +8,8 @@ from __future__ import annotations
 import math
 from itertools import combinations_with_replacement, product
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -169,8 +171,8 @@ def family_logweights(alignments: DataFrame, temperature: float = 2.0, family_ag
     raise ValueError(f"unknown family_agg: {family_agg}")
 
 
-def likelihood_classes(read_families: DataFrame, pool: DataFrame, log_floor: float = -25.0) -> DataFrame:
-    """``(sample, gene, sig, e array<double>, n)`` per class of equal reads: the candidates it supports with their log weights, the likelihood of every candidate, the reads.
+def likelihood_classes(read_families: DataFrame, pool: DataFrame) -> DataFrame:
+    """``(sample, gene, sig, n_pool, n)`` per class of equal reads: the candidates it supports with their log weights, the candidates of the group, the reads.
 
     Reads that support no candidate form one class at the floor.
     """
@@ -178,13 +180,7 @@ def likelihood_classes(read_families: DataFrame, pool: DataFrame, log_floor: flo
     hits = read_families.join(pool.select(*GROUP, "family", "ord"), [*GROUP, "family"], "left")
     entry = F.when(F.col("ord").isNotNull(), F.struct("ord", "logw"))
     sig = hits.groupBy(*GROUP, "read").agg(F.array_sort(F.collect_list(entry)).alias("sig"))
-    classes = sig.groupBy(*GROUP, "sig").agg(F.count("*").alias("n")).join(n, GROUP)
-
-    def value(i: Column) -> Column:
-        hit = F.get(F.filter("sig", lambda s: s.ord == i), F.lit(0))
-        return F.exp(F.coalesce(hit.logw, F.lit(float(log_floor))))
-
-    return classes.select(*GROUP, "sig", F.transform(F.sequence(F.lit(0), F.col("n_pool") - 1), value).alias("e"), "n")
+    return sig.groupBy(*GROUP, "sig").agg(F.count("*").alias("n")).join(n, GROUP).select(*GROUP, "sig", "n_pool", "n")
 
 
 ABSENT, NO_RECIPIENT = -1, -2
@@ -192,6 +188,12 @@ ABSENT, NO_RECIPIENT = -1, -2
 FIRST_ROUND, TRIED = 24, 3
 
 
+def _supported_pairs(ends: Column) -> Column:
+    """Pairs ``k, m`` of the listed candidates, of which the first stands for an absent one; ``k`` is absent only where ``m`` is."""
+    pairs = F.flatten(F.transform(ends, lambda a: F.transform(ends, lambda b: F.struct(a.alias("k"), b.alias("m")))))
+    return F.filter(pairs, lambda p: (p["m"]["o"] == ABSENT) | ((p["k"]["o"] != ABSENT) & (p["k"]["o"] <= p["m"]["o"])))
+
+
 def likelihood_terms(classes: DataFrame, chis: DataFrame, log_floor: float = -25.0) -> DataFrame:
     """``(sample, gene, chi_ord, k, m, i, term)``: log likelihoods folded over all reads, to be added up by :func:`three_slots`.
 
@@ -205,9 +207,7 @@ def likelihood_terms(classes: DataFrame, chis: DataFrame, log_floor: float = -25
     c = classes.join(chis, GROUP).withColumn("s", F.transform("sig", lambda s: F.struct(s["ord"].cast("int").alias("o"), F.exp(s["logw"]).alias("e"))))
     none = F.struct(F.lit(ABSENT).alias("o"), F.lit(None).cast("double").alias("e"))
     ends = F.concat(F.array(none), F.col("s"))
-    donors = F.flatten(F.transform(ends, lambda a: F.transform(ends, lambda b: F.struct(a.alias("k"), b.alias("m")))))
-    # k comes first, and is absent only where m is
-    donors = F.filter(donors, lambda p: (p["m"]["o"] == ABSENT) | ((p["k"]["o"] != ABSENT) & (p["k"]["o"] <= p["m"]["o"])))
+    donors = _supported_pairs(ends)
     recipients = F.concat(F.array(F.struct(F.lit(NO_RECIPIENT).alias("o"), F.lit(0.0).alias("e")), F.struct(F.lit(ABSENT).alias("o"), F.lit(None).cast("double").alias("e"))), F.col("s"))
     rows = c.select(*GROUP, "n", "chi_ord", "chi", F.explode(donors).alias("d"), recipients.alias("rs")).select("*", F.explode("rs").alias("r"))
     x, y = F.coalesce("d.k.e", floor), F.coalesce("d.m.e", floor)
@@ -244,14 +244,121 @@ def three_slots(terms: DataFrame, pool: DataFrame) -> DataFrame:
     return per.join(sizes, GROUP).select(*GROUP, "chi_ord", "k", "m", "base", F.sort_array(gains, False).alias("gains"))
 
 
-def quartet_nll(classes: DataFrame, quartets: DataFrame) -> DataFrame:
+#: Terms of quartets that a task holds, and likelihoods it computes at once.
+HELD_TERMS, AT_ONCE = 1 << 21, 1 << 21
+
+
+def _class_terms(o: np.ndarray, e: np.ndarray, n: np.ndarray, chi: np.ndarray, floor: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``first, second, term`` of classes with equally many candidates, given as rows of ``o`` (sorted) and ``e``: the members of each
+    pair, as columns, and of each class what every pair of recipients and of donors adds beyond its parts, times ``n``."""
+    s = o.shape[1]
+    a, b = np.triu_indices(s)
+    # no candidate, each single one, each two; column 0 stands for the absent one
+    first, second = np.concatenate([[0], np.arange(s) + 1, a + 1]), np.concatenate([np.zeros(s + 1, np.int64), b + 1])
+    e = np.concatenate([np.full((len(o), 1), floor), e], axis=1)
+    z = e[:, first] + e[:, second]
+    t = np.log((chi / 2)[:, None, None] * z[:, :, None] + ((1.0 - chi) / 2)[:, None, None] * z[:, None, :])
+    for _ in range(2):  # recipients, then donors
+        t[:, s + 1 :] += t[:, :1] - t[:, 1 + a] - t[:, 1 + b]
+        t[:, 1 : s + 1] -= t[:, :1]
+        t = t.transpose(0, 2, 1)
+    o = np.concatenate([np.full((len(o), 1), ABSENT), o], axis=1)
+    return o[:, first], o[:, second], t * n[:, None, None]
+
+
+def quartet_terms(classes: DataFrame, chis: DataFrame, log_floor: float = -25.0) -> DataFrame:
+    """``(sample, gene, chi_ord, i, j, k, m, term)``: log likelihoods of whole quartets folded over all reads, to be added up by :func:`folded_nll`.
+
+    As in :func:`likelihood_terms` a class gives terms for its own candidates only: what each
+    pair of recipients and pair of donors among them adds beyond its parts, ``ABSENT`` for none.
+    Terms alike are added up inside a task before they travel.
+    """
+    floor = math.exp(log_floor)
+    rows = classes.join(chis, GROUP).select(*GROUP, "chi_ord", "chi", F.transform("sig", lambda s: s["ord"].cast("int")).alias("o"), F.transform("sig", lambda s: F.exp(s["logw"])).alias("e"), F.col("n").cast("double").alias("n"), F.col("n_pool").cast("long").alias("n_pool"))
+    schema = pa.schema([(c, pa.string()) for c in GROUP] + [(c, pa.int32()) for c in ("chi_ord", *"ijkm")] + [("term", pa.float64())])
+
+    def run(batches):
+        groups: dict[tuple, int] = {}
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
+
+        def folded():
+            keys, values = (np.concatenate([h[i] for h in held], axis=-1) for i in (0, 1))
+            order = np.lexsort(keys)
+            keys, values = keys[:, order], values[order]
+            at = np.flatnonzero(np.append(True, (keys[:, 1:] != keys[:, :-1]).any(axis=0)))
+            return keys[:, at], np.add.reduceat(values, at)
+
+        def out():
+            keys, values = folded()
+            listed = list(groups)
+            columns = [pa.array([g[c] for g in listed], pa.string()).take(pa.array(keys[0])) for c in range(2)]
+            pairs = [x - 1 for p in (1, 2) for x in (keys[p] >> 31, keys[p] & 0x7FFFFFFF)]
+            of = np.array([g[2] for g in listed])[keys[0]]
+            return pa.RecordBatch.from_arrays([*columns, *[pa.array(c.astype(np.int32)) for c in (of, *pairs)], pa.array(values)], schema=schema)
+
+        for batch in batches:
+            col = dict(zip(batch.schema.names, batch.columns))
+            group = np.array([groups.setdefault(g, len(groups)) for g in zip(*(col[c].to_pylist() for c in (*GROUP, "chi_ord")))], np.int64)
+            lists, chi, n = col["o"], col["chi"].to_numpy(), col["n"].to_numpy()
+            sizes = np.diff(lists.offsets.to_numpy())
+            begin = np.cumsum(sizes) - sizes
+            o, e = lists.flatten().to_numpy().astype(np.int64), col["e"].flatten().to_numpy()
+            for s in np.unique(sizes).tolist():
+                rows = np.flatnonzero(sizes == s)
+                step = max(1, AT_ONCE // ((s + 1) * (s + 2) // 2) ** 2)
+                for first in range(0, len(rows), step):
+                    some = rows[first : first + step]
+                    at = begin[some][:, None] + np.arange(s)
+                    k, m, term = _class_terms(o[at], e[at], n[some], chi[some], floor)
+                    pair = (k + 1) << 31 | (m + 1)
+                    keys = np.stack([x.ravel() for x in np.broadcast_arrays(group[some][:, None, None], pair[:, :, None], pair[:, None, :])])
+                    held.append((keys, term.ravel()))
+                    size += term.size
+                    if size >= HELD_TERMS:
+                        held[:] = [folded()]
+                        size = len(held[0][1])
+                        if size >= HELD_TERMS // 2:
+                            yield out()
+                            held.clear()
+                            size = 0
+        if held:
+            yield out()
+
+    made = rows.mapInArrow(run, "sample string, gene string, chi_ord int, i int, j int, k int, m int, term double")
+    return made.groupBy(*GROUP, "chi_ord", *"ijkm").agg(F.sum("term").alias("term"))
+
+
+def folded_nll(terms: DataFrame, quartets: DataFrame) -> DataFrame:
+    """``nll`` of listed quartets ``(sample, gene, i, j, k, m, chi_ord, chi)`` from :func:`quartet_terms`, but for the rounding of their sums: recipient pairs first, then donor pairs."""
+    key = [*GROUP, "chi_ord"]
+
+    def parts(a: str, b: str) -> Column:
+        absent = F.lit(ABSENT)
+        pairs = ((absent, absent), (F.col(a), absent), (F.col(b), absent), (F.col(a), F.col(b)))
+        return F.explode(F.array(*[F.struct(p.alias("a"), q.alias("b")) for p, q in pairs])).alias("p")
+
+    held = terms.groupBy(*key, F.col("i").alias("pi"), F.col("j").alias("pj")).agg(F.collect_list(F.struct(F.col("k").alias("pk"), F.col("m").alias("pm"), "term")).alias("t"))
+    pairs = quartets.select(*key, "i", "j").distinct().select("*", parts("i", "j")).select(*key, "i", "j", F.col("p.a").alias("pi"), F.col("p.b").alias("pj"))
+    found = pairs.join(held, [*key, "pi", "pj"]).select(*key, "i", "j", F.explode("t").alias("t"))
+    summed = found.groupBy(*key, "i", "j", "t.pk", "t.pm").agg(F.sum("t.term").alias("term"))
+    listed = quartets.select("*", parts("k", "m")).select(*key, "chi", *"ijkm", F.col("p.a").alias("pk"), F.col("p.b").alias("pm"))
+    return listed.join(summed, [*key, "i", "j", "pk", "pm"]).groupBy(*key, "chi", *"ijkm").agg(F.sum(-F.col("term")).alias("nll"))
+
+
+def quartet_nll(classes: DataFrame, quartets: DataFrame, log_floor: float = -25.0) -> DataFrame:
     """``nll`` of listed quartets ``(sample, gene, i, j, k, m, chi_ord, chi)``, exact, and the reads.
 
     The quartets of a group are one short row that meets each of its classes and is spelled out
     there; sums combine map-side to one row per quartet and task.
     """
+    def value(i: Column) -> Column:
+        hit = F.get(F.filter("sig", lambda s: s.ord == i), F.lit(0))
+        return F.exp(F.coalesce(hit.logw, F.lit(float(log_floor))))
+
+    likelihoods = F.transform(F.sequence(F.lit(0), F.col("n_pool") - 1), value).alias("e")
     listed = quartets.groupBy(*GROUP).agg(F.collect_list(F.struct("i", "j", "k", "m", "chi_ord", "chi")).alias("q"))
-    x = classes.select(*GROUP, "e", "n").join(listed, GROUP).select(*GROUP, "e", "n", F.explode("q").alias("q"))
+    x = classes.select(*GROUP, likelihoods, "n").join(listed, GROUP).select(*GROUP, "e", "n", F.explode("q").alias("q"))
     e = lambda slot: F.get("e", F.col(f"q.{slot}"))
     like = F.log(F.col("q.chi") / 2 * (e("i") + e("j")) + (1.0 - F.col("q.chi")) / 2 * (e("k") + e("m")))
     return x.groupBy(*GROUP, *[F.col(f"q.{c}").alias(c) for c in ("i", "j", "k", "m", "chi_ord", "chi")]).agg(F.sum(-F.col("n") * like).alias("nll"), F.sum("n").alias("n_reads"))
@@ -269,12 +376,14 @@ def fit_quartet_likelihood(read_families: DataFrame, families: DataFrame, chi: D
     most what each alone adds to a donor pair; that bounds every quartet from tables of donor
     pairs and single candidates, which are folded over the reads once. The most promising
     quartets get their exact value first; then only those whose bound reaches the second best of
-    them. The result is that of the full enumeration.
+    them. Where these are many, as they are once a group has many reads, the reads are folded into
+    what pairs of pairs of candidates add, which values any number of quartets, and only those that
+    may be among the first two meet the reads. The result is that of the full enumeration.
     """
     pool = candidate_pool(families, top_n, min_frac, forced, restrict)
     big_enough = pool.groupBy(*GROUP).agg(F.count("*").alias("c")).where("c >= 2").select(*GROUP)
     pool = cut_lineage(pool.join(big_enough, GROUP, "left_semi"))
-    classes = cut_lineage(likelihood_classes(read_families.join(big_enough, GROUP, "left_semi"), pool, log_floor))
+    classes = cut_lineage(likelihood_classes(read_families.join(big_enough, GROUP, "left_semi"), pool))
     reads = classes.groupBy(*GROUP).agg(F.sum("n").alias("reads")).join(chi.select("sample", "chi_r"), "sample")
     chis = reads.select(*GROUP, F.posexplode(chi_values(F.col("chi_r"), chi_grid)).alias("chi_ord", "chi"))
     charge = chi_prior * F.col("reads") * F.abs(F.col("chi") - F.col("chi_r"))
@@ -292,18 +401,37 @@ def fit_quartet_likelihood(read_families: DataFrame, families: DataFrame, chi: D
     members = pool.groupBy(*GROUP).agg(F.array_sort(F.collect_list(F.struct("ord", "family", "fraction"))).alias("c"))
     q = F.array(*[F.get("c", F.col(x))["family"] for x in "ijkm"])
 
-    def exact(quartets: DataFrame) -> DataFrame:
-        scored = quartet_nll(classes, quartets).join(members, GROUP).join(reads.drop("reads"), GROUP)
+    def priced(scored: DataFrame) -> DataFrame:
+        scored = scored.join(members, GROUP).join(reads.select(*GROUP, "chi_r"), GROUP)
         nll = F.col("nll") + chi_prior * F.col("n_reads") * F.abs(F.col("chi") - F.col("chi_r"))
         if dose_prior > 0:
             nll = nll + dose_prior * F.col("n_reads") * dose.quartet_residual(q, dose.fraction_lookup(F.col("c")), 1.0, F.col("chi"))
         return scored.select(*GROUP, q.alias("quartet"), "chi", "n_reads", F.round(nll, 9).alias("nll"), F.struct("i", "j", "k", "m", "chi_ord").alias("ord"))
 
+    def exact(quartets: DataFrame) -> DataFrame:
+        return priced(quartet_nll(classes, quartets, log_floor))
+
+    def reach_of(values: DataFrame) -> DataFrame:
+        """What a value must not exceed to be among the first two."""
+        two = top_k(values, GROUP, [F.asc("nll"), F.asc("ord")], 2).groupBy(*GROUP).agg(F.max("nll").alias("second"), F.count("*").alias("n"))
+        return cut_lineage(two.select(*GROUP, F.when(F.col("n") > 1, F.col("second") + TIE_NLL[0] + TIE_NLL[1] * F.abs("second")).otherwise(F.lit(float("inf"))).alias("reach")))
+
     tried = top_k(bounded(slots, F.slice("gains", 1, TRIED)), GROUP, [F.asc("bound"), *[F.asc(c) for c in ("i", "j", "k", "m", "chi_ord")]], FIRST_ROUND)
-    two = top_k(exact(tried), GROUP, [F.asc("nll"), F.asc("ord")], 2).groupBy(*GROUP).agg(F.max("nll").alias("second"), F.count("*").alias("n"))
-    reach = cut_lineage(two.select(*GROUP, F.when(F.col("n") > 1, F.col("second") + TIE_NLL[0] + TIE_NLL[1] * F.abs("second")).otherwise(F.lit(float("inf"))).alias("reach")))
+    reach = reach_of(exact(tried))
     left = bounded(slots.join(reach, GROUP).where("least <= reach"), F.col("gains")).join(reach, GROUP).where("bound <= reach")
-    two = top_k(exact(left), GROUP, [F.asc("nll"), F.asc("ord")], 2)
+    left = cut_lineage(left.select(*GROUP, *"ijkm", "chi_ord", "chi"))
+    # a class meets every quartet that is left, or the pairs of pairs of its own candidates
+    s = F.size("sig")
+    folds = classes.groupBy(*GROUP).agg(F.count("*").alias("n_classes"), F.sum(F.pow((s + 1) * (s + 2) / 2, F.lit(2.0))).alias("folded"))
+    grid = chis.groupBy(*GROUP).agg(F.count("*").alias("n_chi"))
+    many = left.groupBy(*GROUP).agg(F.count("*").alias("n_left")).join(folds, GROUP).join(grid, GROUP).where("n_classes * n_left > folded * n_chi").select(*GROUP)
+    many = cut_lineage(many)
+    terms = quartet_terms(classes.join(many, GROUP, "left_semi"), chis, log_floor)
+    values = folded_nll(terms, left.join(many, GROUP, "left_semi")).join(reads.select(*GROUP, F.col("reads").alias("n_reads")), GROUP)
+    values = cut_lineage(priced(values))
+    near = values.join(reach_of(values), GROUP).where("nll <= reach").select(*GROUP, "ord.*", "chi")
+    listed = near.unionByName(left.join(many, GROUP, "left_anti"))
+    two = top_k(exact(listed), GROUP, [F.asc("nll"), F.asc("ord")], 2)
     first = lambda c: F.max(F.when(F.col("rank") == 1, F.col(c)))
     return two.groupBy(*GROUP).agg(
         F.min_by("quartet", "rank").alias("quartet"), first("nll").alias("nll"), (F.max("nll") - F.min("nll")).alias("gap"),

@@ -5,6 +5,7 @@ import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from quadhap.operators import quartet
 
@@ -205,3 +206,32 @@ def test_equal_scores_fall_to_the_first_quartet(spark):
             tried = [chis[r.sample]] if grid is None else [grid[0] + k * grid[2] for k in range(4)]
             score, want = in_order(counts[r.sample], tried, chis[r.sample], prior)
             assert r.score == pytest.approx(score, abs=1e-11) and r.quartet == want, (r.sample, counts[r.sample], chis[r.sample])
+
+
+def test_many_reads_do_not_meet_every_quartet_left(spark, monkeypatch):
+    """Reads spread evenly leave nearly every quartet within its bound; their values come from folded terms and only a few quartets meet the reads."""
+    rng = random.Random(5)
+    names = [f"f{i}" for i in range(6)]
+    rows = [("s", "g", f"r{i}", f, rng.choice([0.0, -0.5, -2.0])) for i in range(3000) for f in rng.sample(names, rng.randint(1, 2))]
+    df = spark.createDataFrame(rows, "sample string, gene string, read string, family string, logw double")
+    fam = df.groupBy("sample", "gene", "family").count().withColumnRenamed("count", "weight").withColumn("weight", F.col("weight").cast("double"))
+    chi = spark.createDataFrame([("s", 0.2)], "sample string, chi_r double")
+    exact, met, kept = quartet.quartet_nll, [], []
+
+    def counted(classes, quartets, *floor):
+        met.append(quartets.count())
+        kept.append(classes)
+        return exact(classes, quartets, *floor)
+
+    monkeypatch.setattr(quartet, "quartet_nll", counted)
+    monkeypatch.setattr(quartet, "FIRST_ROUND", 4)
+    got = quartet.fit_quartet_likelihood(df, fam, chi).first()
+    assert met[0] == 4 and met[1] <= 4
+    listed = [(i, j, k, m) for i, j in itertools.combinations_with_replacement(range(6), 2) for k, m in itertools.combinations_with_replacement(range(6), 2)]
+    every = spark.createDataFrame([("s", "g", *x, 0, 0.2) for x in listed], "sample string, gene string, i int, j int, k int, m int, chi_ord int, chi double")
+    chis = spark.createDataFrame([("s", "g", 0, 0.2)], "sample string, gene string, chi_ord int, chi double")
+    want = {(r.i, r.j, r.k, r.m): r.nll for r in exact(kept[0], every).collect()}
+    folded = {(r.i, r.j, r.k, r.m): r.nll for r in quartet.folded_nll(quartet.quartet_terms(kept[0], chis), every).collect()}
+    assert folded == pytest.approx(want, rel=1e-10) and len(want) == 441
+    best = sorted(want.values())
+    assert got.nll == pytest.approx(best[0]) and got.gap == pytest.approx(best[1] - best[0], abs=1e-5)
