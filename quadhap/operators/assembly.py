@@ -11,6 +11,7 @@ from quadhap.operators.sites import R_SPLITS
 from quadhap.session import cut_lineage
 
 GROUP = ["sample", "gene"]
+OWNERS = 62  # bits of owners in one number
 SPLITS = [(s, tuple(h for h in range(4) if h not in s)) for s in R_SPLITS]
 
 
@@ -18,22 +19,32 @@ def score_haplotypes(haps: DataFrame, alleles: DataFrame, k: int = 31, match: fl
     """k-mer containment score ``match·found − miss·missing`` of every haplotype against every allele of its gene.
 
     ``haps``: ``(sample, gene, block, hap, seq)``; ``alleles``: ``(gene, allele, seq)``.
-    This ranks alleles; it does not reproduce base-level alignment scores. k-mers
-    carried by all alleles of a gene add the same to each and are counted, not joined.
-    The joins are stated as merge joins because exploded k-mers are larger than Spark assumes.
+    This ranks alleles; it does not reproduce base-level alignment scores. The owners of a k-mer
+    are bits, so a haplotype's k-mer meets one row however many alleles have it, and k-mers
+    of equal owners count together. The join is stated as a merge join because k-mers are
+    larger than Spark assumes of the sequences.
     """
     keys = ["sample", "gene", "block", "hap"]
-    hk = km.explode_kmers(haps, "seq", k, keys, spread).distinct()
-    ak = km.explode_kmers(alleles, "seq", k, ["gene", "allele"], spread).distinct()
-    n_alleles = alleles.groupBy("gene").agg(F.count_distinct("allele").alias("n_alleles"))
-    owners = ak.groupBy("gene", "kmer").agg(F.count("*").alias("owners")).join(n_alleles, "gene")
-    tagged = hk.join(owners.hint("merge"), ["gene", "kmer"], "left").withColumn("everywhere", F.col("owners") == F.col("n_alleles"))
-    base = tagged.groupBy(*keys).agg(F.count("*").alias("total"), F.count_if("everywhere").alias("shared"))
-    rare = tagged.where("owners is not null and not everywhere").select(*keys, "kmer")
-    found = rare.join(ak.hint("merge"), ["gene", "kmer"]).groupBy(*keys, "allele").agg(F.count("*").alias("found"))
-    every = base.join(alleles.select("gene", "allele").distinct(), "gene").join(found, [*keys, "allele"], "left")
-    hits = F.col("shared") + F.coalesce("found", F.lit(0))
-    return every.select(*keys, "allele", (hits * match - (F.col("total") - hits) * miss).alias("score"))
+    names = alleles.select("gene", "allele").distinct()
+    numbered = names.withColumn("number", F.row_number().over(Window.partitionBy("gene").orderBy("allele")) - 1)
+    ak = km.counted_kmers(alleles.join(F.broadcast(numbered), ["gene", "allele"]), "seq", k, ["gene", "number"], spread)
+    word, bit = F.floor(F.col("number") / OWNERS).cast("int"), F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("number") % OWNERS)
+    # a k-mer without owners among the first has a row for these too, so that each has one row of word 0
+    placed = F.when(F.col("number") < OWNERS, F.array(F.struct(F.lit(0).alias("word"), bit.alias("bits")))).otherwise(
+        F.array(F.struct(F.lit(0).alias("word"), F.lit(0).cast("bigint").alias("bits")), F.struct(word.alias("word"), bit.alias("bits"))))
+    owners = ak.select("gene", "kmer", F.explode(placed).alias("o")).groupBy("gene", "kmer", "o.word").agg(F.bit_or("o.bits").alias("bits"))
+    hk = km.counted_kmers(haps, "seq", k, keys, spread).select(*keys, "kmer").distinct()
+    met = hk.join(owners.hint("merge"), ["gene", "kmer"], "left").select(*keys, "word", "bits").repartition(*keys)
+    folded = met.groupBy(*keys, "word", "bits").agg(F.count("*").alias("n"))
+    held = F.filter(F.sequence(F.lit(0), F.length(F.bin("bits")) - 1), lambda i: F.call_function("shiftright", F.col("bits"), i.cast("int")).bitwiseAND(F.lit(1)) == 1)
+    found = F.coalesce(F.transform(held, lambda i: (i + F.col("word") * OWNERS).cast("int")), F.array().cast("array<int>"))
+    every = F.when(F.coalesce("word", F.lit(0)) == 0, F.array(F.lit(-1))).otherwise(F.array().cast("array<int>"))
+    each = folded.select(*keys, "n", F.explode(F.concat(every, found)).alias("number")).groupBy(*keys, "number").agg(F.sum("n").alias("n"))
+    per = each.groupBy(*keys).agg(
+        F.max(F.when(F.col("number") == -1, F.col("n"))).alias("total"),
+        F.map_from_entries(F.collect_list(F.when(F.col("number") >= 0, F.struct("number", "n")))).alias("found"))
+    hits = F.coalesce(F.element_at("found", F.col("number")), F.lit(0))
+    return per.join(numbered, "gene").select(*keys, "allele", (hits * match - (F.col("total") - hits) * miss).alias("score"))
 
 
 def adjust_baseline(scores: DataFrame, baseline: DataFrame, mode: str = "off", weight: float = 1.0) -> DataFrame:

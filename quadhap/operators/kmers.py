@@ -31,6 +31,16 @@ def explode_kmers(df: DataFrame, seq: str, k: int, keep: list[str], spread: bool
     return each.select(*keep, packed.kmer_at(F.col("_words"), F.col("_at"), k).alias("kmer"))
 
 
+def counted_kmers(df: DataFrame, seq: str, k: int, keep: list[str], spread: bool = False) -> DataFrame:
+    """``(*keep, kmer, n)``: occurrences of every k-mer, in parts that the caller adds up; equal ones are folded where they are read.
+
+    Up to 31 bases, a numpy kernel makes and folds them in the task that has the sequence, so ``spread`` counts only beyond.
+    """
+    if k > packed.WORD:
+        return explode_kmers(df, seq, k, keep, spread).groupBy(*keep, "kmer").agg(F.count("*").alias("n"))
+    return packed.counted_kmers(df, seq, k, keep)
+
+
 def unique_kmer_index(seqs: DataFrame, k: int, owner: str = "owner", seq: str = "seq", scope: tuple[str, ...] = (),
                       strands: str = "both", within: DataFrame | None = None) -> DataFrame:
     """``(*scope, kmer, owner)`` of k-mers that belong to exactly one owner inside the scope.

@@ -93,7 +93,7 @@ def spell(kmer: Column | str, k: int) -> Column:
     return letters[0] if len(letters) == 1 else F.concat(*letters)
 
 
-# ------------------------------------------------------------------ super-k-mers
+# ------------------------------------------------------------------ k-mers in tasks
 
 _CODE = np.full(256, 4, np.uint8)
 for _i, _c in enumerate(b"ACGT"):
@@ -124,6 +124,111 @@ def _behind(a, b, n, _):
     return a | b << np.uint64(2 * n)
 
 
+#: k-mers a task holds before it folds equal ones, and folded ones it holds before it hands them on.
+OPEN_KMERS, FOLDED_KMERS = 1 << 21, 3 << 20
+
+
+def _fold_counts(key: np.ndarray, kmer: np.ndarray, n: np.ndarray | None, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (key, k-mer), sorted, and how often each occurs (``n``: how often each row counts)."""
+    one = not len(key) or int(key.max()) >> max(0, 63 - 2 * k) == 0
+    if one:
+        both = key << (2 * k) | kmer
+        if n is None:
+            both = np.sort(both)
+        else:
+            order = np.argsort(both)
+            both, n = both[order], n[order]
+        at = np.flatnonzero(np.append(True, both[1:] != both[:-1])) if len(both) else np.zeros(0, np.int64)
+        key, kmer = both[at] >> (2 * k), both[at] & ((1 << 2 * k) - 1)
+    else:
+        order = np.lexsort((kmer, key))
+        key, kmer = key[order], kmer[order]
+        n = n if n is None else n[order]
+        at = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (kmer[1:] != kmer[:-1])))
+        size, key, kmer = len(key), key[at], kmer[at]
+    if n is not None:
+        return key, kmer, np.add.reduceat(n, at) if len(at) else n
+    return key, kmer, np.diff(np.append(at, len(both) if one else size))
+
+
+def counted_kmers(df: DataFrame, seq: str, k: int, keep: list[str]) -> DataFrame:
+    """``(*keep, kmer, n)``: the k-mers (up to 31 bases) of the sequences with equal ``keep``, folded inside a task: a k-mer that several tasks have, or that one hands on in parts, has several rows."""
+    src = df.select(*keep, F.col(seq).alias("seq"))
+    declared = dict(src.dtypes)
+
+    def run(batches):
+        keys: dict[tuple, int] = {}
+        kinds: list[pa.DataType] = []
+        raw: list[tuple[np.ndarray, np.ndarray]] = []
+        chunks: list[tuple[np.ndarray, ...]] = []
+        n_raw = n_folded = 0
+
+        def fold():
+            nonlocal raw, n_raw, n_folded
+            if raw:
+                chunks.append(_fold_counts(*(np.concatenate([r[i] for r in raw]) for i in (0, 1)), None, k))
+                n_folded += len(chunks[-1][0])
+                raw, n_raw = [], 0
+
+        def merge():
+            if len(chunks) > 1:
+                chunks[:] = [_fold_counts(*(np.concatenate([c[i] for c in chunks]) for i in range(3)), k)]
+
+        def out():
+            listed = list(keys)
+            key, kmer, n = chunks.pop()
+            for at in range(0, len(key), 1 << 16):
+                some = pa.array(key[at : at + (1 << 16)])
+                cols = [pa.array([v[i] for v in listed], kinds[i]).take(some) for i in range(len(keep))]
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(kmer[at : at + (1 << 16)]), pa.array(n[at : at + (1 << 16)])], [*keep, "kmer", "n"])
+
+        def add(parts):
+            nonlocal n_raw
+            codes = _CODE[np.frombuffer(b"-".join(p for _, p in parts), np.uint8)]
+            if len(codes) < k:
+                return
+            bad = np.concatenate([[0], np.cumsum(codes > 3)])
+            at = np.flatnonzero(bad[k:] == bad[:-k])
+            of = np.searchsorted(np.cumsum([0, *(len(p) + 1 for _, p in parts[:-1])]), at, "right") - 1
+            kmers = _grown((codes & 3).astype(np.uint64), k, _ahead)[at].view(np.int64)
+            raw.append((np.array([i for i, _ in parts], np.int64)[of], kmers))
+            n_raw += len(at)
+
+        parts, bases = [], 0
+        for b in batches:
+            kinds[:] = [c.type for c in b.columns]
+            *named, texts = (c.to_pylist() for c in b.columns)
+            for i, text in enumerate(texts):
+                coded = (text or "").encode()
+                key = keys.setdefault(tuple(c[i] for c in named), len(keys))
+                for at in range(0, len(coded) - k + 1, SLICE):
+                    parts.append((key, coded[at : at + SLICE + k - 1]))
+                    bases += len(parts[-1][1])
+                    if bases >= SLICE:
+                        add(parts)
+                        parts, bases = [], 0
+                        if n_raw < OPEN_KMERS:
+                            continue
+                        fold()
+                        if n_folded >= 2 * FOLDED_KMERS:
+                            merge()
+                            n_folded = len(chunks[0][0])
+                            if n_folded >= FOLDED_KMERS:
+                                yield from out()
+                                n_folded, keys, key = 0, {tuple(c[i] for c in named): 0}, 0
+        if parts:
+            add(parts)
+        fold()
+        merge()
+        if chunks:
+            yield from out()
+
+    schema = ", ".join([*(f"`{c}` {declared[c]}" for c in keep), "kmer bigint, n bigint"])
+    return src.mapInArrow(run, schema)
+
+
+# ------------------------------------------------------------------ super-k-mers
+
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
     x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)

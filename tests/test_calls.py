@@ -190,3 +190,21 @@ def test_proposed_dpb1_rules_and_choice(spark):
     long = lambda v: spark.createDataFrame([("s", "g1", v), ("s", "g2", v)], "sample string, gene string, allele string")
     gated = spark.createDataFrame([("s", "g1", "OVERRIDE"), ("s", "g2", "KEEP_BASELINE")], "sample string, gene string, action string")
     assert {r.gene: r.allele for r in gates.choose_calls(gated, long("b"), long("e")).collect()} == {"g1": "e", "g2": "b"}
+
+
+def test_haplotype_scores_with_many_owners(spark, monkeypatch):
+    """More alleles than one number has bits, k-mers that all, many or none of them have, and a task that hands its k-mers on in parts."""
+    monkeypatch.setattr(assembly, "OWNERS", 5)
+    rng = random.Random(4)
+    text = lambda n: "".join(rng.choice("ACGT") for _ in range(n))
+    common = text(30)
+    alleles = [("g", f"a{i:02d}", common + "N" + text(60)) for i in range(13)] + [("h", "b", text(50)), ("g", "a03", text(40).lower())]
+    haps = [("s", "g", b, h, common[: 10 + b] + "-" + text(20) + alleles[b][2][35:70]) for b in range(4) for h in (1, 2)] + [("s", "g", 0, 1, common), ("s", "h", 0, 1, "ACG"), ("s", "h", 1, 1, alleles[13][2]), ("t", "none", 0, 1, common)]
+    words = lambda s, k: {s[i : i + k] for i in range(len(s) - k + 1) if set(s[i : i + k]) <= set("ACGT")}
+    made = lambda rows: {key: set().union(*(words(r[-1].upper(), 6) for r in rows if r[:-1] == key)) for key in {r[:-1] for r in rows}}
+    own = made(alleles)
+    want = {(*h, a): 2.0 * len(w & v) - 3.0 * len(w - v) for h, w in made(haps).items() for (g, a), v in own.items() if g == h[1] and w}
+    got = assembly.score_haplotypes(spark.createDataFrame(haps, "sample string, gene string, block int, hap int, seq string"), spark.createDataFrame(alleles, "gene string, allele string, seq string"), 6)
+    assert {(r["sample"], r.gene, r.block, r.hap, r.allele): r.score for r in got.collect()} == want
+    met = got._jdf.queryExecution().optimizedPlan().toString()
+    assert met.count("MapInArrow") == 2  # every sequence is read for its k-mers once

@@ -1,6 +1,7 @@
 """Packed k-mers and super-k-mers against strings."""
 
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -82,3 +83,16 @@ def test_runs_travel_light():
     assert count.mean() > 6  # one run of two numbers for so many k-mers
     back = packed.runs_of((3 - codes)[::-1].copy(), 31, packed.minimiser_size(31), 2)[0]
     assert set(mini.tolist()) == set(back.tolist())  # both strands meet
+
+
+@pytest.mark.parametrize("k", [5, 21, 31, 33])
+def test_counted_kmers(spark, monkeypatch, k):
+    """Counts in parts add up to the occurrences, also where a task hands on what it holds several times."""
+    for name, value in (("OPEN_KMERS", 50), ("FOLDED_KMERS", 60), ("SLICE", 40)):
+        monkeypatch.setattr(packed, name, value)
+    rng = random.Random(k)
+    rows = [(f"o{i % 7}", i % 3, "".join(rng.choice("ACGTacgtN") if rng.random() < 0.1 else rng.choice("ACGT") for _ in range(rng.randint(0, 200)))) for i in range(40)] + [("o1", 1, None), ("o2", 0, "ACGT" * 60)]
+    df = spark.createDataFrame(rows, "owner string, part int, seq string").coalesce(1)
+    got = km.counted_kmers(df, "seq", k, ["owner", "part"]).groupBy("owner", "part", "kmer").agg(F.sum("n").alias("n"))
+    want = Counter((o, p, w) for o, p, s in rows for w in words((s or "").upper(), k))
+    assert {(r.owner, r.part, r.s): r.n for r in got.withColumn("s", packed.spell("kmer", k)).collect()} == want
