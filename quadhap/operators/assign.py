@@ -96,8 +96,18 @@ def family_support(alignments: DataFrame, near: int = 5) -> DataFrame:
     )
 
 
+#: Alignments that one task takes together; what it holds of them is many times their size in a shuffle.
+TASK_ROWS = 1 << 18
+
+
+def _dealt(alignments: DataFrame) -> DataFrame:
+    """Alignments by read, in as many parts as their number asks for, so that a task's memory does not grow with the input."""
+    least = int(alignments.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return alignments.repartition(max(least, -(-alignments.count() // TASK_ROWS)), "sample", "qname")
+
+
 def _flagged(alignments: DataFrame, near: int) -> DataFrame:
-    per = alignments.groupBy("sample", "qname", "family").agg(F.max("score").alias("score"), F.count("*").alias("n"))
+    per = _dealt(alignments).groupBy("sample", "qname", "family").agg(F.max("score").alias("score"), F.count("*").alias("n"))
     best = F.max("score").over(Window.partitionBy("sample", "qname"))
     return per.withColumn("best", best).select(
         "sample", "qname", "family", "n", (F.col("score") == F.col("best")).alias("top"),
