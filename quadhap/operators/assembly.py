@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from quadhap.operators import kmers as km
 from quadhap.operators.ranking import top_k
@@ -182,6 +185,37 @@ def assemble(scores: DataFrame, penalties: DataFrame | None = None, top_n: int |
         *GROUP, F.array(*[F.col(f"q.f{i}") for i in range(1, 5)]).alias("quartet"), "score", F.transform("s", lambda x: x["block"]).alias("blocks"), F.transform("s", lambda x: x["split"]).alias("splits"))
 
 
+@F.arrow_udf(StringType())
+def _edited(start: pa.Array, seq: pa.Array, edits: pa.Array) -> pa.Array:
+    never = 1 << 40  # a missing number fits nowhere
+    number = lambda a: a.cast(pa.int64()).fill_null(never).to_numpy()
+    ends, e = edits.offsets.to_numpy(), edits.values
+    at0 = np.repeat(number(start), np.diff(ends))
+    rel = number(e.field("pos0"))[ends[0] : ends[-1]] - at0
+    size, alt = number(e.field("n"))[ends[0] : ends[-1]], e.field("alt").to_numpy(zero_copy_only=False)[ends[0] : ends[-1]]
+    ends, out = ends - ends[0], []
+    for text, lo, hi in zip(seq.to_pylist(), ends[:-1], ends[1:]):
+        if text is not None:
+            parts, at, last = [], 0, len(text)
+            for r, n, new in zip(rel[lo:hi].tolist(), size[lo:hi].tolist(), alt[lo:hi].tolist()):
+                if r >= at and r + n <= last:
+                    parts += text[at:r], new
+                    at = r + n
+            text = None if None in parts else "".join([*parts, text[at:]])
+        out.append(text)
+    return pa.array(out, pa.string())
+
+
+def edit_haplotypes(haps: DataFrame) -> DataFrame:
+    """``(sample, gene, hap, seq)`` of ``(sample, gene, hap, start, seq, e)``; ``e array<struct<pos0,n,alt>>``: the haplotype's edits in order, each replacing ``n`` bases.
+
+    One pass over a slice and its edits, whatever their number: expressions would look for
+    each place from the slice's first byte on and copy what is built once per edit.
+    """
+    e = F.coalesce("e", F.array().cast(haps.schema["e"].dataType))
+    return haps.select(*GROUP, "hap", _edited("start", "seq", e).alias("seq"))
+
+
 def build_haplotypes(slices: DataFrame, edits: DataFrame) -> DataFrame:
     """Apply each haplotype's edits to its reference slice: ``(sample, gene, hap, seq)``.
 
@@ -191,18 +225,7 @@ def build_haplotypes(slices: DataFrame, edits: DataFrame) -> DataFrame:
     """
     inside = edits.groupBy(*GROUP, "hap").agg(F.array_sort(F.collect_list(F.struct("pos0", F.length("ref").alias("n"), "alt"))).alias("e"))
     haps = slices.withColumn("hap", F.explode(F.array(*[F.lit(h) for h in range(1, 5)]))).join(inside, [*GROUP, "hap"], "left")
-    empty = F.array().cast("array<struct<pos0:int,n:int,alt:string>>")
-    state = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
-
-    def apply(acc, e):
-        rel = e.pos0 - F.col("start")
-        ok = (rel >= acc["at"]) & (rel + e.n <= F.length("seq"))
-        piece = F.substr(F.col("seq"), acc["at"] + 1, rel - acc["at"])
-        return F.struct(F.when(ok, F.concat(acc["out"], piece, e.alt)).otherwise(acc["out"]).alias("out"), F.when(ok, rel + e.n).otherwise(acc["at"]).alias("at"))
-
-    done = F.aggregate(F.coalesce("e", empty), state, apply)
-    built = haps.withColumn("d", done)
-    return built.select(*GROUP, "hap", F.concat("d.out", F.substr(F.col("seq"), F.col("d.at") + 1)).alias("seq"))
+    return edit_haplotypes(haps)
 
 
 def stitch(blocks: DataFrame, gene_refs: DataFrame) -> DataFrame:
