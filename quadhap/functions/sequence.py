@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def revcomp(seq: Column | str) -> Column:
@@ -34,8 +37,25 @@ def n_fraction(seq: Column | str) -> Column:
     return F.when(F.length(s) > 0, F.regexp_count(s, F.lit("N")) / F.length(s))
 
 
+@F.arrow_udf(StringType())
+def _masked(seq: pa.Array, flags: pa.Array) -> pa.Array:
+    ends, marks, out = flags.offsets.to_numpy(), flags.values.to_numpy(zero_copy_only=False).astype(bool), []
+    for text, lo, hi in zip(seq.to_pylist(), ends[:-1], ends[1:]):
+        if text is not None:
+            coding, width = ("ascii", np.uint8) if text.isascii() else ("utf-32-le", np.uint32)
+            bases = np.frombuffer(text.encode(coding), width).copy()
+            bases[: hi - lo][marks[lo : lo + len(bases)][: hi - lo]] = ord("N")
+            text = bases.tobytes().decode(coding)
+        out.append(text)
+    return pa.array(out, pa.string())
+
+
+def apply_flags(seq: Column | str, flags: Column | str) -> Column:
+    """Replace bases by ``N`` where the array of flags says so; a shorter one leaves the tail. One pass of numpy over each sequence."""
+    f = F.col(flags) if isinstance(flags, str) else flags
+    return _masked(seq, F.coalesce(f, F.array().cast("array<boolean>")))
+
+
 def apply_mask(seq: Column | str, mask: Column | str) -> Column:
     """Replace bases by ``N`` where the ``0/1`` mask string has a ``1``; a shorter mask leaves the tail."""
-    bases = F.split(F.col(seq) if isinstance(seq, str) else seq, "")
-    flags = F.split(F.col(mask) if isinstance(mask, str) else mask, "")
-    return F.array_join(F.zip_with(bases, flags, lambda b, m: F.when((m == "1") & b.isNotNull(), F.lit("N")).otherwise(b)), "")
+    return apply_flags(seq, F.transform(F.split(F.col(mask) if isinstance(mask, str) else mask, ""), lambda m: m == "1"))
