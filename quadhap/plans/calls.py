@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quadhap.functions import names
@@ -149,8 +149,7 @@ SLOTS = cl.SLOTS
 
 def final(t: Tables) -> DataFrame:
     f = t.view(TF)
-    total = f.groupBy(*GROUP).agg(F.sum("weight").alias("tw"))
-    f = f.join(total, GROUP).withColumn("fraction", F.col("weight") / F.col("tw"))
+    f = f.withColumn("fraction", F.col("weight") / F.sum("weight").over(Window.partitionBy(*GROUP)))
     grid = t.view(GRID)
     return cl.aggregate_calls(t.view(LONG), grid, groups(t), f, grid, grid.select("sample", "chi_r"))
 
