@@ -41,7 +41,7 @@ def truth_targets(truth: DataFrame, ggroups: DataFrame) -> DataFrame:
     comparable at two fields.
     """
     t = attach_ggroup(truth, "allele", ggroups, "_grp", bare="strip").withColumn("_a", names.clean_allele("allele", "strip"))
-    t = t.join(prefix_groups(ggroups).select(F.col("prefix").alias("_a"), F.col("groups").alias("_n")), "_a", "left")
+    t = t.join(F.broadcast(prefix_groups(ggroups).select(F.col("prefix").alias("_a"), F.col("groups").alias("_n"))), "_a", "left")
     n = names.field_count("allele")
     unclear = (n == 2) & (F.coalesce("_n", F.lit(0)) != 1)
     group_level = ~unclear & (F.col("_a").endswith("G") | (F.col("_grp") != F.col("_a")) | (n >= 3))
@@ -51,11 +51,9 @@ def truth_targets(truth: DataFrame, ggroups: DataFrame) -> DataFrame:
     }).drop("_a", "_n", "_grp")
 
 
-def _overlap(truth: DataFrame, pred: DataFrame, on: list[str]) -> DataFrame:
-    """Multiset overlap per key: Σ min(count, count) over common values."""
-    t = truth.groupBy(*KEYS, *on).agg(F.count("*").alias("nt"))
-    p = pred.groupBy(*KEYS, *on).agg(F.count("*").alias("np"))
-    return t.join(p, [*KEYS, *on]).groupBy(*KEYS).agg(F.sum(F.least("nt", "np")).alias("hits"))
+def _overlap(truth: Column, count) -> Column:
+    """Multiset overlap: Σ min(count, count) over the values of ``truth``; ``count`` says how often the other side has one."""
+    return F.aggregate(F.array_distinct(truth), F.lit(0).cast("bigint"), lambda n, v: n + F.least(F.size(F.filter(truth, lambda x: x == v)), count(v)))
 
 
 def evaluate_calls(calls: DataFrame, truth: DataFrame, ggroups: DataFrame, levels: tuple[str, ...] = ("2field", "g_group"),
@@ -67,27 +65,32 @@ def evaluate_calls(calls: DataFrame, truth: DataFrame, ggroups: DataFrame, level
     counted separately per resolution, so one prediction can serve twice; ``strict`` caps
     the hits at the number of predictions that match anything.
     """
-    p = attach_ggroup(calls, "allele", ggroups, "g_group", bare="strip").withColumn("2field", names.two_field("allele", "report", "strip"))
-    out = None
-    show = lambda c: F.array_join(F.array_sort(F.collect_list(c)), ",")
-    for level in levels:
+    two, grouped = names.two_field("allele", "report", "strip"), "g_group" in levels
+    p, t = calls.withColumn("2field", two), truth
+    if grouped:
+        p, t = attach_ggroup(p, "allele", ggroups, "g_group", bare="strip"), truth_targets(truth, ggroups)
+    none = F.lit(None).cast("string")
+    p = p.select(*KEYS, F.struct("2field", (F.col("g_group") if grouped else none).alias("g_group")).alias("p"), F.lit(None).alias("t"))
+    t = t.select(*KEYS, F.lit(None).alias("p"), F.struct(two.alias("2field"), *[(F.col(c) if grouped else none).alias(c) for c in ("level", "target")]).alias("t"))
+    # The alleles of one side of one gene are few: both sides meet in one shuffle and are compared as arrays.
+    met = p.unionByName(t).na.drop(subset=KEYS).groupBy(*KEYS).agg(F.collect_list("p").alias("p"), F.collect_list("t").alias("t")).where("size(p) > 0 and size(t) > 0")
+    show = lambda a: F.array_join(F.array_sort(a), ",")
+    of = lambda a, c: F.transform(a, lambda x: x[c])
+
+    def one(level: str) -> Column:
         if level == "g_group":
-            t = truth_targets(truth, ggroups).select(*KEYS, "level", F.col("target").alias("value"))
-            both = F.array(*[F.struct(F.lit(x).alias("level"), F.col(x).alias("value")) for x in ("2field", "g_group")])
-            pv = p.withColumn("pid", F.monotonically_increasing_id()).select(*KEYS, "pid", F.explode(both).alias("x")).select(*KEYS, "pid", "x.level", "x.value")
-            hits = _overlap(t, pv, ["level", "value"])
+            value, keyed = of("t", "target"), F.transform("t", lambda x: F.struct(x["level"], x["target"]))
+            fits = lambda x, v: F.when(v["level"] == "2field", x["2field"] == v["target"]).otherwise(x["g_group"] == v["target"])
+            hits = _overlap(keyed, lambda v: F.size(F.filter("p", lambda x: fits(x, v))))
             if strict:
-                useful = pv.join(t.distinct(), [*KEYS, "level", "value"], "left_semi").groupBy(*KEYS).agg(F.count_distinct("pid").alias("useful"))
-                hits = hits.join(useful, KEYS).select(*KEYS, F.least("hits", "useful").alias("hits"))
+                hits = F.least(hits, F.size(F.filter("p", lambda x: F.exists("t", lambda v: fits(x, v)))))
         else:
-            t = truth.select(*KEYS, names.two_field("allele", "report", "strip").alias("value"))
-            hits = _overlap(t, p.select(*KEYS, F.col("2field").alias("value")), ["value"])
-        shown = p.groupBy(*KEYS).agg(show(level).alias("pred"))
-        one = t.groupBy(*KEYS).agg(F.count("*").alias("total"), show("value").alias("truth")).join(shown, KEYS).join(hits, KEYS, "left")
-        one = one.select(*KEYS, F.lit(level).alias("level"), F.coalesce("hits", F.lit(0)).alias("hits"), "total",
-                         (F.coalesce("hits", F.lit(0)) != F.col("total")).alias("mismatch"), "truth", "pred")
-        out = one if out is None else out.unionByName(one)
-    return out
+            value = of("t", "2field")
+            hits = _overlap(value, lambda v: F.size(F.filter("p", lambda x: x["2field"] == v)))
+        return F.struct(F.lit(level).alias("level"), hits.cast("bigint").alias("hits"), F.size("t").cast("bigint").alias("total"), show(value).alias("truth"), show(of("p", level)).alias("pred"))
+
+    each = met.select(*KEYS, F.explode(F.array(*[one(x) for x in levels])).alias("x")).select(*KEYS, "x.*")
+    return each.select(*KEYS, "level", "hits", "total", (F.col("hits") != F.col("total")).alias("mismatch"), "truth", "pred")
 
 
 def quartet_score(quartet: Column, truth: Column) -> Column:
