@@ -271,7 +271,7 @@ def _fix_sql(i: int, src: str) -> str:
     c0="SELECT sample, 'DRB3' AS w1, 'DRB4' AS w2, 'absent' AS w3, 'DRB5' AS w4, arg_min(family, o) AS f1, arg_min(family, o) AS f2, arg_max(family, o) AS f3, 'DRB1*01:01' AS f4 FROM opt GROUP BY sample HAVING count(CASE WHEN locus <> 'absent' THEN 1 END) > 0",
     c1=_fix_sql(1, "c0"), c2=_fix_sql(2, "c1"), c3=_fix_sql(3, "c2"), c4=_fix_sql(4, "c3")))
 def locus_consistency(t: Tables) -> DataFrame:
-    f = t.view(CONSIST)
+    f = t.view(CONSIST).repartition("sample")  # one exchange for all that is asked of a sample
     order = F.struct(-F.col("weight"), F.col("family"))
     cur = f.groupBy("sample").agg(F.array(F.min_by("family", order), F.min_by("family", order), F.max_by("family", order), F.lit("DRB1*01:01")).alias("quartet"))
     want = cur.select("sample", F.array(*[F.lit(x) for x in ("DRB3*01:01", "DRB4*01:01", "NA", "DRB5*01:01")]).alias("quartet"))
