@@ -87,8 +87,8 @@ def kmer_hits(reads: DataFrame, index: DataFrame, k: int, keys: list[str], seq:
     out. Spark sizes exploded k-mers by the unexploded input, so it must not choose a
     broadcast by itself: the index side is hashed part by part behind the shuffle.
     """
-    ks = explode_kmers(reads, seq, k, keys, spread)
-    return ks.join(index.hint(strategy), [*scope, "kmer"]).groupBy(*keys, "owner").agg(F.count("*").alias("n"))
+    ks = counted_kmers(reads, seq, k, keys, spread)
+    return ks.join(index.hint(strategy), [*scope, "kmer"]).groupBy(*keys, "owner").agg(F.sum("n").alias("n"))
 
 
 def kmer_support_rank(reads: DataFrame, index: DataFrame, k: int, group: tuple[str, ...] = ("sample", "gene"),
