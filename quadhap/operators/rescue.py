@@ -40,7 +40,7 @@ def choose_gene(pairs: DataFrame, index: DataFrame, p: BinRescue, spread: bool =
     ends = pairs.select("sample", "rec", F.explode(F.array(
         F.struct(F.lit(1).alias("m"), F.col("seq1").alias("s")), F.struct(F.lit(2).alias("m"), F.col("seq2").alias("s"))
     )).alias("e")).select("sample", "rec", "e.m", "e.s")
-    found = km.explode_kmers(ends, "s", p.k, ["sample", "rec", "m"], spread).join(index.hint("shuffle_hash"), "kmer")
+    found = km.counted_kmers(ends, "s", p.k, ["sample", "rec", "m"], spread).join(index.hint("shuffle_hash"), "kmer")
     per_gene = found.groupBy("sample", "rec", "owner", "kmer").agg(
         F.max((F.col("m") == 1).cast("int")).alias("m1"), F.max((F.col("m") == 2).cast("int")).alias("m2")
     ).groupBy("sample", "rec", "owner").agg(F.count("*").alias("hits"), F.sum("m1").alias("h1"), F.sum("m2").alias("h2"))
