@@ -32,6 +32,18 @@ def pieces(seq: Column | str, k: int, step: int) -> Column:
     )
 
 
+def lettered(text: Column, table: str, bases: str) -> Column:
+    """The ASCII letters of ``table`` as the ones of ``bases`` in the same place; all else is dropped. One pass over each text."""
+    to = bytes.maketrans(table.encode(), bases.encode())
+    drop = bytes(i for i in range(256) if i not in table.encode())
+
+    @F.arrow_udf(StringType())
+    def translated(texts: pa.Array) -> pa.Array:
+        return pa.array([t if t is None else t.encode().translate(to, drop).decode() for t in texts.to_pylist()], pa.string())
+
+    return translated(text)
+
+
 def n_fraction(seq: Column | str) -> Column:
     s = F.upper(seq)
     return F.when(F.length(s) > 0, F.regexp_count(s, F.lit("N")) / F.length(s))

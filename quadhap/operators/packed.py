@@ -227,6 +227,181 @@ def counted_kmers(df: DataFrame, seq: str, k: int, keep: list[str]) -> DataFrame
     return src.mapInArrow(run, schema)
 
 
+# ------------------------------------------------------------------ owners of short k-mers
+
+#: Up to so many bases k-mers are fewer than what is read, so tasks fold them one by one, not as super-k-mers.
+SHORT = 15
+#: Groups that folded k-mers travel in (as bits), one row each; owned k-mers a task holds before it hands them on, and takes at a time behind the shuffle.
+BLOCK_BITS, OWNED_KMERS, MET_KMERS = 13, 1 << 22, 1 << 20
+_CODES = (1 << 32) - 1
+#: Spreads k-mers evenly over the blocks: the least of a k-mer and its reverse complement times this number, as far as 2k bits go.
+_SPREAD = 0x9E3779B97F4A7C15
+
+
+def _flipped(x: np.ndarray, k: int) -> np.ndarray:
+    """The reverse complements of packed k-mers."""
+    x = ~x.astype(np.uint64) & np.uint64((1 << 2 * k) - 1)
+    for step, mask in _SWAPS:
+        m, n = np.uint64(mask), np.uint64(step)
+        x = (x >> n & m) | (x & m) << n
+    return (x >> np.uint64(64 - 2 * k)).view(np.int64)
+
+
+def _owned(key: np.ndarray) -> np.ndarray:
+    """One ``place << 32 | owner`` for each place, sorted; the owner is 0 where there are several."""
+    key = np.sort(key)
+    if not len(key):
+        return key
+    new = np.ones(len(key) + 1, bool)
+    np.greater(key[1:] ^ key[:-1], _CODES, out=new[1:-1])
+    at = np.flatnonzero(new)
+    first, last = key[at[:-1]], key[at[1:] - 1]
+    return np.where(first == last, first, first >> 32 << 32)
+
+
+def _owner_rows(seqs: DataFrame, seq: str, number: str, ks: tuple[int, ...], both: bool) -> DataFrame:
+    """``(k, block, places, owners, shared)``: the k-mers of one task in a block, those of one ``number`` beside it, and those of several; several rows where a task hands them on in parts.
+
+    A place is the spread number of a k-mer or its reverse complement, the smaller one, and whether it was the other that was read (with ``both``, never).
+    """
+    src = seqs.select(F.col(number).alias("number"), F.col(seq).alias("seq"))
+
+    def run(batches):
+        numbers: dict[int, int] = {}
+        raw: dict[int, list[np.ndarray]] = {k: [] for k in ks}
+        held: dict[int, list[np.ndarray]] = {k: [] for k in ks}
+        n_raw, n_held = dict.fromkeys(ks, 0), dict.fromkeys(ks, 0)
+
+        def fold(k):
+            if raw[k]:
+                held[k].append(_owned(np.concatenate(raw[k])))
+                n_held[k] += len(held[k][-1])
+                raw[k], n_raw[k] = [], 0
+
+        def merge(k):
+            if len(held[k]) > 1:
+                held[k] = [_owned(np.concatenate(held[k]))]
+                n_held[k] = len(held[k][0])
+
+        def out(k):
+            key, ids = held[k].pop(), np.array([0, *numbers], np.int64)
+            n_held[k] = 0
+            place, code = (key >> 32).astype(np.int32), key & _CODES
+            block = key >> 33 + max(0, 2 * k - BLOCK_BITS)
+            ends = np.append(np.flatnonzero(np.append(True, block[1:] != block[:-1])), len(block))
+            rows = []
+            for lo, hi in zip(ends[:-1], ends[1:]):
+                here, whose = place[lo:hi], code[lo:hi]
+                one = whose > 0
+                rows.append((k, int(block[lo]), here[one].tobytes(), ids[whose[one]].tobytes(), here[~one].tobytes()))
+            for at in range(0, len(rows), 1 << 10):
+                columns = zip(zip(*rows[at : at + (1 << 10)]), (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in columns], ["k", "block", "places", "owners", "shared"])
+
+        def add(parts):
+            codes = _CODE[np.frombuffer(b"-".join(p for _, p in parts), np.uint8)]
+            bad = np.concatenate([[0], np.cumsum(codes > 3)])
+            base, ends = (codes & 3).astype(np.uint64), np.cumsum([len(p) + 1 for _, p in parts])
+            of = np.repeat(np.array([i for i, _ in parts], np.int64), np.diff(ends, prepend=0))
+            for k in ks:
+                if len(codes) < k:
+                    continue
+                at = np.flatnonzero(bad[k:] == bad[:-k])
+                kmer, back = _grown(base, k, _ahead)[at], _grown(np.uint64(3) - base, k, _behind)[at]
+                place = (np.minimum(kmer, back) * np.uint64(_SPREAD) & np.uint64((1 << 2 * k) - 1)) << np.uint64(1)
+                if not both:
+                    place |= back < kmer
+                raw[k].append(place.view(np.int64) << 32 | of[at])
+                n_raw[k] += len(at)
+
+        parts, bases = [], 0
+        for b in batches:
+            for one, text in zip(*(c.to_pylist() for c in b.columns)):
+                coded, code = (text or "").encode(), numbers.setdefault(one, len(numbers) + 1)
+                for at in range(0, len(coded) - min(ks) + 1, SLICE):
+                    parts.append((code, coded[at : at + SLICE + max(ks) - 1]))
+                    bases += len(parts[-1][1])
+                    if bases < SLICE:
+                        continue
+                    add(parts)
+                    parts, bases = [], 0
+                    for k in ks:
+                        if n_raw[k] >= OPEN_KMERS:
+                            fold(k)
+                        if n_held[k] >= 2 * OWNED_KMERS:
+                            merge(k)
+                            if n_held[k] >= OWNED_KMERS:
+                                yield from out(k)
+        if parts:
+            add(parts)
+        for k in ks:
+            fold(k)
+            merge(k)
+            if held[k]:
+                yield from out(k)
+
+    return src.mapInArrow(run, "k int, block int, places binary, owners binary, shared binary")
+
+
+def owner_blocks(seqs: DataFrame, seq: str, number: str, ks: tuple[int, ...], both: bool, asked: DataFrame | None = None) -> DataFrame:
+    """k-mers of all ``ks`` (up to :data:`SHORT`) folded where they are read, dealt in blocks that a k-mer and its reverse complement share.
+
+    ``asked``: ``(seq)`` whose k-mers are the only ones that :func:`owned_kmers` returns.
+    """
+    none = F.lit(None).cast("binary")
+    rows = _owner_rows(seqs, seq, number, ks, both).withColumn("asked", none)
+    if asked is not None:
+        wanted = _owner_rows(asked.select(F.lit(0).cast("bigint").alias("number"), "seq"), "seq", "number", ks, False)
+        rows = rows.unionByName(wanted.select("k", "block", none.alias("places"), none.alias("owners"), none.alias("shared"), F.col("places").alias("asked")))
+    return rows.repartition(int(seqs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "block")
+
+
+def owned_kmers(blocks: DataFrame, k: int, strands: str, narrowed: bool) -> DataFrame:
+    """``(kmer, number)`` of the k-mers with one owner, from :func:`owner_blocks`; over both strands unless ``strands`` is ``forward``."""
+    back = np.uint64(pow(_SPREAD, -1, 1 << 2 * k))
+
+    def met(parts):
+        kinds = (np.int32, np.int64, np.int32, np.int32)
+        places, owners, shared, asked = (np.concatenate([np.frombuffer(x or b"", t) for x in c]) for c, t in zip(zip(*parts), kinds))
+        ids = np.unique(owners)
+        key = _owned(np.concatenate([places.astype(np.int64) << 32 | np.searchsorted(ids, owners) + 1, shared.astype(np.int64) << 32]))
+        key = key[key & _CODES > 0]
+        place, code = key >> 32, key & _CODES
+        if strands != "forward":
+            # a k-mer and its reverse complement may both be kept, or be one
+            once = np.append(True, (place[1:] >> 1 != place[:-1] >> 1) | (code[1:] != code[:-1]))[: len(key)]
+            place, code = np.concatenate([place[once] & -2, place[once] | 1]), np.tile(code[once], 2)
+        if narrowed:
+            have = np.append(np.unique(asked).astype(np.int64), -1)
+            here = have[np.searchsorted(have[:-1], place)] == place
+            place, code = place[here], code[here]
+        least = ((place >> 1).view(np.uint64) * back & np.uint64((1 << 2 * k) - 1)).view(np.int64)
+        other = _flipped(least, k)
+        kmer, number = np.where(place & 1, other, least), ids[code - 1] if len(code) else ids[:0]
+        one = (place & 1 == 0) | (least != other)
+        kmer, number = kmer[one], number[one]
+        for at in range(0, len(kmer), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(kmer[at : at + (1 << 16)]), pa.array(number[at : at + (1 << 16)])], ["kmer", "number"])
+
+    def run(batches):
+        parts, size, last = [], 0, None
+        for b in batches:
+            for row in zip(*(c.to_pylist() for c in b.columns)):
+                if row[0] != k:
+                    continue
+                if size >= MET_KMERS and row[1] != last:
+                    yield from met(parts)
+                    parts, size = [], 0
+                last = row[1]
+                parts.append(row[2:])
+                size += sum(len(row[i] or b"") for i in (2, 4, 5)) // 4
+        if parts:
+            yield from met(parts)
+
+    # The filter by k is in the kernel, so that several k read one shuffle.
+    return blocks.select("k", "block", "places", "owners", "shared", "asked").sortWithinPartitions("block").mapInArrow(run, "kmer bigint, number bigint")
+
+
 # ------------------------------------------------------------------ super-k-mers
 
 def _mixed(x: np.ndarray) -> np.ndarray:

@@ -12,6 +12,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quadhap.functions import sequence as sq
+
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations").split()
 
 
@@ -83,7 +85,7 @@ BASES = "".join("N" if c in "jqxz" else "ACGT"[i % 4] for i, c in enumerate(LETT
 
 
 def as_sequence(text: str = "text"):
-    return F.translate(F.regexp_replace(text, "[^A-Za-z]", ""), LETTERS + LETTERS.upper(), BASES + BASES)
+    return sq.lettered(F.col(text), LETTERS + LETTERS.upper(), BASES + BASES)
 
 
 def as_sequence_sql(text: str = "text") -> str:
