@@ -248,15 +248,15 @@ def _flipped(x: np.ndarray, k: int) -> np.ndarray:
 
 
 def _owned(key: np.ndarray) -> np.ndarray:
-    """One ``place << 32 | owner`` for each place, sorted; the owner is 0 where there are several."""
-    key = np.sort(key)
+    """One ``place << 32 | owner`` for each place, sorted (``key`` itself is, too); the owner is 0 where there are several."""
+    key.sort()
     if not len(key):
         return key
     new = np.ones(len(key) + 1, bool)
     np.greater(key[1:] ^ key[:-1], _CODES, out=new[1:-1])
-    at = np.flatnonzero(new)
-    first, last = key[at[:-1]], key[at[1:] - 1]
-    return np.where(first == last, first, first >> 32 << 32)
+    first = key[new[:-1]]
+    first[first != key[new[1:]]] &= ~_CODES
+    return first
 
 
 def _owner_rows(seqs: DataFrame, seq: str, number: str, ks: tuple[int, ...], both: bool) -> DataFrame:
@@ -280,22 +280,22 @@ def _owner_rows(seqs: DataFrame, seq: str, number: str, ks: tuple[int, ...], bot
 
         def merge(k):
             if len(held[k]) > 1:
-                held[k] = [_owned(np.concatenate(held[k]))]
+                key, held[k] = np.concatenate(held[k]), []
+                held[k].append(_owned(key))
                 n_held[k] = len(held[k][0])
 
         def out(k):
             key, ids = held[k].pop(), np.array([0, *numbers], np.int64)
             n_held[k] = 0
-            place, code = (key >> 32).astype(np.int32), key & _CODES
-            block = key >> 33 + max(0, 2 * k - BLOCK_BITS)
+            block = (key >> 33 + max(0, 2 * k - BLOCK_BITS)).astype(np.int32)
             ends = np.append(np.flatnonzero(np.append(True, block[1:] != block[:-1])), len(block))
-            rows = []
-            for lo, hi in zip(ends[:-1], ends[1:]):
-                here, whose = place[lo:hi], code[lo:hi]
-                one = whose > 0
-                rows.append((k, int(block[lo]), here[one].tobytes(), ids[whose[one]].tobytes(), here[~one].tobytes()))
-            for at in range(0, len(rows), 1 << 10):
-                columns = zip(zip(*rows[at : at + (1 << 10)]), (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()))
+            for at in range(0, len(ends) - 1, 1 << 10):
+                rows = []
+                for lo, hi in zip(ends[at : at + (1 << 10)], ends[at + 1 : at + 1 + (1 << 10)]):
+                    place, code = (key[lo:hi] >> 32).astype(np.int32), key[lo:hi] & _CODES
+                    one = code > 0
+                    rows.append((k, int(block[lo]), place[one].tobytes(), ids[code[one]].tobytes(), place[~one].tobytes()))
+                columns = zip(zip(*rows), (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in columns], ["k", "block", "places", "owners", "shared"])
 
         def add(parts):
